@@ -44,10 +44,17 @@ def extract_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def filter_links(links: DataFrame, root_path: str | None = None) -> DataFrame:
-    """Links that a crawl would follow; ``root_path`` is a column of ``links`` unless given."""
+def filter_links(links: DataFrame, root_path: str | None = None, same_domain: bool = False) -> DataFrame:
+    """Links that a crawl would follow; ``root_path`` is a column of ``links`` unless given.
+
+    ``same_domain`` also asks that a link stays on the registrable domain of its page.
+    """
     prefix = F.col("root_path") if root_path is None else F.lit(root_path)
-    return links.where(urls.is_followed(F.col("dst"), prefix))
+    followed = links.where(urls.is_followed(F.col("dst"), prefix))
+    if not same_domain:
+        return followed
+    domains = [urls.registrable_domain(urls.host(F.col(c))) for c in ("src", "dst")]
+    return followed.where(domains[0] == domains[1])
 
 
 def _with_domain(df: DataFrame, url: str, suffixes: DataFrame | None) -> DataFrame:

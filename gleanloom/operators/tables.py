@@ -23,9 +23,9 @@ def owned_by(rows: DataFrame, workspaces: DataFrame, users: DataFrame | None = N
     """
     owners = workspaces.select(F.col("id").alias("workspace_id"), "user_id")
     if users is None:
-        return rows.join(owners, ["workspace_id", "user_id"], "left_semi")
+        return rows.join(owners, ["workspace_id", "user_id"], "left_semi").select(*rows.columns)
     mine = owners.join(broadcast_if_small(users.select("user_id").distinct()), "user_id", "left_semi")
-    return rows.join(mine.select("workspace_id"), "workspace_id", "left_semi")
+    return rows.join(mine.select("workspace_id"), "workspace_id", "left_semi").select(*rows.columns)
 
 
 def _outside(length: Column, limits: tuple[int, int]) -> Column:
@@ -142,7 +142,7 @@ def merge_vectors(target: DataFrame, updates: DataFrame, version: str = "version
     newest = latest_vectors(updates.select(*target.columns, version), version).select(*target.columns)
     keys = ["workspace_id", "chunk_id"]
     replaced = broadcast_if_small(newest.select(*keys), bound=updates.select(*keys))
-    return target.join(replaced, keys, "left_anti").unionByName(newest)
+    return target.join(replaced, keys, "left_anti").select(*target.columns).unionByName(newest)
 
 
 def latest_vectors(log: DataFrame, version: str = "version") -> DataFrame:
@@ -158,12 +158,12 @@ def latest_vectors(log: DataFrame, version: str = "version") -> DataFrame:
 def delete_by_source(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     """Rows of chunks or vectors left after dropping sources ``(workspace_id, source_id)``."""
     keys = deleted.select("workspace_id", "source_id").distinct()
-    return rows.join(broadcast_if_small(keys), ["workspace_id", "source_id"], "left_anti")
+    return rows.join(broadcast_if_small(keys), ["workspace_id", "source_id"], "left_anti").select(*rows.columns)
 
 
 def delete_by_workspace(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     keys = deleted.select("workspace_id").distinct()
-    return rows.join(broadcast_if_small(keys), "workspace_id", "left_anti")
+    return rows.join(broadcast_if_small(keys), "workspace_id", "left_anti").select(*rows.columns)
 
 
 def cascade_delete_workspaces(
@@ -175,13 +175,14 @@ def cascade_delete_workspaces(
     """
     gone = owned_by(requests, workspaces).select("workspace_id").distinct()
     left = workspaces.join(gone.withColumnRenamed("workspace_id", "id"), "id", "left_anti")
-    left_sources = sources.join(gone, "workspace_id", "left_anti")
-    left_messages = messages.join(gone, "workspace_id", "left_anti")
+    left_sources = delete_by_workspace(sources, gone)
+    left_messages = delete_by_workspace(messages, gone)
     return left, left_sources, left_messages, orphan_chunks(chunks, left_sources)
 
 
 def orphan_chunks(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    return chunks.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+    known = sources.select(F.col("id").alias("source_id"))
+    return chunks.join(known, "source_id", "left_anti").select(*chunks.columns)
 
 
 def _owned_sources(requests: DataFrame, sources: DataFrame, workspaces: DataFrame) -> DataFrame:

@@ -1,0 +1,150 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleanloom.functions import html, ids, text, urls
+from gleanloom.functions.english import STOP_WORDS, english_terms, stem
+from gleanloom.functions.splitter import CHILD_LEVEL, PARENT_LEVEL, Level, split_text
+from gleanloom.functions.text import WHITE_SPACE
+
+
+def evaluate(spark, make, *values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string")
+    return [r[0] for r in df.select("i", make(F.col("x")).alias("y")).orderBy("i").select("y").collect()]
+
+
+def test_clean_text(spark):
+    dirty = ["a\r\nb", "a\rb", "a\t\tb   c", "a\n\n\n\nb", " a b　\n", " \t\r\n ", None]
+    assert evaluate(spark, text.clean_text, *dirty) == ["a\nb", "a\rb", "a b c", "a\n\nb", "a b", "", None]
+
+
+def test_white_space_is_what_the_reference_trims():
+    assert len(WHITE_SPACE) == 25
+    assert all(c.isspace() or c == "﻿" for c in WHITE_SPACE)
+
+
+def test_tokens_and_one_line(spark):
+    assert evaluate(spark, text.tokens, "Don't  stop-42, Éa!") == [["don", "t", "stop", "42", "éa"]]
+    assert evaluate(spark, text.one_line, "\n a\nb ") == ["a b"]
+
+
+BASE = "https://docs.site.example.com:8080/docs/guide/a?x=1#top"
+
+
+@pytest.mark.parametrize(
+    "link,expected",
+    [
+        ("http://other.org/x", "http://other.org/x"),
+        ("//cdn.example.net/y", "https://cdn.example.net/y"),
+        ("/root", "https://docs.site.example.com:8080/root"),
+        ("b", "https://docs.site.example.com:8080/docs/guide/b"),
+        ("../b?q=../z", "https://docs.site.example.com:8080/docs/b?q=../z"),
+        ("../../../../b", "https://docs.site.example.com:8080/b"),
+        ("./", "https://docs.site.example.com:8080/docs/guide/"),
+        ("..", "https://docs.site.example.com:8080/docs/"),
+        ("?p=2", "https://docs.site.example.com:8080/docs/guide/a?p=2"),
+        ("#frag", "https://docs.site.example.com:8080/docs/guide/a?x=1#frag"),
+        ("mailto:a@b.c", "mailto:a@b.c"),
+        (" ", None),
+    ],
+)
+def test_resolve(spark, link, expected):
+    assert evaluate(spark, lambda x: urls.resolve(F.lit(BASE), x), link) == [expected]
+
+
+def test_url_parts(spark):
+    given = ["http://User:pw@WWW.Site.example.com:80", "https://10.0.0.1/x?y", "nonsense", None, "http://a.b/c#d"]
+    assert evaluate(spark, urls.host, *given) == ["www.site.example.com", "10.0.0.1", None, None, "a.b"]
+    assert evaluate(spark, urls.path, *given) == ["/", "/x", None, None, "/c"]
+    domain = lambda x: urls.registrable_domain(urls.host(x))
+    assert evaluate(spark, domain, *given)[:2] == ["example.com", "10.0.0.1"]
+    assert evaluate(spark, urls.is_valid_url, *given) == [True, True, False, False, True]
+
+
+def test_followed_links(spark):
+    site = "https://a.example.com"
+    followed = {"/docs": True, "/docs2": True, "/other": False, "/docs/api/x": False, "/docs/a.pdfx": False,
+                "/docs#x": False, "/docs/a.json?x": False, "/docs/xml": True}
+    got = evaluate(spark, lambda u: urls.is_followed(u, F.lit("/docs")), *[site + p for p in followed], "mailto:a@b.c")
+    assert got == [*followed.values(), False]
+
+
+def test_html(spark):
+    pages = [
+        "<html><head><title> A &amp;amp; B </title></head><body><nav>x</nav><ARTICLE class='z'><h1>T</h1>"
+        "<p>one<p>t<b>w</b>o<br>x &lt;i&gt; &#233;&#xE9;&#0;&copy;</ARTICLE><footer>f</footer></body></html>",
+        "<html><head><title>t</title></head><body><div>only body</div></body></html>",
+        "<body></body>",
+        "<main>m<script>var s='</p>';</script><!-- <b>c</b> --><div class=\"ad big\">buy</div></main>",
+        None,
+    ]
+    got = [tuple(r) for r in evaluate(spark, html.extract_content, *pages)]
+    assert got[0] == ("A &amp; B", "T\n\none\ntwo\nx <i> éé&#0;©", False)
+    assert got[1] == ("t", "only body", True)
+    assert got[2] == ("", "", True)
+    assert got[3] == ("", "m", False)
+    assert got[4] == ("", "", True)
+
+
+# Published examples of the Snowball English stemmer.
+STEMS = {
+    "consigned": "consign", "consigning": "consign", "consistency": "consist", "knightly": "knight",
+    "generously": "generous", "generate": "generat", "skies": "sky", "dying": "die", "happy": "happi",
+    "relational": "relat", "hopping": "hop", "hoping": "hope", "cries": "cri", "ties": "tie", "gas": "gas",
+    "kiwis": "kiwi", "by": "by", "say": "say", "communication": "communic", "controlling": "control",
+    "possibly": "possibl", "national": "nation", "goodness": "good", "flying": "fli", "boyish": "boyish",
+}
+
+
+def test_stems():
+    assert {w: stem(w) for w in STEMS} == STEMS
+    assert len(STOP_WORDS) == 127
+
+
+def test_english_terms_keep_positions(spark):
+    got = evaluate(spark, lambda x: english_terms(text.tokens(x)), "The running of the dogs", "", None)
+    assert got == [[None, "run", None, None, "dog"], [], []] or got[:2] == [[None, "run", None, None, "dog"], []]
+
+
+def test_ids_do_not_collide_between_sections(spark):
+    def pid(scheme):
+        return lambda x: ids.parent_id(F.lit("s"), F.lit("u"), x, F.lit(0), scheme)
+
+    assert len(set(evaluate(spark, pid("section"), "0", "1"))) == 2
+    assert len(set(evaluate(spark, pid("reference"), "0", "1"))) == 1
+    with pytest.raises(ValueError):
+        ids.parent_id(F.lit("s"), F.lit("u"), F.lit(0), F.lit(0), "other")
+
+
+def test_split_short_and_windows():
+    level = Level(10, 3, ("\n\n", "\n", ". ", ""))
+    assert split_text("  short  ", level) == ["short"]
+    assert split_text("x" * 24, level) == ["x" * 10, "x" * 10, "x" * 10]
+    assert split_text("aaaa. bbbb. cccc", level) == ["aaaa. bbbb", ". cccc"]
+    assert split_text("ab\ncd\nefghijkl", level) == ["ab\ncd", "efghijkl"]
+
+
+def test_overlap_reopens_with_trailing_pieces():
+    level = Level(12, 6, ("\n", ""))
+    assert split_text("aaaa\nbbbb\ncccc\ndddd", level) == ["aaaa\nbbbb", "bbbb\ncccc", "cccc\ndddd"]
+
+
+@pytest.mark.parametrize("level", [PARENT_LEVEL, CHILD_LEVEL, Level(40, 7, ("\n\n", "\n", ". ", ""))])
+def test_split_properties(level):
+    rng = random.Random(7)
+    alphabet = ["word", " ", ". ", "\n", "\n\n", "\n## ", "é", "😀", "x" * 50]
+    for _ in range(60):
+        body = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 900)))
+        chunks = split_text(body, level)
+        covered, start = [False] * len(body), 0
+        for chunk in chunks:
+            assert 0 < len(chunk) <= level.size and chunk == chunk.strip(WHITE_SPACE)
+            start = body.find(chunk, max(start - level.size, 0))
+            assert start >= 0
+            for i in range(start, start + len(chunk)):
+                covered[i] = True
+            start += len(chunk)
+        joined = "".join(chunks)
+        assert all(c in joined for c in set(body) if not c.isspace())
+        assert split_text(body, level) == chunks
