@@ -18,42 +18,25 @@ _TITLE = rf"(?md)^#{{1,3}}{WHITE_SPACE_CLASS}+(.+)$"
 PAGE_COLUMNS = ["source_id", "workspace_id", "page_url", "page_title"]
 
 
-def _sections_of(content: Column) -> Column:
-    marked = F.regexp_replace(
-        F.replace(content, F.lit(_MARK), F.lit("")), rf"(?md)^({_HEADING})$", f"{_MARK}$1"
-    )
-    parts = F.filter(F.split(marked, _MARK), lambda part: part != "")
-    # the parts after a mark open with their heading line; only a preamble does not
-    named = F.transform(
-        parts,
-        lambda part, index: F.struct(
-            index.cast("int").alias("section_index"),
-            F.regexp_extract(part, _TITLE, 1).alias("title"),
-            trim_all(part).alias("text"),
-        ),
-    )
-    preamble = ~F.startswith(marked, F.lit(_MARK))
-    return F.transform(
-        named,
-        lambda s: F.struct(
-            s["section_index"].alias("section_index"),
-            F.when(preamble & (s["section_index"] == 0), "").otherwise(s["title"]).alias("heading"),
-            s["text"].alias("text"),
-        ),
-    )
-
-
 def split_sections(pages: DataFrame, content: str = "content") -> DataFrame:
     """One row per section: ``section_index, heading, text``; the text keeps its heading line.
 
     A page without any text has one empty section.
     """
-    sections = _sections_of(F.coalesce(F.col(content), F.lit("")))
-    empty = F.array(
-        F.struct(F.lit(0).alias("section_index"), F.lit("").alias("heading"), F.lit("").alias("text"))
-    )
-    return pages.withColumn("_s", F.explode(F.when(F.size(sections) > 0, sections).otherwise(empty))).select(
-        *[c for c in pages.columns if c != content], "_s.section_index", "_s.heading", "_s.text"
+    columns = [c for c in pages.columns if c != content]
+    body = F.replace(F.coalesce(F.col(content), F.lit("")), F.lit(_MARK), F.lit(""))
+    part, index = F.coalesce("_part", F.lit("")), F.coalesce("_at", F.lit(0))
+    # every part but a preamble opens with its heading line
+    heading = F.when(F.col("_preamble") & (index == 0), "").otherwise(F.regexp_extract(part, _TITLE, 1))
+    return (
+        pages.select(*columns, F.regexp_replace(body, rf"(?md)^({_HEADING})$", f"{_MARK}$1").alias("_marked"))
+        .select(
+            *columns,
+            (~F.startswith("_marked", F.lit(_MARK))).alias("_preamble"),
+            F.filter(F.split("_marked", _MARK), lambda p: p != "").alias("_parts"),
+        )
+        .select(*columns, "_preamble", F.posexplode_outer("_parts").alias("_at", "_part"))
+        .select(*columns, index.alias("section_index"), heading.alias("heading"), trim_all(part).alias("text"))
     )
 
 

@@ -15,9 +15,7 @@ MIN_SECTION = 30
 
 def extract_content(pages: DataFrame) -> DataFrame:
     """Adds ``title, content, failed`` and drops the html."""
-    return pages.withColumn("_x", html_text.extract_content(F.col("html"))).select(
-        *[c for c in pages.columns if c != "html"], "_x.title", "_x.content", "_x.failed"
-    )
+    return html_text.extract_content(pages)
 
 
 def drop_reason(content: str = "content", failed: str = "failed"):

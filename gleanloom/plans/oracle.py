@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanloom.functions.html import BLOCK_TAGS, DROPPED_ELEMENTS, ENTITIES
+from gleanloom.functions.html import ARTICLE, DROPPED, ENTITIES, LINE_ENDS, MAIN, OUTSIDE_BODY, TAG, TITLE
 from gleanloom.functions.text import TOKEN_PATTERN, WHITE_SPACE, WHITE_SPACE_CLASS
 from gleanloom.functions.urls import DOMAIN, HOST, SKIPPED_PARTS
 
@@ -50,26 +50,17 @@ def _tokens(x: str) -> str:
 
 def _extracted(pages: str) -> str:
     """SELECT of url, title, content, failed and the other columns of ``pages``."""
-    kept = _drop("html", "(?s)<!--.*?-->")
-    for name in DROPPED_ELEMENTS:
-        kept = _drop(kept, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>")
-    kept = _drop(kept, r"""(?is)<div\s[^>]*class=["']?(?:ad|ads|advert)\b[^>]*>.*?</div\s*>""")
-    blocks = "|".join(BLOCK_TAGS)
-    tag = r"</?[A-Za-z!][^>]*>"
-    lined = _drop("coalesce(found, body)", rf"(?i)</?(?:{blocks})(?:\s[^>]*)?/?>", "\n")
-    title = _decode(_drop("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)", tag))
-    body = _drop(_drop("kept", r"(?is)<head(?:\s[^>]*)?>.*?</head\s*>"), r"(?is)<!doctype[^>]*>")
+    lined = _drop("coalesce(found, regexp_replace(kept, {0}, '', 'g'))".format(_quoted(OUTSIDE_BODY)), LINE_ENDS, "\n")
+    title = _decode(_drop(f"regexp_extract(html, '{TITLE}', 1)", TAG))
     return f"""
-      SELECT * EXCLUDE (html, kept, found, body),
+      SELECT * EXCLUDE (html, kept, found),
         {_trim(title)} AS title,
-        {_clean(_decode(_drop(lined, tag)))} AS content,
+        {_clean(_decode(_drop(lined, TAG)))} AS content,
         found IS NULL AS failed
       FROM (
-        SELECT *, {body} AS body,
-          coalesce(
-            nullif(regexp_extract(kept, '(?is)<article(?:\\s[^>]*)?>(.*?)</article\\s*>', 1), ''),
-            nullif(regexp_extract(kept, '(?is)<main(?:\\s[^>]*)?>(.*?)</main\\s*>', 1), '')) AS found
-        FROM (SELECT *, {kept} AS kept FROM ({pages})))"""
+        SELECT *, coalesce(nullif(regexp_extract(kept, '{ARTICLE}', 1), ''),
+                           nullif(regexp_extract(kept, '{MAIN}', 1), '')) AS found
+        FROM (SELECT *, {_drop("html", DROPPED)} AS kept FROM ({pages})))"""
 
 
 def _sections(pages: str, keep: str) -> str:

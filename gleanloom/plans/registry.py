@@ -506,7 +506,7 @@ def parent_context(spark: SparkSession, folder: str) -> DataFrame:
     parents = read_table(spark, folder, "documents").groupBy(F.md5("source").alias("parent_id")).agg(
         F.min("source").alias("parent_text")
     )
-    return fusion.parent_context(_fused(spark, folder), chunks, parents)
+    return fusion.parent_context(cut_lineage(_fused(spark, folder)), chunks, parents)
 
 
 # --- reports ---------------------------------------------------------------------------------------

@@ -79,7 +79,8 @@ def test_html(spark):
         "<main>m<script>var s='</p>';</script><!-- <b>c</b> --><div class=\"ad big\">buy</div></main>",
         None,
     ]
-    got = [tuple(r) for r in evaluate(spark, html.extract_content, *pages)]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = [(r.title, r.content, r.failed) for r in html.extract_content(df).orderBy("i").collect()]
     assert got[0] == ("A &amp; B", "T\n\none\ntwo\nx <i> éé&#0;©", False)
     assert got[1] == ("t", "only body", True)
     assert got[2] == ("", "", True)
