@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
@@ -29,7 +30,7 @@ def _width(field: T.StructField) -> Column:
     elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
         size = F.octet_length(F.array_join(col, "")) + F.size(col) * 16
     elif isinstance(kind, T.ArrayType):
-        size = F.size(col) * 8
+        size = F.size(col) * (4 if isinstance(kind.elementType, (T.FloatType, T.IntegerType)) else 8)
     else:
         size = F.lit(16)
     return F.coalesce(size.cast("long"), F.lit(0)) + 16
@@ -41,9 +42,10 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
-def fits_broadcast(df: DataFrame) -> bool:
+def fits_broadcast(df: DataFrame, copies: int = 1) -> bool:
+    """Whether ``copies`` times the rows stay under the session's threshold."""
     limit = broadcast_limit(df.sparkSession)
-    return limit > 0 and measured_bytes(df) <= limit
+    return limit > 0 and measured_bytes(df) * copies <= limit
 
 
 def broadcast_if_small(df: DataFrame, bound: DataFrame | None = None) -> DataFrame:
@@ -80,3 +82,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and ends the plan's history."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def top_ranked(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows per group with their ``rank`` from 0.
+
+    The bound is on the row number itself: only then do tasks drop the rest before the shuffle.
+    """
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    ranked = df.withColumn("_place", place).where(F.col("_place") <= k)
+    return ranked.withColumn("rank", F.col("_place").cast("long") - 1).drop("_place")

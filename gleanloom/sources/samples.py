@@ -135,7 +135,7 @@ def search_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The vectors that belong to a document, in that document's workspace."""
     documents = read_table(spark, folder, "documents").select("doc_id", "lang", "source")
     return (
-        read_table(spark, folder, "embeddings")
+        read_table(spark, folder, "embeddings", spread=True)
         .join(documents, F.col("doc_id") == F.col("vec_id"))
         .select(
             _id("vec_id").alias("chunk_id"),
