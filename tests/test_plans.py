@@ -36,7 +36,8 @@ def test_vector_search_prunes_partitions_and_columns(spark, stored):
     assert re.search(r"PartitionFilters: \[[^]]*workspace_id#\d+ = w1", text)
     assert "ReadSchema: struct<chunk_id:string,embedding:array<float>>" in text
     assert text.count("WindowGroupLimit") == 2 and text.count("Exchange") == 1
-    assert [r.id for r in found.orderBy("rank").collect()] == ["298", "295", "292"]
+    # the scores of the best are equal when rounded: the id decides
+    assert [r.id for r in found.orderBy("rank").collect()] == ["280", "283", "286"]
 
 
 def test_top_ranked_limits_before_the_shuffle(spark):
