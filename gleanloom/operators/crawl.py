@@ -120,11 +120,10 @@ def reachable_pages(
     while True:
         depth += 1
         counts = seen.groupBy("source_id").agg(F.count(F.lit(1)).alias("taken")).where(F.col("taken") < limit)
-        step = frontier.withColumnRenamed("url", "src").join(edges, [*keys, "src"]).select(
-            "source_id", F.col("dst").alias("url")
-        )
+        growing = frontier.join(counts, "source_id").withColumnRenamed("url", "src")
         fresh = (
-            step.join(counts, "source_id")
+            growing.join(edges, [*keys, "src"])
+            .select("source_id", F.col("dst").alias("url"), "taken")
             .distinct()
             .join(seen, ["source_id", "url"], "left_anti")
             .withColumn("place", F.row_number().over(by_url))
