@@ -9,6 +9,7 @@ from gleanloom.functions import ids
 from gleanloom.functions.splitter import CHILD_LEVEL, PARENT_LEVEL, Level, split_one_level, split_two_levels
 from gleanloom.functions.text import WHITE_SPACE_CLASS, section_label, trim_all
 from gleanloom.operators.cleaning import MIN_CONTENT, MIN_SECTION
+from gleanloom.scale import explode_once
 
 _MARK = "\u0001"
 # A heading is a line of one to three hashes, white space and a title; only LF ends a line.
@@ -43,7 +44,7 @@ def split_sections(pages: DataFrame, content: str = "content") -> DataFrame:
 def recursive_split(df: DataFrame, text: str, level: Level) -> DataFrame:
     """One row per chunk of one level: ``chunk_index, chunk``."""
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(split_one_level(F.col(text), level)).alias("chunk_index", "chunk"))
+    return explode_once(df, split_one_level(F.col(text), level), "chunk_index", "chunk", keep)
 
 
 def windows_of(text: Column, size: int, overlap: int) -> Column:
@@ -55,7 +56,7 @@ def windows_of(text: Column, size: int, overlap: int) -> Column:
 def window_split(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
     """Character windows, trimmed, blank ones dropped: ``chunk_index, chunk``."""
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(windows_of(F.col(text), size, overlap)).alias("chunk_index", "chunk"))
+    return explode_once(df, windows_of(F.col(text), size, overlap), "chunk_index", "chunk", keep)
 
 
 def _parents_of(text: Column, splitter: str, parent: Level, child: Level) -> Column:
@@ -87,9 +88,9 @@ def split_parents(
     pid = ids.parent_id(
         F.col("source_id"), F.col("page_url"), F.col("section_index"), F.col("parent_index"), id_scheme
     )
+    place = [*PAGE_COLUMNS, "section_index", "heading"]
     return (
-        sections.withColumn("_parents", _parents_of(F.col("text"), splitter, parent, child))
-        .select("*", F.posexplode("_parents").alias("parent_index", "_p"))
+        explode_once(sections, _parents_of(F.col("text"), splitter, parent, child), "parent_index", "_p", place)
         .select(
             pid.alias("parent_id"),
             *PAGE_COLUMNS,
@@ -112,9 +113,9 @@ def chunks_of(split: DataFrame, id_scheme: str = "section") -> DataFrame:
         F.col("source_id"), F.col("page_url"), F.col("section_index"),
         F.col("parent_index"), F.col("chunk_index"), F.col("child_text"), id_scheme,
     )
+    place = [c for c in split.columns if c not in ("parent_text", "children")]
     return (
-        split.drop("parent_text")
-        .select("*", F.posexplode("children").alias("chunk_index", "child_text"))
+        explode_once(split, F.col("children"), "chunk_index", "child_text", place)
         .select(
             cid.alias("id"),
             "parent_id",

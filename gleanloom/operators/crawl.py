@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanloom.functions import urls
-from gleanloom.scale import broadcast_if_small, cut_lineage
+from gleanloom.scale import broadcast_if_small, cut_lineage, explode_once
 
 # Fixed value: most pages visited per source.
 MAX_PAGES = 100
@@ -37,7 +37,7 @@ def scan_pages(pages: DataFrame) -> DataFrame:
 def extract_links(pages: DataFrame) -> DataFrame:
     """Every resolvable link of every page: ``(page_id, src, href, dst)``."""
     hrefs = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), 1)
-    found = pages.select("page_id", F.col("url").alias("src"), F.explode(hrefs).alias("href"))
+    found = explode_once(pages.withColumnRenamed("url", "src"), hrefs, "at", "href", ["page_id", "src"])
     href = F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))
     return found.select("page_id", "src", "href", urls.resolve(F.col("src"), href).alias("dst")).where(
         F.col("dst").isNotNull()
@@ -112,9 +112,16 @@ def reachable_pages(
         known = captured.select("url").distinct()
         roots = roots.join(known, "url", "left_semi")
         edges = edges.join(known.withColumnRenamed("url", "dst"), "dst", "left_semi")
-    edges = cut_lineage(edges.distinct())
+    # a fixed number of partitions keeps widening levels on all cores; hashing by link, not by page,
+    # spreads a page that holds a third of all links
+    slots = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = cut_lineage(edges.repartition(slots, *keys, "src", "dst").distinct())
     by_url = Window.partitionBy("source_id").orderBy("url")
-    frontier = cut_lineage(roots.select("source_id", "url", F.lit(0).alias("depth")).distinct())
+
+    def kept(level: DataFrame) -> DataFrame:
+        return cut_lineage(level.repartition(slots, "source_id", "url"))
+
+    frontier = kept(roots.select("source_id", "url", F.lit(0).alias("depth")).distinct())
     levels, seen = [frontier], frontier
     depth = 0
     while True:
@@ -122,7 +129,7 @@ def reachable_pages(
         counts = seen.groupBy("source_id").agg(F.count(F.lit(1)).alias("taken")).where(F.col("taken") < limit)
         growing = frontier.join(counts, "source_id").withColumnRenamed("url", "src")
         fresh = (
-            growing.join(edges, [*keys, "src"])
+            edges.join(broadcast_if_small(growing, bound=frontier), [*keys, "src"])
             .select("source_id", F.col("dst").alias("url"), "taken")
             .distinct()
             .join(seen, ["source_id", "url"], "left_anti")
@@ -131,7 +138,7 @@ def reachable_pages(
             .where((F.col("place") <= limit) & (F.col("place") <= F.lit(limit) - F.col("taken")))
             .select("source_id", "url", F.lit(depth).alias("depth"))
         )
-        frontier = cut_lineage(fresh)
+        frontier = kept(fresh)
         if frontier.isEmpty():
             return seen
         levels.append(frontier)

@@ -84,6 +84,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def explode_once(df: DataFrame, array: Column, position: str, value: str, keep: list[str]) -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain explode makes the optimizer add a filter on the array's size, and with it a second evaluation
+    of the whole expression per row; the outer form does not. Empty arrays still give no row.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(position, value)).where(F.col(position).isNotNull())
+
+
 def top_ranked(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows per group with their ``rank`` from 0.
 
