@@ -1,14 +1,12 @@
 """Parquet tables of the corpus: layout, readers and writers.
 
 Chunks, parents and vectors are partitioned by ``workspace_id``, so that every search prunes to its own
-workspaces. A hot workspace spans many files: before the write, rows are spread over
-``(workspace, bucket of id)``, never over the workspace alone.
+workspaces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
@@ -26,16 +24,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
 
-def write_by_workspace(df: DataFrame, path: str, id_col: str, mode: str = "overwrite", buckets: int = 16) -> None:
-    """Write partitioned by workspace, each workspace in at most ``buckets`` clustered files per task wave."""
-    (
-        df.withColumn("_bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)))
-        .repartition("workspace_id", "_bucket")
-        .drop("_bucket")
-        .write.mode(mode)
-        .partitionBy("workspace_id")
-        .parquet(path)
-    )
+def write_by_workspace(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write partitioned by workspace.
+
+    The rebalance hint gathers a workspace's rows into few files and lets adaptive execution split a hot
+    workspace by size over as many tasks as it needs.
+    """
+    df.hint("rebalance", "workspace_id").write.mode(mode).partitionBy("workspace_id").parquet(path)
 
 
 def read_by_workspace(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -24,7 +24,7 @@ def stored(spark, tmp_path_factory):
         F.lit("s").alias("source_id"),
         F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"),
     )
-    write_by_workspace(vectors, path, "chunk_id")
+    write_by_workspace(vectors, path)
     return path
 
 
@@ -64,5 +64,5 @@ def test_scope_is_an_equi_join(spark, no_broadcast):
 
 def test_chunk_table_keeps_string_workspaces(spark, tmp_path):
     rows = spark.createDataFrame([("c", "007")], "id string, workspace_id string")
-    write_by_workspace(rows, str(tmp_path / "c"), "id")
+    write_by_workspace(rows, str(tmp_path / "c"))
     assert read_by_workspace(spark, str(tmp_path / "c"), CHUNKS).first().workspace_id == "007"
