@@ -28,6 +28,12 @@ def owned_by(rows: DataFrame, workspaces: DataFrame, users: DataFrame | None = N
     return rows.join(mine.select("workspace_id"), "workspace_id", "left_semi").select(*rows.columns)
 
 
+def tenant_filter(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of the asked workspaces only; on a table partitioned by workspace the others are not read."""
+    keys = asked.select("workspace_id").distinct()
+    return rows.join(broadcast_if_small(keys), "workspace_id", "left_semi").select(*rows.columns)
+
+
 def _outside(length: Column, limits: tuple[int, int]) -> Column:
     return (length < limits[0]) | (length > limits[1])
 

@@ -355,7 +355,7 @@ def all_oracles() -> dict[str, str]:
             WHERE d.lang = c.workspace_id AND d.source = c.source_id)""",
         "delete_by_workspace": f"""
           SELECT id, workspace_id, source_id FROM ({_CHUNKS}) WHERE workspace_id NOT IN (
-            SELECT lang FROM documents GROUP BY 1 HAVING count(*) % 2 = 0)""",
+            SELECT lang FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING avg(toxic) > 0.125)""",
         "cascade_delete": f"""
           WITH gone AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0),
           kept AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM gone))
@@ -450,6 +450,12 @@ def all_oracles() -> dict[str, str]:
         "keyword_search": f"WITH {_QUESTIONS}, {_CTES_KEYWORD} SELECT * FROM keyword",
         "keyword_search_postings": f"WITH {_QUESTIONS}, {_CTES_KEYWORD} SELECT * FROM keyword",
         "vector_search": f"WITH {_QUESTIONS}, {_CTES_VECTOR} SELECT * FROM vector",
+        "tenant_filter": f"""
+          WITH {_QUESTIONS} SELECT id, workspace_id FROM ({_CHUNKS}) WHERE workspace_id IN (
+            SELECT workspace_id FROM questions WHERE contains(text, 'hahahe'))""",
+        "overfetch": f"""
+          WITH {_QUESTIONS}, {_CTES_KEYWORD}, {_CTES_VECTOR}
+          SELECT *, 'vector' AS list FROM vector UNION ALL SELECT *, 'keyword' FROM keyword""",
         "rrf_fuse": f"{_WITH_FUSED} SELECT * FROM fused",
         "confidence": f"""
           {_WITH_FUSED}

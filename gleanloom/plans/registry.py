@@ -180,8 +180,9 @@ def delete_by_source(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def delete_by_workspace(spark: SparkSession, folder: str) -> DataFrame:
     chunks = samples.search_chunks(spark, folder).select("id", "workspace_id", "source_id")
-    even = chunks.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") % 2 == 0)
-    return tables.delete_by_workspace(chunks, even)
+    labels = read_table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"), "toxic")
+    toxic = chunks.join(labels, "id").groupBy("workspace_id").agg(F.avg("toxic").alias("share"))
+    return tables.delete_by_workspace(chunks, toxic.where(F.col("share") > 0.125))
 
 
 @_query
@@ -478,6 +479,28 @@ def _fused(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def tenant_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of the workspaces in which anyone asks about 'hahahe'."""
+    chunks = samples.search_chunks(spark, folder).select("id", "workspace_id")
+    return tables.tenant_filter(chunks, samples.questions(spark, folder).where(F.col("text").contains("hahahe")))
+
+
+@_query
+def overfetch(spark: SparkSession, folder: str) -> DataFrame:
+    """Both lists of the hybrid search before they are fused."""
+    lists = retrieval.overfetched(
+        samples.search_chunks(spark, folder),
+        samples.search_vectors(spark, folder),
+        samples.questions(spark, folder),
+        analyzer="simple",
+    )
+    by_vector, by_keyword = (
+        hits.withColumn("list", F.lit(name)) for name, hits in zip(("vector", "keyword"), lists, strict=True)
+    )
+    return by_vector.unionByName(by_keyword)
+
+
 @_query
 def rrf_fuse(spark: SparkSession, folder: str) -> DataFrame:
     return _fused(spark, folder)
