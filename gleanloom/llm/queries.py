@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanloom.llm import mixing, sharding
+from gleanloom.llm import decontaminate, minhash, mixing, sharding
 from gleanloom.llm.common import sql_hash60
 from gleanloom.sources.tables import read_table
 
 
+def op3_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.duplicate_classes(read_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op4_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, read_table(spark, folder, "benchmark"))
+
+
 def op6_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id")
     return sharding.assign_shards(docs, F.col("doc_id"))
@@ -23,6 +32,8 @@ def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_weighted_minhash": op3_weighted_minhash,
+    "op4_spaced_seeds": op4_spaced_seeds,
     "op6_lookup_sharding": op6_lookup_sharding,
     "op9_curriculum_mix": op9_curriculum_mix,
 }
