@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanloom.llm import decontaminate, minhash, mixing, sharding
+from gleanloom.llm import decontaminate, minhash, mixing, quality, sharding
 from gleanloom.llm.common import sql_hash60
 from gleanloom.sources.tables import read_table
 
@@ -31,11 +31,17 @@ def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
+def op10_latent_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return quality.quality(docs, read_table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_weighted_minhash": op3_weighted_minhash,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op6_lookup_sharding": op6_lookup_sharding,
     "op9_curriculum_mix": op9_curriculum_mix,
+    "op10_latent_neighbours": op10_latent_neighbours,
 }
 
 
