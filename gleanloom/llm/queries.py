@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanloom.llm import decontaminate, minhash, mixing, quality, sharding
+from gleanloom.llm import decontaminate, minhash, mixing, quality, sharding, toxicity
 from gleanloom.llm.common import sql_hash60
 from gleanloom.sources.tables import read_table
 
@@ -26,6 +26,11 @@ def op6_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(docs, F.col("doc_id"))
 
 
+def op7_folded_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, read_table(spark, folder, "labels"))
+
+
 def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_weighted_minhash": op3_weighted_minhash,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op6_lookup_sharding": op6_lookup_sharding,
+    "op7_folded_lexicon": op7_folded_lexicon,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_latent_neighbours": op10_latent_neighbours,
 }
