@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanloom.llm import decontaminate, minhash, mixing, quality, sharding, toxicity
+from gleanloom.llm import decontaminate, minhash, mixing, quality, records, sharding, toxicity
 from gleanloom.llm.common import sql_hash60
 from gleanloom.sources.tables import read_table
 
@@ -21,6 +21,16 @@ def op4_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(docs, read_table(spark, folder, "benchmark"))
 
 
+def op5_framed_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path, index_path = records.scratch(spark)
+    docs = read_table(spark, folder, "documents")
+    records.write_records(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    index = records.with_starts(records.write_index(spark, path, index_path))
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
+
+
 def op6_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id")
     return sharding.assign_shards(docs, F.col("doc_id"))
@@ -44,6 +54,7 @@ def op10_latent_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_weighted_minhash": op3_weighted_minhash,
     "op4_spaced_seeds": op4_spaced_seeds,
+    "op5_framed_tokens": op5_framed_tokens,
     "op6_lookup_sharding": op6_lookup_sharding,
     "op7_folded_lexicon": op7_folded_lexicon,
     "op9_curriculum_mix": op9_curriculum_mix,
