@@ -188,50 +188,53 @@ def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def audio_features(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, tensors, frames, segments) of rows with ``media``."""
+def computed(batches):
+    """Feature columns beside the stored ones, a few files at a time: features are some times as large as their media."""
+    features = Features()
+    kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            blobs, frames, spans = [], [], []
+            for data in part.column("media").to_pylist():
+                mels, energy = features.log_mels(wav_samples(data)[0])
+                blobs.append(tensors(mels))
+                frames.append(len(mels))
+                spans.append([{"start_s": a, "end_s": b} for a, b in segments(energy)])
+            arrays = [*part.columns, pa.array(blobs, pa.binary()), pa.array(frames, pa.int64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "tensors", "frames", "segments"])
 
-    def compute(batches):
-        features = Features()
-        for batch in batches:
-            # a few files at a time: their features are some times as large as they are
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                blobs, frames, spans = [], [], []
-                for data in part.column("media").to_pylist():
-                    mels, energy = features.log_mels(wav_samples(data)[0])
-                    blobs.append(tensors(mels))
-                    frames.append(len(mels))
-                    spans.append([{"start_s": a, "end_s": b} for a, b in segments(energy)])
-                kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-                arrays = [*part.columns, pa.array(blobs, pa.binary()), pa.array(frames, pa.int64()), pa.array(spans, kind)]
-                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "tensors", "frames", "segments"])
 
+def audio_features(media: DataFrame) -> DataFrame:
+    """The rows of ``media`` with ``tensors``, ``frames`` and ``segments``."""
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
-    return media.mapInArrow(compute, f"{own}, tensors binary, frames long, segments array<struct<start_s: double, end_s: double>>")
-
-
-def digests(rows: DataFrame) -> DataFrame:
-    """Per row the payload, the stored form and the features as digests; all from the bytes that were read back."""
-
-    def digest(batches):
-        for batch in batches:
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "n_segments"]
-            out: list[list] = [[] for _ in names[2:]]
-            for row in batch.select(["media", "tensors", "frames", "segments"]).to_pylist():
-                payload = wav_samples(row["media"])[0]
-                spans = ";".join(f"{s['start_s']:.2f}-{s['end_s']:.2f}" for s in row["segments"])
-                mels = read_tensors(row["tensors"]).column("log_mel").combine_chunks().storage.flatten().to_numpy()
-                rounded = np.round(mels.astype(np.float64), 3) + 0.0
-                feature = hashlib.sha256(rounded.tobytes() + spans.encode()).hexdigest()
-                values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(row["media"]),
-                          hashlib.sha256(row["media"]).hexdigest(), f"{row['frames']}:{feature}", row["frames"], len(row["segments"]))
-                for column, value in zip(out, values):
-                    column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            arrays = [batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, k) for c, k in zip(out, kinds)]]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(digest, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-                           "media_sha256 string, feature string, frames long, n_segments long")
+    return media.mapInArrow(computed, f"{own}, tensors binary, frames long, segments array<struct<start_s: double, end_s: double>>")
+
+
+DIGESTS = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "n_segments"]
+
+
+def digested(batches):
+    """Payload, stored form and features of each row as digests, all from the bytes that were read back."""
+    for batch in batches:
+        out: list[list] = [[] for _ in DIGESTS]
+        for row in batch.select(["media", "tensors", "frames", "segments"]).to_pylist():
+            payload = wav_samples(row["media"])[0]
+            spans = ";".join(f"{s['start_s']:.2f}-{s['end_s']:.2f}" for s in row["segments"])
+            mels = read_tensors(row["tensors"]).column("log_mel").combine_chunks().storage.flatten().to_numpy()
+            rounded = np.round(mels.astype(np.float64), 3) + 0.0
+            feature = hashlib.sha256(rounded.tobytes() + spans.encode()).hexdigest()
+            values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(row["media"]),
+                      hashlib.sha256(row["media"]).hexdigest(), f"{row['frames']}:{feature}", row["frames"], len(row["segments"]))
+            for column, value in zip(out, values):
+                column.append(value)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        arrays = [batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, k) for c, k in zip(out, kinds)]]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", *DIGESTS])
+
+
+def digests(media: DataFrame) -> DataFrame:
+    """Digests of stored media and their features, in one pass."""
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return media.mapInArrow(lambda batches: digested(computed(batches)), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, "
+                            "tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, n_segments long")

@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanloom.llm import audio, decontaminate, minhash, mixing, quality, records, sharding, toxicity
+from gleanloom.llm import audio, decontaminate, minhash, mixing, pii, quality, records, sharding, toxicity
 from gleanloom.llm.common import sql_hash60, written
 from gleanloom.sources.tables import read_table
 
 
+def op1_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, folder, "documents"))
+
+
 def op2_audio_features(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     stored = written(audio.store_media(docs), "media", compression="zstd")
-    return audio.digests(audio.audio_features(stored))
+    return audio.digests(stored)
 
 
 def op3_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +62,7 @@ def op10_latent_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_boosted_pii": op1_boosted_pii,
     "op2_audio_features": op2_audio_features,
     "op3_weighted_minhash": op3_weighted_minhash,
     "op4_spaced_seeds": op4_spaced_seeds,

@@ -54,7 +54,7 @@ def test_rows(spark):
     docs = spark.createDataFrame([(k if k != 3 else None, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, media int")
     stored = audio.store_media(docs)
     rows = audio.audio_features(stored)
-    got = {r["doc_id"]: r for r in audio.digests(rows).collect()}
+    got = {r["doc_id"]: r for r in audio.digests(stored).collect()}
     assert len(got) == len(texts)
     for k, text in enumerate(texts):
         row, payload = got[k if k != 3 else None], audio.padded(text)[0]
@@ -67,4 +67,4 @@ def test_rows(spark):
     table = audio.read_tensors(bytes(first["tensors"]))
     assert table.schema.field("log_mel").type == audio.TENSOR
     assert sum(table.column("frames").to_pylist()) == first["frames"]
-    assert audio.digests(audio.audio_features(audio.store_media(docs.limit(0)))).collect() == []
+    assert audio.digests(audio.store_media(docs.limit(0))).collect() == []
