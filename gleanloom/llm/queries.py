@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanloom.llm import audio, decontaminate, minhash, mixing, pii, quality, records, sharding, toxicity
-from gleanloom.llm.common import sql_hash60, written
+from gleanloom.llm import audio, chat, decontaminate, minhash, mixing, pii, quality, records, sharding, toxicity
+from gleanloom.llm.common import held_out, sql_hash60, written
 from gleanloom.sources.tables import read_table
 
 
@@ -51,6 +51,15 @@ def op7_folded_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(docs, read_table(spark, folder, "labels"))
 
 
+def op8_transcript_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns are written out as plain transcripts; the roles are then found without looking at the role column."""
+    turns = chat.as_transcript(read_table(spark, folder, "conversations"))
+    model = chat.fit(turns.where(~held_out(F.col("id"))), "id", "place", "role", "text")
+    rows = chat.parsed(turns.select("id", "place", "text"), model)
+    return rows.select(F.col("id").alias("conv_id"), "place", "piece", "number", "begins", "role", "n_lines",
+                       F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
+
+
 def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
@@ -69,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_framed_tokens": op5_framed_tokens,
     "op6_lookup_sharding": op6_lookup_sharding,
     "op7_folded_lexicon": op7_folded_lexicon,
+    "op8_transcript_roles": op8_transcript_roles,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_latent_neighbours": op10_latent_neighbours,
 }
