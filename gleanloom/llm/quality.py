@@ -1,6 +1,6 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Fitting takes a bounded sample of labelled rows (``PER_LABEL`` per label, by the order of a hash of the text).
+Fitting takes a bounded sample of labelled rows (``PER_LABEL`` per label, by the order of a hash of the id).
 A text is a vector of hashed features: its words, their prefixes and suffixes, their shapes (case, digits, punctuation), neighbouring
 shapes, and a few measures of the whole text (share of repeated words, lengths, kinds of characters) put
 into bins. Counts are damped, weighted by inverse document frequency and normalised; the truncated singular value
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanloom.llm.common import held_out, whole_text
+from gleanloom.scale import cut_lineage
 
 PER_LABEL = 700
 FEATURES = 1 << 14
@@ -140,17 +141,20 @@ def votes(vectors: np.ndarray, model: Model, neighbours: int = NEIGHBOURS, sharp
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_label: int) -> list:
-    """At most ``per_label`` rows of each label, by the hash of their text: a top-k per label, so each task keeps no more."""
+    """(_text, _label) of at most ``per_label`` rows of each label, by a hash of their id.
+
+    The ids are chosen first, without texts; they are bounded by the parameter and broadcast to fetch their texts.
+    """
     known = labels.where(F.col(f"`{label}`").isin(0, 1)).groupBy(F.col(f"`{doc_id}`").alias("_id")).agg(
         F.min(f"`{label}`").alias("_label"), F.max(f"`{label}`").alias("_other"))
     known = known.where("_label = _other").where(~held_out(F.col("_id")))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), whole_text(text).alias("_text")).join(known, "_id")
-    rows = rows.select("_text", F.col("_label").cast("int").alias("_label"), F.xxhash64("_text").alias("_order"))
-    out = []
-    for value in (0, 1):
-        own = rows.where(F.col("_label") == value).orderBy("_order", "_text").limit(per_label)
-        out += own.select("_text", "_label").collect()
-    return out
+    known = known.select("_id", F.col("_label").cast("int").alias("_label"), F.xxhash64("_id").alias("_order"))
+    known = known.join(docs.select(F.col(f"`{doc_id}`").alias("_id")), "_id", "left_semi")
+    sides = [known.where(F.col("_label") == value).orderBy("_order", "_id").limit(per_label) for value in (0, 1)]
+    chosen = cut_lineage(sides[0].unionByName(sides[1]))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), whole_text(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    first = rows.groupBy("_id", "_label", "_order").agg(F.min("_text").alias("_text"))
+    return sorted(first.select("_label", "_order", "_text").collect(), key=lambda r: (r["_label"], r["_order"], r["_text"]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",

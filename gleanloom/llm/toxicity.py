@@ -76,7 +76,7 @@ class Lexicon:
     trained: bool = False
 
 
-def learn(texts: list[str], labels: list[int]) -> Lexicon:
+def learn(texts: list[str], labels: list[int], least_weight: float = LEAST_WEIGHT) -> Lexicon:
     """Lexicon, exceptions and curve from the sample; equal texts count once."""
     sample = list(dict.fromkeys(zip(map(" ".join, map(folded, texts)), labels)))
     toxic, clean = [t for t, y in sample if y], [t for t, y in sample if not y]
@@ -92,7 +92,7 @@ def learn(texts: list[str], labels: list[int]) -> Lexicon:
     def weight(e: str) -> float:
         return math.log((hits[e] + 0.5) / (len(toxic) + 1)) - math.log((misses[e] + 0.5) / (len(clean) + 1))
 
-    weights = {e: w for e in hits if (w := weight(e)) >= LEAST_WEIGHT}
+    weights = {e: w for e in hits if (w := weight(e)) >= least_weight}
     chosen = cover([own & weights.keys() for own in found], weights)
     lexicon = Lexicon({e: weights[e] for e in chosen})
     lexicon.exceptions = exceptions(lexicon, toxic, clean)
@@ -133,6 +133,8 @@ def cover(found: list, weights: dict[str, float]) -> list[str]:
 
 def exceptions(lexicon: Lexicon, toxic: list[str], clean: list[str], least: int = 2) -> list[str]:
     """Phrases around hits that at least ``least`` clean texts and no toxic text hold."""
+    if not lexicon.weights:
+        return []
     automaton = built(lexicon)
 
     def phrases(text: str) -> set[str]:
