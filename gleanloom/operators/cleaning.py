@@ -19,10 +19,10 @@ def extract_content(pages: DataFrame) -> DataFrame:
 
 
 def drop_reason(content: str = "content", failed: str = "failed"):
-    """Why the crawler skips a page; NULL for a good one."""
+    """Why the crawler skips a page; NULL for a good one. A page of unknown outcome counts as failed."""
     length = F.length(content)
     return (
-        F.when(F.col(failed), "failed")
+        F.when(F.coalesce(F.col(failed), F.lit(True)), "failed")
         .when(F.coalesce(length, F.lit(0)) == 0, "empty")
         .when(length <= MIN_PAGE, "short")
     )
@@ -33,7 +33,7 @@ def audit_pages(pages: DataFrame) -> DataFrame:
 
 
 def quality_gate(pages: DataFrame) -> DataFrame:
-    return pages.where(~F.col("failed") & (F.length("content") > MIN_PAGE))
+    return pages.where(drop_reason().isNull())
 
 
 def split_failures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +48,7 @@ def source_outcome(pages: DataFrame) -> DataFrame:
         pages.groupBy("source_id")
         .agg(
             F.count(F.lit(1)).alias("n_pages"),
-            F.count_if("failed").alias("n_failed"),
+            F.count_if(F.coalesce("failed", F.lit(True))).alias("n_failed"),
         )
         .select(
             "source_id",

@@ -7,37 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanloom.functions import urls
+from gleanloom.functions.html import without_comments, without_element
 from gleanloom.scale import broadcast_if_small, cut_lineage, explode_once
 
-# Fixed value: most pages visited per source.
+# Fixed value: most pages visited per source, a limit that callers name.
 MAX_PAGES = 100
 
 
 def scan_pages(pages: DataFrame) -> DataFrame:
-    """Each URL once: the first capture by page_id.
+    """Each URL once: the first capture by page_id, unknown ids last, then by the html's hash.
 
-    Only ids and URLs are compared. The html moves only when the repeats are too many to broadcast.
+    Only ids, hashes and URLs are compared. The html moves only when the repeated URLs are too many to broadcast,
+    and that of a repeated URL's first captures.
     """
+    order = F.struct(F.col("page_id").isNull(), "page_id", F.coalesce(F.md5("html"), F.lit("")))
     named = pages.where(F.col("url").isNotNull())
-    first = (
-        named.groupBy("url")
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-        .select("url", "first_id")
-    )
-    repeats = (
-        named.select("page_id", "url")
-        .join(broadcast_if_small(first), "url")
-        .where(F.col("page_id") != F.col("first_id"))
-        .select("page_id")
-    )
-    return named.join(broadcast_if_small(repeats), "page_id", "left_anti")
+    first = named.groupBy("url").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    placed = named.join(broadcast_if_small(cut_lineage(first)), "url", "left")
+    once = placed.where(F.col("_first").isNull())
+    again = placed.where(F.col("_first") == order).dropDuplicates(["url"])
+    return once.unionByName(again).select(*pages.columns)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """Every resolvable link of every page: ``(page_id, src, href, dst)``."""
-    hrefs = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), 1)
-    found = explode_once(pages.withColumnRenamed("url", "src"), hrefs, "at", "href", ["page_id", "src"])
+    """Every resolvable link of every page: ``(page_id, src, href, dst)``; links in comments, scripts and styles are none."""
+    hrefs = F.regexp_extract_all("_html", F.lit(r"""(?i)<a\s(?:[^<>]*\s)?href\s*=\s*["']([^"'<>]+)["']"""), 1)
+    visible = without_element(without_element(without_comments(F.coalesce("html", F.lit(""))), "script"), "style")
+    read = pages.select("page_id", F.col("url").alias("src"), visible.alias("_html"))
+    found = explode_once(read, hrefs, "at", "href", ["page_id", "src"])
     href = F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))
     return found.select("page_id", "src", "href", urls.resolve(F.col("src"), href).alias("dst")).where(
         F.col("dst").isNotNull()
@@ -97,9 +94,9 @@ def scope_pages(pages: DataFrame, sources: DataFrame, suffixes: DataFrame | None
 
 
 def reachable_pages(
-    roots: DataFrame, links: DataFrame, limit: int = MAX_PAGES, captured: DataFrame | None = None
+    roots: DataFrame, links: DataFrame, limit: int | None, captured: DataFrame | None = None
 ) -> DataFrame:
-    """Breadth-first walk per source: ``(source_id, url, depth)``, at most ``limit`` pages each.
+    """Breadth-first walk per source: ``(source_id, url, depth)``, at most ``limit`` pages each, all of them for None.
 
     ``roots(source_id, url)``; ``links(src, dst)`` holds admitted links, or ``links(source_id, src, dst)``
     when admission depends on the source. ``captured(url)`` limits the walk to pages that were fetched.
@@ -112,36 +109,47 @@ def reachable_pages(
         known = captured.select("url").distinct()
         roots = roots.join(known, "url", "left_semi")
         edges = edges.join(known.withColumnRenamed("url", "dst"), "dst", "left_semi")
-    # a fixed number of partitions keeps widening levels on all cores; hashing by link, not by page,
-    # spreads a page that holds a third of all links
-    slots = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = cut_lineage(edges.repartition(slots, *keys, "src", "dst").distinct())
+    # hashing by link, not by page, spreads a page that holds a third of all links
+    spread = [*keys, "src", "dst"]
+    edges = cut_lineage(edges.distinct().repartition(*spread))
     by_url = Window.partitionBy("source_id").orderBy("url")
 
     def kept(level: DataFrame) -> DataFrame:
-        return cut_lineage(level.repartition(slots, "source_id", "url"))
+        return cut_lineage(level.repartition("source_id", "url"))
 
     frontier = kept(roots.select("source_id", "url", F.lit(0).alias("depth")).distinct())
     levels, seen = [frontier], frontier
     depth = 0
     while True:
         depth += 1
-        counts = seen.groupBy("source_id").agg(F.count(F.lit(1)).alias("taken")).where(F.col("taken") < limit)
+        counts = seen.groupBy("source_id").agg(F.count(F.lit(1)).alias("taken"))
+        counts = counts if limit is None else counts.where(F.col("taken") < limit)
         growing = frontier.join(counts, "source_id").withColumnRenamed("url", "src")
         fresh = (
             edges.join(broadcast_if_small(growing, bound=frontier), [*keys, "src"])
             .select("source_id", F.col("dst").alias("url"), "taken")
             .distinct()
             .join(seen, ["source_id", "url"], "left_anti")
-            .withColumn("place", F.row_number().over(by_url))
-            # the constant bound lets each task drop the rest before the shuffle
-            .where((F.col("place") <= limit) & (F.col("place") <= F.lit(limit) - F.col("taken")))
-            .select("source_id", "url", F.lit(depth).alias("depth"))
         )
-        frontier = kept(fresh)
+        if limit is not None:
+            # the constant bound lets each task drop the rest before the shuffle
+            bound = (F.col("place") <= limit) & (F.col("place") <= F.lit(limit) - F.col("taken"))
+            fresh = fresh.withColumn("place", F.row_number().over(by_url)).where(bound)
+        frontier = kept(fresh.select("source_id", "url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             return seen
         levels.append(frontier)
         seen = levels[0]
         for level in levels[1:]:
             seen = seen.unionByName(level)
+
+
+def cut_sources(walked: DataFrame, links: DataFrame, limit: int) -> DataFrame:
+    """``(source_id, n_pages, cut)``: whether the walk of a source ended at its limit with links left to follow."""
+    keys = ["source_id"] if "source_id" in links.columns else []
+    ends = walked.withColumnRenamed("url", "src").join(links.select(*keys, "src", "dst"), [*keys, "src"])
+    unseen = ends.select("source_id", F.col("dst").alias("url")).distinct().join(walked, ["source_id", "url"], "left_anti")
+    more = unseen.select("source_id").distinct().withColumn("_more", F.lit(True))
+    sizes = walked.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    full = (F.col("n_pages") >= limit) & F.coalesce("_more", F.lit(False))
+    return sizes.join(more, "source_id", "left").select("source_id", "n_pages", full.alias("cut"))

@@ -1,79 +1,38 @@
-"""Reports over workspaces, sources and messages. Children are aggregated before they are joined."""
+"""Reports over workspaces, sources and messages: flat rows of one shape at every size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanloom.scale import broadcast_if_small
 
-# Most sources nested in one report row; a workspace with more has several rows, told apart by `part`.
-SOURCES_PER_ROW = 10_000
+def _of_users(workspaces: DataFrame, user_id: str | None) -> DataFrame:
+    return workspaces if user_id is None else workspaces.where(F.col("user_id") == user_id)
 
 
-def _nested_sources(sources: DataFrame, columns: list[str], per_row: int) -> DataFrame:
-    """``(workspace_id, part, sources)``: lists of bounded length, so that no workspace fills one task."""
-    large = (
-        sources.groupBy("workspace_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > per_row)
-        .select("workspace_id", F.ceil(F.col("_n") / (per_row / 2)).alias("_parts"))
-    )
-    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
-    return (
-        sources.join(broadcast_if_small(large), "workspace_id", "left")
-        .groupBy("workspace_id", part.alias("part"))
-        .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("sources"))
-    )
+def _with_sources(workspaces: DataFrame, sources: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per workspace and source, and one for a workspace without sources; no list is collected."""
+    named = sources.select(F.col("workspace_id").alias("_of"), *[F.col(c).alias(f"source_{c}") for c in columns])
+    return workspaces.join(named, F.col("id") == F.col("_of"), "left").drop("_of")
 
 
-def _of_users(workspaces: DataFrame, user_id: str | None) -> DataFrame:
-    return workspaces if user_id is None else workspaces.where(F.col("user_id") == user_id)
+def workspace_list(workspaces: DataFrame, sources: DataFrame, user_id: str | None = None) -> DataFrame:
+    """Workspaces of one user, or of all, newest first, with ``source_id, source_status`` of each of their sources."""
+    listed = _with_sources(_of_users(workspaces, user_id), sources, ["id", "status"])
+    return listed.orderBy("user_id", F.col("created_at").desc(), "id", "source_id")
 
 
-def workspace_list(
-    workspaces: DataFrame,
-    sources: DataFrame,
-    messages: DataFrame,
-    user_id: str | None = None,
-    per_row: int = SOURCES_PER_ROW,
-) -> DataFrame:
-    """Workspaces of one user, or of all: nested sources ``(id, status)`` and message count, newest first."""
-    mine = _of_users(workspaces, user_id)
-    per_source = _nested_sources(sources, ["id", "status"], per_row)
-    per_message = messages.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("message_count"))
-    keyed = mine.withColumn("workspace_id", F.col("id"))
-    nothing = F.array().cast(per_source.schema["sources"].dataType)
-    return (
-        keyed.join(per_source, "workspace_id", "left")
-        .join(per_message, "workspace_id", "left")
-        .select(
-            *workspaces.columns,
-            F.coalesce("part", F.lit(0)).alias("part"),
-            F.coalesce("sources", nothing).alias("sources"),
-            F.coalesce("message_count", F.lit(0)).cast("long").alias("message_count"),
-        )
-        .orderBy("user_id", F.col("created_at").desc(), "id", "part")
-    )
+def message_counts(workspaces: DataFrame, messages: DataFrame, user_id: str | None = None) -> DataFrame:
+    """``(id, user_id, message_count)``: one row per workspace."""
+    counted = messages.groupBy(F.col("workspace_id").alias("id")).agg(F.count(F.lit(1)).alias("message_count"))
+    mine = _of_users(workspaces, user_id).select("id", "user_id")
+    return mine.join(counted, "id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0)))
 
 
-def workspace_detail(
-    workspaces: DataFrame, sources: DataFrame, asked: DataFrame, per_row: int = SOURCES_PER_ROW
-) -> DataFrame:
-    """The asked workspaces ``(id, user_id)`` of their owners, with all columns of their sources."""
+def workspace_detail(workspaces: DataFrame, sources: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked workspaces ``(id, user_id)`` of their owners, a row for each of their sources with all its columns."""
     mine = workspaces.join(asked.select("id", "user_id").distinct(), ["id", "user_id"], "left_semi")
-    wanted = sources.join(mine.select(F.col("id").alias("workspace_id")), "workspace_id", "left_semi")
-    nested = _nested_sources(wanted, sources.columns, per_row)
-    nothing = F.array().cast(nested.schema["sources"].dataType)
-    return (
-        mine.withColumn("workspace_id", F.col("id"))
-        .join(nested, "workspace_id", "left")
-        .select(
-            *workspaces.columns,
-            F.coalesce("part", F.lit(0)).alias("part"),
-            F.coalesce("sources", nothing).alias("sources"),
-        )
-    )
+    return _with_sources(mine, sources, [c for c in sources.columns if c != "workspace_id"])
 
 
 def source_list(sources: DataFrame, workspaces: DataFrame, asked: DataFrame) -> DataFrame:

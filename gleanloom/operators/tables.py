@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanloom.functions.urls import is_valid_url
-from gleanloom.scale import broadcast_if_small, fits_broadcast
+from gleanloom.scale import broadcast_if_small, cut_lineage, fits_broadcast, in_workspaces
 from gleanloom.sources.model import MESSAGE_ROLE, SOURCE_STATUS
 
 # On an upsert of an existing chunk only these change.
@@ -29,9 +29,8 @@ def owned_by(rows: DataFrame, workspaces: DataFrame, users: DataFrame | None = N
 
 
 def tenant_filter(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of the asked workspaces only; on a table partitioned by workspace the others are not read."""
-    keys = asked.select("workspace_id").distinct()
-    return rows.join(broadcast_if_small(keys), "workspace_id", "left_semi").select(*rows.columns)
+    """Rows of the asked workspaces only; on a table partitioned by workspace the others are not read while few are asked."""
+    return in_workspaces(rows, asked).select(*rows.columns)
 
 
 def _outside(length: Column, limits: tuple[int, int]) -> Column:
@@ -77,17 +76,22 @@ def intake_sources(
     Rejected: not the owner, or no valid URL. Conflict: the pair (url, workspace) exists or an earlier
     request of the batch has it. Accepted rows are new sources with status PENDING.
     """
-    own = owned_by(requests, workspaces)
-    foreign = requests.join(own.select("id"), "id", "left_anti").withColumn("errors", F.array(F.lit("workspace")))
+    # every row is judged by itself: ids may repeat or be missing, and a missing one is made from the request
+    made = F.md5(F.to_json(F.struct("url", "workspace_id", "user_id", F.col("created_at").cast("string"))))
+    rows = requests.withColumn("id", F.coalesce("id", made)).withColumn("_row", F.monotonically_increasing_id())
+    owners = workspaces.select(F.col("id").alias("workspace_id"), "user_id").distinct().withColumn("_own", F.lit(True))
+    rows = cut_lineage(rows.join(owners, ["workspace_id", "user_id"], "left").select(*requests.columns, "_row", "_own"))
+    own = rows.where("_own").drop("_own")
+    foreign = rows.where("_own is null").drop("_own").withColumn("errors", F.array(F.lit("workspace")))
     valid, invalid = split_valid(own, url_errors(F.col("url")))
     # the earliest request of each pair, by an aggregate: a URL asked for a million times is no hot sort
     earliest = (
         valid.groupBy("url", "workspace_id")
-        .agg(F.min(F.struct("created_at", "id")).alias("_first"))
+        .agg(F.min(F.struct("created_at", "id", "_row")).alias("_first"))
         .join(existing.select("url", "workspace_id"), ["url", "workspace_id"], "left_anti")
-        .select(F.col("_first.id").alias("id"), F.lit(True).alias("_fresh"))
+        .select(F.col("_first._row").alias("_row"), F.lit(True).alias("_fresh"))
     )
-    placed = valid.join(earliest, "id", "left").withColumn("_fresh", F.coalesce("_fresh", F.lit(False)))
+    placed = valid.join(earliest, "_row", "left").withColumn("_fresh", F.coalesce("_fresh", F.lit(False)))
     accepted = placed.where("_fresh").select(
         "id",
         "url",
@@ -99,7 +103,12 @@ def intake_sources(
         "created_at",
     )
     conflicts = placed.where(~F.col("_fresh")).select(*requests.columns)
-    return accepted, conflicts, foreign.unionByName(invalid)
+    return accepted, conflicts, foreign.unionByName(invalid).drop("_row")
+
+
+def _total(log: DataFrame, version: str) -> Column:
+    """Order of a log's rows: by version, then by content, so that equal versions are decided alike on every run."""
+    return F.struct(F.col(version), F.md5(F.to_json(F.struct(*[c for c in log.columns if c != version]))))
 
 
 def latest_chunks(log: DataFrame, version: str = "version") -> DataFrame:
@@ -110,8 +119,9 @@ def latest_chunks(log: DataFrame, version: str = "version") -> DataFrame:
     """
     fixed = [c for c in log.columns if c not in (*MUTABLE_CHUNK_COLUMNS, "id", version)]
     changing = [c for c in log.columns if c in MUTABLE_CHUNK_COLUMNS]
+    order = _total(log, version)
     latest = log.groupBy("id").agg(
-        F.min_by(F.struct(*fixed), version).alias("_first"), F.max_by(F.struct(*changing), version).alias("_last")
+        F.min_by(F.struct(*fixed), order).alias("_first"), F.max_by(F.struct(*changing), order).alias("_last")
     )
     return latest.select("id", "_first.*", "_last.*")
 
@@ -156,7 +166,7 @@ def latest_vectors(log: DataFrame, version: str = "version") -> DataFrame:
     rest = [c for c in log.columns if c not in (*keys, version)]
     return (
         log.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), version).alias("_last"))
+        .agg(F.max_by(F.struct(*rest), _total(log, version)).alias("_last"))
         .select(*keys, "_last.*")
     )
 
@@ -219,13 +229,13 @@ def apply_patches(rows: DataFrame, patches: DataFrame, fields: list[str]) -> Dat
     """Partial updates: per id and field the last patch (by ``seq``) that sets the field wins.
 
     A patch sets a field by a value, or to NULL by naming it in ``null_fields array<string>``. Patches
-    are combined per id before the join; an unknown id changes nothing.
+    are combined per id before the join; an unknown id changes nothing. Patches of equal ``seq`` are taken by value.
     """
     last = []
     for f in fields:
         sets = F.col(f).isNotNull() | F.coalesce(F.array_contains("null_fields", f), F.lit(False))
         value = F.when(~F.coalesce(F.array_contains("null_fields", f), F.lit(False)), F.col(f))
-        last.append(F.max_by(F.struct(value.alias("value")), F.when(sets, F.col("seq"))).alias(f"_set_{f}"))
+        last.append(F.max_by(F.struct(value.alias("value")), F.when(sets, F.struct("seq", value.alias("value")))).alias(f"_set_{f}"))
     combined = patches.groupBy("id").agg(*last)
     patched = {
         f: F.when(F.col(f"_set_{f}").isNotNull(), F.col(f"_set_{f}.value")).otherwise(F.col(f)) for f in fields

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from gleanloom.functions.html import ARTICLE, DROPPED, ENTITIES, LINE_ENDS, MAIN, OUTSIDE_BODY, TAG, TITLE
+from gleanloom.functions.html import BLOCK_TAGS, DROPPED_ELEMENTS, ENTITIES
 from gleanloom.functions.text import TOKEN_PATTERN, WHITE_SPACE, WHITE_SPACE_CLASS
 from gleanloom.functions.urls import DOMAIN, HOST, SKIPPED_PARTS
 
+# Content patterns in the form of the contract, for an engine whose matcher is linear.
+TAG = r"</?[A-Za-z!][^<>]*>"
+TITLE = r"(?is)<title(?:\s[^<>]*)?>(.*?)</title\s*>"
+ARTICLE = r"(?is)<article(?:\s[^<>]*)?>(.*?)</article\s*>"
+MAIN = r"(?is)<main(?:\s[^<>]*)?>(.*?)</main\s*>"
+DROPPED = (
+    r"(?is)<!--.*?-->|"
+    + "|".join(rf"<{name}(?:\s[^<>]*)?>.*?</{name}\s*>" for name in DROPPED_ELEMENTS)
+    + r"""|<div\s[^<>]*class=["']?(?:ad|ads|advert)\b[^<>]*>.*?</div\s*>"""
+)
+OUTSIDE_BODY = r"(?is)<head(?:\s[^<>]*)?>.*?</head\s*>|<!doctype[^<>]*>"
+LINE_ENDS = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:\s[^<>]*)?/?>"
+
 
 def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -161,7 +174,9 @@ _LINKS = f"""
               || regexp_replace({_path("src")}, '[^/]*$', '') || link END AS dst
   FROM (SELECT page_id, src, href, replace(href, '&amp;', '&') AS link
         FROM (SELECT page_id, url AS src,
-                unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1)) AS href FROM pages))
+                unnest(regexp_extract_all(
+                  regexp_replace(html, '(?is)<!--.*?-->|<script(?:\\s[^<>]*)?>.*?</script\\s*>|<style(?:\\s[^<>]*)?>.*?</style\\s*>', '', 'g'),
+                  '(?i)<a\\s(?:[^<>]*\\s)?href\\s*=\\s*["'']([^"''<>]+)["'']', 1)) AS href FROM pages))
   WHERE trim(link) <> ''"""
 
 _QUESTIONS = f"""
@@ -316,6 +331,24 @@ def all_oracles() -> dict[str, str]:
               '/' || regexp_extract({_path("url")}, '^/([^/]*)', 1) AS root_path FROM pages) USING (domain)
           WHERE starts_with({_path("url")}, root_path)""",
         "reachable_pages": _reachable(8),
+        "reachable_all": """
+          WITH orders_of AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o FROM orders)
+          SELECT c_custkey::VARCHAR AS source_id, 'https://shop.example.com/customers/' || c_custkey AS url, 0 AS depth FROM customer
+          UNION ALL SELECT c::VARCHAR, 'https://shop.example.com/orders/' || o, 1 FROM orders_of
+          UNION ALL SELECT DISTINCT c::VARCHAR, 'https://shop.example.com/parts/' || l_partkey, 2
+          FROM orders_of JOIN lineitem ON l_orderkey = o""",
+        "cut_sources": f"""
+          WITH walked AS MATERIALIZED ({_reachable(8)}),
+          next AS (
+            SELECT source_id, 'https://shop.example.com/parts/' || l_partkey AS url
+            FROM walked JOIN lineitem ON url = 'https://shop.example.com/orders/' || l_orderkey
+            UNION SELECT source_id, 'https://shop.example.com/orders/' || l_orderkey
+            FROM walked JOIN lineitem ON url = 'https://shop.example.com/parts/' || l_partkey
+            UNION SELECT source_id, 'https://shop.example.com/orders/' || o_orderkey
+            FROM walked JOIN orders ON url = 'https://shop.example.com/customers/' || o_custkey),
+          more AS (SELECT DISTINCT source_id FROM next WHERE (source_id, url) NOT IN (SELECT (source_id, url) FROM walked))
+          SELECT source_id, count(*) AS n_pages, count(*) >= 100 AND source_id IN (SELECT source_id FROM more) AS cut
+          FROM walked GROUP BY source_id""",
         "intake_sources": f"""
           WITH requests AS ({_REQUESTS}),
           judged AS (
@@ -450,9 +483,13 @@ def all_oracles() -> dict[str, str]:
         "keyword_search": f"WITH {_QUESTIONS}, {_CTES_KEYWORD} SELECT * FROM keyword",
         "keyword_search_postings": f"WITH {_QUESTIONS}, {_CTES_KEYWORD} SELECT * FROM keyword",
         "vector_search": f"WITH {_QUESTIONS}, {_CTES_VECTOR} SELECT * FROM vector",
+        "vector_index_quality": f"""
+          WITH {_QUESTIONS}, {_CTES_VECTOR}
+          SELECT workspace_id, count(*) AS n_true, true AS recall_reached, true AS few_products
+          FROM vector JOIN questions USING (question_id) GROUP BY workspace_id""",
         "tenant_filter": f"""
-          WITH {_QUESTIONS} SELECT id, workspace_id FROM ({_CHUNKS}) WHERE workspace_id IN (
-            SELECT workspace_id FROM questions WHERE contains(text, 'hahahe'))""",
+          SELECT id, workspace_id FROM ({_SOURCES})
+          WHERE workspace_id IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_acctbal < 0)""",
         "overfetch": f"""
           WITH {_QUESTIONS}, {_CTES_KEYWORD}, {_CTES_VECTOR}
           SELECT *, 'vector' AS list FROM vector UNION ALL SELECT *, 'keyword' FROM keyword""",
@@ -473,28 +510,36 @@ def all_oracles() -> dict[str, str]:
             min(source_id) AS parent_text
           FROM fused JOIN ({_CHUNKS}) USING (id) GROUP BY 1, 2""",
         "workspace_list": f"""
-          SELECT w.*, coalesce(sources, '') AS sources, coalesce(n, 0) AS message_count
+          SELECT w.*, s.id AS source_id, s.status AS source_status
+          FROM ({_WORKSPACES}) w LEFT JOIN ({_SOURCES}) s ON s.workspace_id = w.id""",
+        "workspace_messages": f"""
+          SELECT w.id, w.user_id, coalesce(n, 0) AS message_count
           FROM ({_WORKSPACES}) w
-          LEFT JOIN (SELECT workspace_id, string_agg(id || ':' || status, ',' ORDER BY id) AS sources
-                     FROM ({_SOURCES}) GROUP BY 1) s ON s.workspace_id = w.id
           LEFT JOIN (SELECT workspace_id, count(*) AS n FROM ({_MESSAGES}) GROUP BY 1) m ON m.workspace_id = w.id""",
         "workspace_detail": f"""
-          SELECT w.id, name, description, user_id, created_at, coalesce(sources, '') AS sources
-          FROM ({_WORKSPACES}) w
-          LEFT JOIN (SELECT workspace_id, string_agg(
-                       concat_ws('|', id, url, workspace_id, status, page_count, chunk_count, error), ','
-                       ORDER BY id) AS sources FROM ({_SOURCES}) GROUP BY 1) s ON s.workspace_id = w.id
+          SELECT w.*, s.id AS source_id, s.url AS source_url, s.status AS source_status, s.page_count AS source_page_count,
+            s.chunk_count AS source_chunk_count, s.error AS source_error, s.created_at AS source_created_at
+          FROM ({_WORKSPACES}) w LEFT JOIN ({_SOURCES}) s ON s.workspace_id = w.id
           WHERE user_id = (w.id::BIGINT % 25)::VARCHAR""",
         "source_list": f"""
           SELECT s.* FROM ({_SOURCES}) s JOIN ({_WORKSPACES}) w ON s.workspace_id = w.id
           WHERE user_id = (w.id::BIGINT % 25)::VARCHAR""",
         "stream_ingest": f"SELECT {hierarchy_columns} FROM ({_hierarchy(_file_pages())})",
+        "stream_ingest_status": f"""
+          SELECT source_id, count(*) AS n_pages, count(*) FILTER (failed) AS n_failed,
+            CASE WHEN bool_and(failed) THEN 'FAILED' ELSE 'DONE' END AS status,
+            CASE WHEN bool_and(failed) THEN 'all pages failed: ' || count(*) END AS error,
+            count(*) AS n_scraped, true AS all_ended
+          FROM ({_extracted(f"SELECT 'src-' || {_domain('url')} AS source_id, url, html FROM pages")}) GROUP BY 1""",
+        "stream_vectors": f"""
+          SELECT id AS chunk_id, workspace_id, source_id, 64 AS width FROM ({_hierarchy(_file_pages())})""",
         "stream_dedup_requests": f"SELECT DISTINCT source_id FROM ({_STATUS_EVENTS}) WHERE status = 'PENDING'",
         "stream_status_latest": f"""
           SELECT source_id, status, ts FROM ({_STATUS_EVENTS})
           QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, event_id DESC) = 1""",
         "stream_status_route": f"""
-          SELECT workspace_id, n_name AS user_id, source_id, status, event_id::INTEGER AS page_count
+          SELECT workspace_id, n_name AS user_id, source_id, status, event_id::INTEGER AS page_count,
+            NULL::INTEGER AS chunk_count, NULL::VARCHAR AS error
           FROM ({_STATUS_EVENTS}) JOIN nation ON n_regionkey::VARCHAR = workspace_id
           WHERE status <> 'FAILED' AND NOT (status = 'DONE' AND event_id % 2 = 0)""",
         "stream_page_progress": f"""

@@ -69,7 +69,22 @@ def scope_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def reachable_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return crawl.reachable_pages(*samples.link_graph(spark, folder))
+    return crawl.reachable_pages(*samples.link_graph(spark, folder), limit=crawl.MAX_PAGES)
+
+
+@_query
+def reachable_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Without a limit, over links that only lead down: every source ends by itself."""
+    roots, links = samples.link_graph(spark, folder)
+    down = links.where(~F.col("src").contains("/parts/"))
+    return crawl.reachable_pages(roots, down, limit=None)
+
+
+@_query
+def cut_sources(spark: SparkSession, folder: str) -> DataFrame:
+    roots, links = samples.link_graph(spark, folder)
+    walked = cut_lineage(crawl.reachable_pages(roots, links, limit=crawl.MAX_PAGES))
+    return crawl.cut_sources(walked, links, crawl.MAX_PAGES)
 
 
 # --- intake and table maintenance ------------------------------------------------------------------
@@ -440,12 +455,12 @@ def attach_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
     return keyword.keyword_search(
         samples.search_chunks(spark, folder), samples.questions(spark, folder), analyzer="simple"
-    )
+    ).drop("workspace_id")
 
 
 @_query
 def keyword_search_english(spark: SparkSession, folder: str) -> DataFrame:
-    return keyword.keyword_search(samples.search_chunks(spark, folder), samples.questions(spark, folder))
+    return keyword.keyword_search(samples.search_chunks(spark, folder), samples.questions(spark, folder)).drop("workspace_id")
 
 
 @_query
@@ -455,19 +470,32 @@ def keyword_search_postings(spark: SparkSession, folder: str) -> DataFrame:
     keyword.write_postings(keyword.build_postings(samples.search_chunks(spark, folder), "simple"), path)
     return keyword.keyword_search_postings(
         spark.read.parquet(path), samples.questions(spark, folder), analyzer="simple"
-    )
+    ).drop("workspace_id")
 
 
 @_query
 def vector_search(spark: SparkSession, folder: str) -> DataFrame:
-    return vector.vector_search(samples.search_vectors(spark, folder), samples.questions(spark, folder))
+    return vector.vector_search(samples.search_vectors(spark, folder), samples.questions(spark, folder)).drop("workspace_id")
 
 
 @_query
 def vector_search_approximate(spark: SparkSession, folder: str) -> DataFrame:
     return vector.approximate_vector_search(
         samples.search_vectors(spark, folder), samples.questions(spark, folder)
-    )
+    ).drop("workspace_id")
+
+
+@_query
+def vector_index_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Per workspace: whether the index finds nine of ten true neighbours with a fifth of the products."""
+    vectors, asked = samples.search_vectors(spark, folder), cut_lineage(samples.questions(spark, folder))
+    centroids = vector.fit_cells(vectors)
+    exact = cut_lineage(vector.vector_search(vectors, asked))
+    found = vector.approximate_vector_search(vectors, asked, centroids=centroids).select("workspace_id", "question_id", "id", F.lit(1).alias("hit"))
+    recall = exact.join(found, ["workspace_id", "question_id", "id"], "left").groupBy("workspace_id").agg(
+        F.count("*").alias("n_true"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+    share = vector.candidate_share(vectors, asked, centroids)
+    return recall.join(share, "workspace_id").select("workspace_id", "n_true", "recall_reached", (F.col("share") <= 0.2).alias("few_products"))
 
 
 def _fused(spark: SparkSession, folder: str) -> DataFrame:
@@ -481,9 +509,10 @@ def _fused(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def tenant_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of the workspaces in which anyone asks about 'hahahe'."""
-    chunks = samples.search_chunks(spark, folder).select("id", "workspace_id")
-    return tables.tenant_filter(chunks, samples.questions(spark, folder).where(F.col("text").contains("hahahe")))
+    """Customers' sources: those of the workspaces of which some owner is in debt."""
+    owing = read_table(spark, folder, "customer").where("c_acctbal < 0")
+    asked = owing.select(F.col("c_custkey").cast("string").alias("workspace_id"))
+    return tables.tenant_filter(samples.sources(spark, folder).select("id", "workspace_id"), asked)
 
 
 @_query
@@ -498,12 +527,12 @@ def overfetch(spark: SparkSession, folder: str) -> DataFrame:
     by_vector, by_keyword = (
         hits.withColumn("list", F.lit(name)) for name, hits in zip(("vector", "keyword"), lists, strict=True)
     )
-    return by_vector.unionByName(by_keyword)
+    return by_vector.unionByName(by_keyword).drop("workspace_id")
 
 
 @_query
 def rrf_fuse(spark: SparkSession, folder: str) -> DataFrame:
-    return _fused(spark, folder)
+    return _fused(spark, folder).drop("workspace_id")
 
 
 @_query
@@ -520,7 +549,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
         samples.questions(spark, folder),
         analyzer="simple",
     )
-    return hits.withColumn("child_text", F.md5("child_text"))
+    return hits.withColumn("child_text", F.md5("child_text")).drop("workspace_id")
 
 
 @_query
@@ -537,11 +566,12 @@ def parent_context(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def workspace_list(spark: SparkSession, folder: str) -> DataFrame:
-    listed = reports.workspace_list(
-        samples.workspaces(spark, folder), samples.sources(spark, folder), samples.messages(spark, folder)
-    )
-    flat = F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["id"], s["status"])), ",")
-    return listed.withColumn("sources", flat).drop("part")
+    return reports.workspace_list(samples.workspaces(spark, folder), samples.sources(spark, folder))
+
+
+@_query
+def workspace_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.message_counts(samples.workspaces(spark, folder), samples.messages(spark, folder))
 
 
 @_query
@@ -549,10 +579,7 @@ def workspace_detail(spark: SparkSession, folder: str) -> DataFrame:
     """Each workspace asked for by a user whose number is the workspace's remainder."""
     spaces = samples.workspaces(spark, folder)
     asked = spaces.select("id", (F.col("id").cast("long") % 25).cast("string").alias("user_id"))
-    detail = reports.workspace_detail(spaces, samples.sources(spark, folder), asked)
-    fields = ["id", "url", "workspace_id", "status", "page_count", "chunk_count", "error"]
-    flat = F.transform("sources", lambda s: F.concat_ws("|", *[s[f].cast("string") for f in fields]))
-    return detail.withColumn("sources", F.array_join(flat, ",")).drop("part")
+    return reports.workspace_detail(spaces, samples.sources(spark, folder), asked)
 
 
 @_query
@@ -565,9 +592,11 @@ def source_list(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
-    """Files of one table of the folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+def _stream(spark: SparkSession, folder: str, table: str, schema: str, by: str) -> DataFrame:
+    """A table, dealt in its order over four files, as a stream that takes one file at a time."""
+    path = scratch_path(spark, f"{table}-files")
+    read_table(spark, folder, table).repartitionByRange(4, by).write.parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _run(stream: DataFrame, spark: SparkSession, name: str, schema: str, **options) -> DataFrame:
@@ -576,21 +605,49 @@ def _run(stream: DataFrame, spark: SparkSession, name: str, schema: str, **optio
     return read_epochs(spark, path, schema)
 
 
-@_query
-def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+def _ingested(spark: SparkSession, folder: str) -> str:
     path = scratch_path(spark, "chunks")
-    pages = _stream(spark, folder, "pages", PAGES)
+    pages = _stream(spark, folder, "pages", PAGES, "page_id")
     sources = samples.page_sources(spark, folder)
     stream_tables.stream_chunks(
         pages, sources, path, scratch_path(spark, "chunks-progress"), splitter="window"
     ).awaitTermination()
-    return stream_tables.current_chunks(spark, path).withColumn("child_text", F.md5("child_text"))
+    return path
+
+
+@_query
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = stream_tables.current_chunks(spark, _ingested(spark, folder))
+    return chunks.withColumn("child_text", F.md5("child_text"))
+
+
+@_query
+def stream_ingest_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources after all micro-batches, and how many stage events of each kind they had."""
+    path = _ingested(spark, folder)
+    events = stream_tables.stage_events(spark, path).groupBy("source_id").agg(
+        F.sum(F.when(F.col("status") == "SCRAPING", F.col("n"))).alias("n_scraped"),
+        F.count_if(F.col("status").isin("DONE", "FAILED")).alias("n_ends"), F.count_if(F.col("status") == "SCRAPING").alias("n_starts"))
+    outcome = cleaning.source_outcome(stream_tables.current_pages(spark, path))
+    return outcome.join(events, "source_id").select("source_id", "n_pages", "n_failed", "status", "error", "n_scraped",
+                                                    (F.col("n_ends") == F.col("n_starts")).alias("all_ended"))
+
+
+@_query
+def stream_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The second stage: chunks of the first are embedded as they come; every current chunk has its vector."""
+    path, vectors = _ingested(spark, folder), scratch_path(spark, "vectors")
+    chunks = cut_lineage(stream_tables.current_chunks(spark, path))
+    model = embedding.fit_embedder(chunks, "child_text", width=64)
+    stream_tables.stream_vectors(path, spark, model, vectors, scratch_path(spark, "vectors-progress")).awaitTermination()
+    current = stream_tables.current_vectors(spark, vectors, chunks)
+    return current.select("chunk_id", "workspace_id", "source_id", F.size("embedding").alias("width"))
 
 
 @_query
 def stream_dedup_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Sign-ups are requests; the horizon is longer than the data, so each source is queued once."""
-    events = samples.status_events(_stream(spark, folder, "events", EVENTS))
+    events = samples.status_events(_stream(spark, folder, "events", EVENTS, "event_id"))
     requests = events.where(F.col("status") == "PENDING").select("source_id", "ts")
     queued = stream_status.dedup_requests(requests, "60 days")
     return _run(queued, spark, "requests", "source_id STRING, ts TIMESTAMP").select("source_id")
@@ -598,7 +655,7 @@ def stream_dedup_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def stream_status_latest(spark: SparkSession, folder: str) -> DataFrame:
-    latest = stream_status.status_latest(samples.status_events(_stream(spark, folder, "events", EVENTS)))
+    latest = stream_status.status_latest(samples.status_events(_stream(spark, folder, "events", EVENTS, "event_id")))
     log = _run(latest, spark, "status", "source_id STRING, status STRING, ts TIMESTAMP", mode="update")
     return latest_by(log, "source_id")
 
@@ -606,7 +663,7 @@ def stream_status_latest(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def stream_status_route(spark: SparkSession, folder: str) -> DataFrame:
     """Events as JSON messages: errors go to another channel and some purchases are broken off."""
-    events = samples.status_events(_stream(spark, folder, "events", EVENTS))
+    events = samples.status_events(_stream(spark, folder, "events", EVENTS, "event_id"))
     message = F.to_json(
         F.struct(
             F.col("workspace_id").alias("workspaceId"),
@@ -625,7 +682,7 @@ def stream_status_route(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_regionkey").cast("string").alias("workspace_id"), F.col("n_name").alias("user_id")
     )
     routed = stream_status.status_route(messages, rooms)
-    fields = "workspace_id STRING, user_id STRING, source_id STRING, status STRING, page_count INT"
+    fields = "workspace_id STRING, user_id STRING, source_id STRING, status STRING, page_count INT, chunk_count INT, error STRING"
     return _run(routed, spark, "routed", fields).drop("epoch")
 
 
@@ -634,6 +691,6 @@ def stream_page_progress(spark: SparkSession, folder: str) -> DataFrame:
     """Good pages per host; pages fetched without TLS have lost their article."""
     url = F.col("url")
     html = F.when(url.startswith("http:"), F.regexp_replace("html", "article", "section")).otherwise(F.col("html"))
-    pages = _stream(spark, folder, "pages", PAGES).select(urls.host(url).alias("source_id"), html.alias("html"))
+    pages = _stream(spark, folder, "pages", PAGES, "page_id").select(urls.host(url).alias("source_id"), "url", html.alias("html"))
     counted = stream_status.page_progress(cleaning.extract_content(pages))
     return latest_by(_run(counted, spark, "progress", "source_id STRING, page_count BIGINT", mode="update"), "source_id")

@@ -59,7 +59,7 @@ def broadcast_if_small(df: DataFrame, bound: DataFrame | None = None) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder of the cluster (``spark.checkpoint.dir``); a fresh local one only when unset."""
+    """Shared folder of the cluster (``spark.checkpoint.dir``); a fresh local one only when unset, and only where one machine runs all."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
@@ -68,6 +68,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gleanloom-checkpoint-"))
         current = context.getCheckpointDir()
     return current
@@ -93,11 +95,24 @@ def explode_once(df: DataFrame, array: Column, position: str, value: str, keep:
     return df.select(*keep, F.posexplode_outer(array).alias(position, value)).where(F.col(position).isNotNull())
 
 
-def top_ranked(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+def top_ranked(df: DataFrame, group: str | list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows per group with their ``rank`` from 0.
 
     The bound is on the row number itself: only then do tasks drop the rest before the shuffle.
     """
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    keys = [group] if isinstance(group, str) else group
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     ranked = df.withColumn("_place", place).where(F.col("_place") <= k)
     return ranked.withColumn("rank", F.col("_place").cast("long") - 1).drop("_place")
+
+
+# Most workspaces that are named in a scan's filter; more are found by a join.
+NAMED_WORKSPACES = 1_000
+
+
+def in_workspaces(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of the asked workspaces. While these are few the filter is a list, which prunes partitions of the table."""
+    some = [r[0] for r in asked.select("workspace_id").distinct().limit(NAMED_WORKSPACES + 1).collect()]
+    if len(some) <= NAMED_WORKSPACES:
+        return rows.where(F.col("workspace_id").isin([w for w in some if w is not None]))
+    return rows.join(broadcast_if_small(asked.select("workspace_id").distinct()), "workspace_id", "left_semi")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gleanloom.scale import cut_lineage
+
 EPOCH = "epoch"
 
 
@@ -18,11 +20,19 @@ def write_epochs(
     mode: str = "append",
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     partition_by: list[str] | None = None,
+    shared: Callable[[DataFrame], DataFrame] | None = None,
+    more: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> StreamingQuery:
-    """Process what is available now and stop; ``prepare`` runs on each micro-batch as a batch frame."""
+    """Process what is available now and stop; ``prepare`` runs on each micro-batch as a batch frame.
+
+    ``more`` names further tables that are made from the same micro-batch, ``shared`` what is done once for all.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = batch if prepare is None else prepare(batch)
+        own = batch if shared is None else cut_lineage(shared(batch))
+        for other, made in (more or {}).items():
+            made(own).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{other}/{EPOCH}={epoch}")
+        rows = own if prepare is None else prepare(own)
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{EPOCH}={epoch}")
 

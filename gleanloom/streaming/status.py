@@ -56,5 +56,7 @@ def status_route(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def page_progress(pages: DataFrame) -> DataFrame:
-    """Running count of good pages per source of ``pages(source_id, content, failed)``."""
+    """Running count of good pages per source of ``pages(source_id, url, content, failed)``; a URL counts by its first capture."""
+    if "url" in pages.columns:
+        pages = pages.dropDuplicates(["source_id", "url"])
     return quality_gate(pages).groupBy("source_id").agg(F.count(F.lit(1)).alias("page_count"))

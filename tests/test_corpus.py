@@ -45,7 +45,7 @@ def test_links_and_walk(spark, pages):
     near = {r.dst for r in crawl.filter_links(links, "/docs", same_domain=True).collect()}
     assert got - near == {"https://other.org/docs"}
     roots = spark.createDataFrame([("s", SITE + "/docs")], "source_id string, url string")
-    walked = crawl.reachable_pages(roots, admitted, captured=pages)
+    walked = crawl.reachable_pages(roots, admitted, crawl.MAX_PAGES, captured=pages)
     assert rows(walked.select("url", "depth")) == [
         (SITE + "/docs", 0), (SITE + "/docs/a", 1), (SITE + "/docs/b", 2), (SITE + "/docs2", 1)
     ]
@@ -55,7 +55,7 @@ def test_walk_limit(spark):
     star = [("r", f"p{i:03d}") for i in range(120)] + [(f"p{i:03d}", f"deep{i:03d}") for i in range(120)]
     links = spark.createDataFrame([*star, ("x", "y"), ("y", "x"), ("y", "z")], "src string, dst string")
     roots = spark.createDataFrame([("s", "r"), ("t", "x")], "source_id string, url string")
-    walked = crawl.reachable_pages(roots, links)
+    walked = crawl.reachable_pages(roots, links, crawl.MAX_PAGES)
     got = rows(walked.where("source_id = 's'").select("url"))
     assert [u for (u,) in got] == [*(f"p{i:03d}" for i in range(99)), "r"]
     assert rows(walked.where("source_id = 't'").select("url", "depth")) == [("x", 0), ("y", 1), ("z", 2)]
@@ -64,7 +64,7 @@ def test_walk_limit(spark):
 def test_walk_with_links_per_source(spark):
     links = spark.createDataFrame([("s", "a", "b"), ("t", "a", "c")], "source_id string, src string, dst string")
     roots = spark.createDataFrame([("s", "a"), ("t", "a")], "source_id string, url string")
-    assert rows(crawl.reachable_pages(roots, links).where("depth = 1").select("source_id", "url")) == [("s", "b"), ("t", "c")]
+    assert rows(crawl.reachable_pages(roots, links, crawl.MAX_PAGES).where("depth = 1").select("source_id", "url")) == [("s", "b"), ("t", "c")]
 
 
 def test_scope(spark, pages):
@@ -183,3 +183,44 @@ def test_ingest_and_reindex(spark, pages):
     assert rows(again) == rows(done.chunks)
     assert rows(parents) == rows(done.parents)
     assert rows(again_vectors.select("chunk_id", "embedding")) == rows(vectors.select("chunk_id", "embedding"))
+
+
+def test_scan_keeps_one_row_of_equal_and_missing_ids(spark):
+    pages = spark.createDataFrame(
+        [(1, "u", "b"), (1, "u", "a"), (1, "u", "a"), (None, "v", "y"), (None, "v", "x"), (None, "w", None), (7, "v", "late"), (None, None, "n")],
+        "page_id long, url string, html string")
+    assert rows(crawl.scan_pages(pages)) == rows(spark.createDataFrame([(1, "u", "a"), (7, "v", "late"), (None, "w", None)], pages.schema))
+
+
+def test_links_are_those_of_anchors(spark):
+    html = """<link href="/x"><a data-href="/y">t</a><!-- <a href="/c">c</a> --><script>'<a href="/s">'</script><A
+      class="k" HREF='/ok'>ok</A><a href="/two">2</a>"""
+    pages = spark.createDataFrame([(1, "http://h.example/", html), (2, "http://h.example/", None)], "page_id long, url string, html string")
+    assert [r.href for r in crawl.extract_links(pages).collect()] == ["/ok", "/two"]
+
+
+def test_walk_without_limit_and_cut_sources(spark):
+    links = spark.createDataFrame([(f"p{k}", f"p{k + 1}") for k in range(12)], "src string, dst string")
+    roots = spark.createDataFrame([("s", "p0"), ("t", "p9")], "source_id string, url string")
+    assert crawl.reachable_pages(roots, links, limit=None).where("source_id = 's'").count() == 13
+    walked = crawl.reachable_pages(roots, links, limit=4)
+    assert rows(crawl.cut_sources(walked, links, 4)) == [("s", 4, True), ("t", 4, False)]
+
+
+def test_broken_html_takes_linear_time(spark):
+    import time
+
+    n = 2_000_000
+    broken = ["<form>" * (n // 6), "<!-- x" * (n // 6), "<a href='x' " * (n // 12), "<article>" * (n // 9), "<div class='ad'" * (n // 15), "<title>" * (n // 7)]
+    for html in broken:
+        pages = spark.createDataFrame([(1, "http://h.example/", html)], "page_id long, url string, html string")
+        start = time.monotonic()
+        cleaning.extract_content(pages).collect()
+        crawl.extract_links(pages).collect()
+        assert time.monotonic() - start < 20
+
+
+def test_unknown_outcome_is_a_failed_page(spark):
+    pages = spark.createDataFrame([("x" * 200, None), ("x" * 200, False)], "content string, failed boolean")
+    assert cleaning.quality_gate(pages).count() == 1
+    assert [r.drop_reason for r in cleaning.audit_pages(pages).collect()] == ["failed", None]
