@@ -26,6 +26,9 @@ the class of rows whose ids are all null is null. Other input columns are left a
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -179,7 +182,7 @@ def signer(idf: np.ndarray):
             starts = np.cumsum([0] + [len(h) for h, _ in parts[:-1]])
             samples = sampler(hashes, weight, starts)
             total = pa.array(np.add.reduceat(weight, starts).astype(np.float64))
-            columns = [pa.array(keys, pa.binary()), total, lists(bands_of(samples)), lists(samples.astype(np.uint32).view(np.int32))]
+            columns = [pa.array(keys, pa.binary()), total, lists(bands_of(samples)), lists((samples & 0xFFFF).astype(np.uint16).view(np.int16))]
             return pa.RecordBatch.from_arrays(columns, ["_key", "_weight", "_bands", "_samples"])
 
         for batch in batches:
@@ -270,15 +273,17 @@ def agreeing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
-def candidate(a: str, b: str, threshold: float) -> Column:
-    """Whether two members of a bucket can be near and are not known to be linked."""
-    low, high = F.least(f"{a}._weight", f"{b}._weight"), F.greatest(f"{a}._weight", f"{b}._weight")
-    apart = F.col(f"{a}._own") != F.col(f"{b}._own")
-    return apart & (low >= high * (threshold - 1e-6)) & (agreeing(F.col(f"{a}._samples"), F.col(f"{b}._samples")) >= AGREE)
+def earlier_band(a: Column, b: Column, band: Column) -> Column:
+    """Whether two texts agree in all samples of a band before this one, so that they have met there."""
+    bands = F.when(band > 0, F.sequence(F.lit(0), band - 1)).otherwise(F.array().cast("array<int>"))
+    same = lambda n, k: F.get(a, n * ROWS + k) == F.get(b, n * ROWS + k)
+    return F.exists(bands, lambda n: functools.reduce(operator.and_, [same(n, k) for k in range(ROWS)]))
 
 
-def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return cut_lineage(pairs.select(F.least(f"{a}._key", f"{b}._key").alias("_a"), F.greatest(f"{a}._key", f"{b}._key").alias("_b")).distinct())
+def candidate(a: str, b: str, threshold: float) -> Column:
+    """Whether two texts of a bucket can be near, by their total weights and samples."""
+    low, high = F.least(f"{a}._weight", f"{b}._weight"), F.greatest(f"{a}._weight", f"{b}._weight")
+    return (low >= high * (threshold - 1e-6)) & (agreeing(F.col(f"{a}._samples"), F.col(f"{b}._samples")) >= AGREE)
 
 
 def with_components(members: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -295,39 +300,45 @@ def with_components(members: DataFrame, groups: DataFrame | None) -> tuple[DataF
 
 
 def linked(texts: DataFrame, signatures: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """(_key, _component) of all texts that have a near-duplicate."""
+    """(_key, _component) of all texts that have a near-duplicate.
+
+    Members of buckets are narrow rows; weights and samples are fetched for the pairs of a member and its leader, and
+    carried only into the last join, which they thin out.
+    """
     bands = signatures.select("_key", F.posexplode("_bands").alias("_band", "_bucket"))
     shared = bands.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket")
-    members = bands.join(shared, "_bucket").join(signatures.select("_key", "_weight", "_samples"), "_key")
-    members, main = with_components(cut_lineage(members), None)
+    members, main = with_components(cut_lineage(bands.join(shared, "_bucket")), None)
+    facts = signatures.join(members.select("_key").distinct(), "_key", "left_semi")
+    facts = cut_lineage(facts.select("_key", F.struct("_weight", "_samples").alias("_facts")))
     links, groups = None, None
 
     def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = cut_lineage(compared(pairs, texts, idf, threshold).select("_a", "_b"))
+        new = cut_lineage(compared(cut_lineage(pairs), texts, idf, threshold).select("_a", "_b"))
         every = new if links is None else links.unionByName(new)
         return every, cut_lineage(components(every))
 
     for step in range(MOST_ROUNDS):
         use = members.where(F.col("_band") < FIRST_BANDS) if step == 0 else members
-        rank = F.struct(F.xxhash64(F.lit(step), "_key"), "_key", "_weight", "_own", "_samples")
-        if step == 0:
-            rank = F.struct(F.lit(0).alias("_rank"), "_key", "_weight", "_own", "_samples")
-            leaders = use.groupBy("_bucket").agg(F.min(rank).alias("_leader"))
-        else:
-            leaders = use.join(main.select("_bucket", "_main"), "_bucket").where("_own = _main").groupBy("_bucket").agg(F.min(rank).alias("_leader"))
-        met = use.alias("m").join(leaders.alias("l"), F.col("m._bucket") == F.col("l._bucket")).select("m.*", "l._leader")
-        member = met.select("_leader", F.struct("_key", "_weight", "_own", "_samples").alias("_member"))
-        links, groups = compare(ordered(member.where(candidate("_leader", "_member", threshold)), "_leader", "_member"))
+        led = use if step == 0 else use.join(main.select("_bucket", "_main"), "_bucket").where("_own = _main")
+        rank = F.lit(0) if step == 0 else F.xxhash64(F.lit(step), "_key")
+        leaders = led.groupBy("_bucket").agg(F.min(F.struct(rank.alias("_rank"), "_key", "_own")).alias("_leader"))
+        met = use.join(leaders, "_bucket").where(F.col("_own") != F.col("_leader._own"))
+        pairs = met.select(F.least("_key", "_leader._key").alias("_a"), F.greatest("_key", "_leader._key").alias("_b")).distinct()
+        pairs = pairs.join(facts.toDF("_b", "_fb"), "_b").join(facts.toDF("_a", "_fa"), "_a").where(candidate("_fa", "_fb", threshold))
+        links, groups = compare(pairs.select("_a", "_b"))
         members, main = with_components(members, groups)
         rest = main.agg(F.sum((F.col("_size") - F.col("_main_size")) * F.col("_size")).alias("pairs"), F.sum("_size").alias("rows")).first()
         if step and (rest["pairs"] or 0) <= 8 * (rest["rows"] or 0):
             break
-    side = members.select("_bucket", F.struct("_key", "_weight", "_own", "_samples").alias("_member"))
-    others = members.join(main.select("_bucket", "_main"), "_bucket").where("_own <> _main")
-    others = others.select("_bucket", "_main", F.struct("_key", "_weight", "_own", "_samples").alias("_leader"))
-    once = (F.col("_member._own") == F.col("_main")) | (F.col("_leader._key") < F.col("_member._key"))
-    pairs = others.join(side, "_bucket").where(once & candidate("_leader", "_member", threshold))
-    return compare(ordered(pairs, "_leader", "_member"))[1]
+    side = members.join(facts, "_key").select("_bucket", "_band", F.struct("_key", "_own", "_facts").alias("_member"))
+    others = side.join(main.select("_bucket", "_main"), "_bucket").where("_member._own <> _main")
+    others = others.select("_bucket", "_main", F.col("_member").alias("_other"))
+    once = (F.col("_member._own") == F.col("_main")) | (F.col("_other._key") < F.col("_member._key"))
+    first = ~earlier_band(F.col("_other._facts._samples"), F.col("_member._facts._samples"), F.col("_band"))
+    apart = F.col("_other._own") != F.col("_member._own")
+    met = others.join(side, "_bucket").where(once & apart & candidate("_other._facts", "_member._facts", threshold) & first)
+    pairs = met.select(F.least("_other._key", "_member._key").alias("_a"), F.greatest("_other._key", "_member._key").alias("_b")).distinct()
+    return compare(pairs)[1]
 
 
 def named_keys(rows: DataFrame, threshold: float) -> DataFrame:
@@ -336,7 +347,7 @@ def named_keys(rows: DataFrame, threshold: float) -> DataFrame:
     texts = written(rows.select("_key", "_words").dropDuplicates(["_key"]), "texts", compression="zstd")
     idf = document_frequencies(texts)
     texts = texts.where("_words <> ''")
-    signatures = written(texts.mapInArrow(signer(idf), "_key binary, _weight double, _bands array<long>, _samples array<int>"), "signatures")
+    signatures = written(texts.mapInArrow(signer(idf), "_key binary, _weight double, _bands array<long>, _samples array<smallint>"), "signatures")
     groups = linked(texts, signatures, idf, threshold)
     return keys.join(groups, "_key", "left").select("doc_id", "_key", F.coalesce("_component", "_key").alias("_class"))
 
