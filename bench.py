@@ -31,7 +31,11 @@ HEADLINE = [
     "cascade_delete",
     "apply_patches",
     "workspace_list",
+    "scan_pages",
     "scope_pages",
+    "reachable_pages",
+    "parent_context",
+    "stream_ingest",
     "stream_status_latest",
     "stream_page_progress",
 ]

@@ -434,6 +434,9 @@ def all_oracles() -> dict[str, str]:
             s.chunk_count, CASE WHEN error_seq IS NULL THEN s.error ELSE p.error END AS error
           FROM ({_SOURCES}) s LEFT JOIN last l USING (id)
           LEFT JOIN patches p ON p.id = s.id AND p.seq = error_seq""",
+        "reindex_source": f"""
+          SELECT source_id, 64 AS width, count(*) AS n_chunks, 0 AS n_changed
+          FROM ({_hierarchy(_file_pages())}) GROUP BY source_id""",
         "extract_content": f"""
           SELECT page_id, url, title, md5(content) AS content, failed
           FROM ({_extracted("SELECT page_id, url, html FROM pages")})""",
@@ -485,8 +488,7 @@ def all_oracles() -> dict[str, str]:
         "vector_search": f"WITH {_QUESTIONS}, {_CTES_VECTOR} SELECT * FROM vector",
         "vector_index_quality": f"""
           WITH {_QUESTIONS}, {_CTES_VECTOR}
-          SELECT workspace_id, count(*) AS n_true, true AS recall_reached, true AS fewer_products
-          FROM vector JOIN questions USING (question_id) GROUP BY workspace_id""",
+          SELECT count(*) AS n_true, true AS recall_reached, true AS fewer_products FROM vector""",
         "tenant_filter": f"""
           SELECT id, workspace_id FROM ({_SOURCES})
           WHERE workspace_id IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_acctbal < 0)""",
