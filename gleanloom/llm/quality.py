@@ -108,13 +108,14 @@ def fit(texts: list[str], labels: list[int], latent: int = LATENT) -> Model:
     for row, text in enumerate(texts):
         index, value = features(text, cache)
         matrix[row, index] = value
-    idf = np.log((1 + len(texts)) / (1 + (matrix > 0).sum(axis=0))) + 1
-    matrix *= idf
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    idf = np.log((1 + len(texts)) / (1 + np.count_nonzero(matrix, axis=0))) + 1
+    matrix *= idf.astype(np.float32)
+    matrix /= np.maximum(np.sqrt(np.einsum("ij,ij->i", matrix, matrix)), 1e-12)[:, None]
     value, left = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
     order = np.argsort(-value)[: min(latent, len(texts))]
     order = order[value[order] > 1e-9]
-    right = (matrix.T @ left[:, order]) / np.sqrt(value[order])
+    # in single precision throughout: a double copy of the matrix would be the largest thing on the driver
+    right = (matrix.T @ left[:, order].astype(np.float32)) / np.sqrt(value[order]).astype(np.float32)
     projection = (right * idf[:, None]).astype(np.float32)
     vectors = unit(matrix @ right)
     return Model(projection, vectors.astype(np.float32), np.array(labels, np.float32), float(np.mean(labels)))

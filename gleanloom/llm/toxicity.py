@@ -34,7 +34,7 @@ from gleanloom.llm.quality import labelled_sample
 PER_LABEL = 2_000
 COVER = 5
 LEAST = 8
-LEAST_WEIGHT = 4.5
+LEAST_WEIGHT = 2.0
 BEGINNINGS = (3, 4, 5, 6, 7)
 MAX_ENTRIES = 2_000
 CUT = 0.7

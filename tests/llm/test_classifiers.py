@@ -12,16 +12,16 @@ def held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-@pytest.mark.parametrize("run, label, least", [(quality.quality, "quality", 0.97), (toxicity.toxicity, "toxic", 0.99)])
+@pytest.mark.parametrize("run, label, least", [(quality.quality, "quality", 0.98), (toxicity.toxicity, "toxic", 0.98)])
 def test_held_out_accuracy(spark, run, label, least):
     docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
     got = {r["doc_id"]: r for r in run(docs.select("doc_id", "text"), labels).collect()}
     assert len(got) == docs.count()
     assert all(r["held_out"] == held(k) and 0 <= r["score"] <= 1 for k, r in got.items())
     true = {r["doc_id"]: r[label] for r in labels.collect() if held(r["doc_id"])}
+    assert np.mean([got[k]["predicted"] == v for k, v in true.items()]) >= least
     for value in (0, 1):
-        own = [k for k, v in true.items() if v == value]
-        assert np.mean([got[k]["predicted"] == value for k in own]) >= least - (0.05 if label == "quality" and value == 0 else 0)
+        assert np.mean([got[k]["predicted"] == value for k, v in true.items() if v == value]) >= 0.85
 
 
 @pytest.mark.parametrize("run, label, cut", [(quality.quality, "quality", 0.5), (toxicity.toxicity, "toxic", 0.7)])
