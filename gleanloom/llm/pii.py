@@ -3,12 +3,12 @@
 Base spans are leftmost, non-overlapping matches of four patterns; those that fail their check (parts up to 255, Luhn
 sum, numbers of digits) are dropped and nothing is tried in their place. Beyond them, generators with high recall propose
 spans that may overlap: numbers with loose separators, secrets after a keyword, long mixed strings and
-spelled-out mail addresses. Gradient-boosted trees score each by its format and context. The trees are fitted on a bounded sample
-(``SAMPLE_TEXTS`` texts by a hash of the text, at most ``PER_LABEL`` candidates of each label), whose labels come from the checks
-that the trees do not see: checksums, a leading plus, a keyword. On the sample's held-out third each kind gets the
-lowest threshold at which its precision reaches ``PRECISION``.
+spelled-out mail addresses. Gradient-boosted trees score each by its format and context. The trees are fitted on distinct texts
+(of each kind and label at most ``PER_GROUP`` candidates, by hash), with labels from the checks
+that the trees do not see: checksums, a leading plus, a keyword. On all candidates of a held-out third of the distinct texts each kind
+gets the lowest threshold at which its precision reaches ``PRECISION``; a kind without any there gets ``DEFAULT_CUT``.
 
-Everything is SQL functions on arrays within a row: no shuffle, no Python. The patterns are written so that Java's matcher
+Everything is SQL functions on arrays within a row, without Python; only the candidates' features are shuffled. The patterns are written so that Java's matcher
 runs in linear time and constant stack (possessive groups, no start inside a run), with the same matches as their plain forms.
 
 Edge cases: null text is empty; rows without spans have an empty string; without candidates of both labels there are no trees, and
@@ -22,8 +22,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanloom.llm.common import whole_text
-from gleanloom.scale import cut_lineage
+from gleanloom.llm.common import whole_text, written
+from gleanloom.scale import cut_lineage, explode_once, top_ranked
 
 LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
@@ -42,9 +42,12 @@ GENERATORS = {
                 r"(?i)[(\[\x20]dot[)\]\x20]"),
 }
 KINDS = [*BASE, *GENERATORS]
-SAMPLE_TEXTS = 20_000
-PER_LABEL = 2_000
+PER_GROUP = 2_000
 PRECISION = 0.9
+#: Cut of a kind without held-out candidates: what the trees hold more likely than not, the least of all cuts.
+DEFAULT_CUT = 0.5
+#: Cut of a kind whose held-out candidates reach the precision at no cut.
+NEVER = 2.0
 TREES = 12
 DEPTH = 3
 CHUNK = 256
@@ -254,29 +257,39 @@ class Trees:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(self.margin(values) * -2.0))
 
     def selected(self, c: Column) -> Column:
-        """Whether a candidate's probability reaches its kind's threshold."""
-        cut = F.lit(2.0)
+        """Whether a candidate's probability reaches its kind's threshold, or ``DEFAULT_CUT`` where none of the kind was held out."""
+        cut = F.lit(DEFAULT_CUT)
         for kind, value in self.cuts.items():
             cut = F.when(c["kind"] == kind, F.lit(value)).otherwise(cut)
         return self.probability(c["features"]) >= cut
 
 
-def fit(texts: DataFrame, sample_texts: int = SAMPLE_TEXTS, per_label: int = PER_LABEL, precision: float = PRECISION) -> Trees | None:
-    """Trees and thresholds from the texts (``_text``) of a bounded sample; none without candidates of both labels."""
-    rows = texts.count()
-    part = F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < F.lit(min(1_000_000, 1_000_000 * sample_texts // max(rows, 1) + 1))
-    found = candidates(texts.where(part), []).select(F.explode("_cands").alias("c")).select("c.kind", "c.start", "c.label", "c.features")
-    found = cut_lineage(found.withColumn("order", F.xxhash64("kind", "start", "features")))
-    sides = [found.where(F.col("label") == side).orderBy("order", "kind", "start").limit(per_label) for side in (True, False)]
-    rows = cut_lineage(sides[0].unionByName(sides[1]).select("kind", "features", flag(F.col("label")).alias("label"), (F.pmod("order", F.lit(3)) == 0).alias("held")).coalesce(1))
-    counts = {r["label"]: r["count"] for r in rows.where("not held").groupBy("label").count().collect()}
-    if len(counts) < 2:
+def fit(texts: DataFrame, per_group: int = PER_GROUP, precision: float = PRECISION) -> Trees | None:
+    """Trees and thresholds from the candidates of all texts (``_text``); none without candidates of both labels.
+
+    Candidates are written once, and copies of a text count once. A third of the texts is held out. The trees see at
+    most ``per_group`` candidates of each kind and label of the others, the cuts all that are held out.
+    """
+    found = candidates(texts.select("_text", F.xxhash64("_text").alias("_hash")), ["_hash"])
+    found = explode_once(found, F.col("_cands"), "_n", "c", ["_hash"]).select("_hash", "c.kind", "c.start", flag(F.col("c.label")).alias("label"), "c.features")
+    found = found.withColumns({"order": F.xxhash64("_hash", "kind", "start"), "held": F.pmod("_hash", F.lit(3)) == 0})
+    found = written(found.select("kind", "order", "held", "label", "features"), "candidates", compression="zstd")
+    free = found.where("not held").drop("held")
+    sizes = free.groupBy("kind", "label").agg(F.approx_count_distinct("order").alias("n")).collect()
+    if len({r["label"] for r in sizes}) < 2:
         return None
-    train = rows.where("not held").select("label", array_to_vector("features").alias("vector"))
+    # twice the bound by hash first, so that no task meets more candidates of a group on a larger input
+    rate = F.lit(0)
+    for r in sizes:
+        rate = F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), 1_000_000 * 2 * per_group // r["n"] + 1).otherwise(rate)
+    few = free.where(F.pmod("order", F.lit(1_000_000)) < rate).distinct()
+    train = cut_lineage(top_ranked(few, ["kind", "label"], [F.col("order")], per_group).select("order", "label", array_to_vector("features").alias("vector")))
+    train = train.coalesce(1).sortWithinPartitions("order").select("label", "vector")
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(train)
     trees = Trees([Trees.grown(t._java_obj.rootNode(), w) for t, w in zip(model.trees, model.treeWeights)], {})
-    bins = rows.where("held").withColumn("bin", F.floor(trees.probability(F.col("features")) * 100)).groupBy("kind", "bin")
-    trees.cuts = thresholds(bins.agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect(), precision)
+    scored = found.where("held").select("kind", "order", "label", F.floor(trees.probability(F.col("features")) * 100).alias("bin")).distinct()
+    bins = scored.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    trees.cuts = {**{b["kind"]: NEVER for b in bins}, **thresholds(bins, precision)}
     return trees
 
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanloom.llm import pii
 
@@ -70,3 +71,20 @@ def test_edges(spark):
 def test_thresholds(bins, want):
     rows = [dict(zip(("kind", "bin", "n", "good"), b)) for b in bins]
     assert pii.thresholds(rows, 0.9) == want
+
+
+def test_a_rare_kind_and_copies_keep_their_cuts(spark):
+    """One spelled-out address in many texts with other candidates, and a text copied often."""
+    texts = [f"note {k} token = abc{k}x{k * 7919} end" if k % 2 else f"note {k} secret: plainwords{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}x end" for k in range(400)]
+    rare = [t for t in ("write to jane at example dot com please", "ask bob (at) site (dot) org now")]
+    docs = spark.createDataFrame(list(enumerate(texts + rare + [texts[1]] * 3_000)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs, per_group=50).collect()}
+    assert all("address:" in got[k] for k in (400, 401))
+    assert all("secret:" in got[k] for k in range(1, 400, 2))
+    assert got[1] == got[402] == got[3401]
+
+
+def test_a_kind_without_held_out_rows_has_the_default_cut(spark):
+    some = spark.range(1).select(F.struct(F.lit(7).alias("kind"), F.array(F.lit(0.0)).alias("features")).alias("c"))
+    pick = lambda margin, cuts: some.select(pii.Trees([margin], cuts).selected(F.col("c"))).first()[0]
+    assert pick(1.0, {}) and not pick(-1.0, {}) and not pick(1.0, {7: pii.NEVER})
