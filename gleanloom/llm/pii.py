@@ -5,7 +5,8 @@ sum, numbers of digits) are dropped and nothing is tried in their place. Beyond
 spans that may overlap: numbers with loose separators, secrets after a keyword, long mixed strings and
 spelled-out mail addresses. Gradient-boosted trees score each by its format and context. The trees are fitted on distinct texts
 (of each kind and label at most ``PER_GROUP`` candidates, by hash), with labels from the checks
-that the trees do not see: checksums, a leading plus, a keyword. On all candidates of a held-out third of the distinct texts each kind
+that the trees do not see: checksums, a leading plus, a keyword. Candidates that repeat a base span are never added, so they are
+neither learnt from nor counted for the cuts. On all candidates of a held-out third of the distinct texts each kind
 gets the lowest threshold at which its precision reaches ``PRECISION``; a kind without any there gets ``DEFAULT_CUT``.
 
 Everything is SQL functions on arrays within a row, without Python; only the candidates' features are shuffled. The patterns are written so that Java's matcher
@@ -50,6 +51,14 @@ DEFAULT_CUT = 0.5
 NEVER = 2.0
 TREES = 12
 DEPTH = 3
+#: Words before a number and forms of numbers: the evidence of weak labels, which the features of numbers leave out.
+PHONE_WORDS = r"\b(?:tel|phone|call|fax|mobil|cell|contact)"
+SSN_WORDS = r"\b(?:ssn|social)"
+OTHER_WORDS = r"\b(?:page|version|chapter|figure|table|isbn|id|order|no)\b"
+PHONE_GROUPS = r"^(?:1[\x20.-]{1,2})?\(?[2-9][0-9]{2}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$|^0[0-9]{1,4}\)?(?:[\x20.-]{1,2}[0-9]{2,8}){1,4}$"
+SSN_GROUPS = r"^(?!000|666|9)[0-9]{3}([\x20-])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}$"
+CONTEXT_WORDS = ["tel|phone|call|fax|mobil|contact", "card|visa|account|iban|credit|konto", "mail|ssn|social|passport|born|address",
+                 "page|version|chapter|figure|table|isbn|id"]
 CHUNK = 256
 CONTEXT = 30
 
@@ -174,22 +183,29 @@ def features(kind: str, c: Column) -> Column:
         flag(value.contains('"')),
         flag(before.rlike(r"[\w]$")),
         flag(before.rlike(r"(^|\s)$")),
-        flag(before.rlike(r"[+(]$")),
+        flag(before.endswith("(")) if kind == "number" else flag(before.rlike(r"[+(]$")),
         flag(after.rlike(r"^\w")),
         flag(after.rlike(r"^(\s|$)")),
-        flag(near.rlike("tel|phone|call|fax|mobil|contact")),
-        flag(near.rlike("card|visa|account|iban|credit|konto")),
-        flag(near.rlike("mail|ssn|social|passport|born|address")),
-        flag(near.rlike("page|version|chapter|figure|table|isbn|id")),
+        *[F.lit(0.0) if kind == "number" else flag(near.rlike(words)) for words in CONTEXT_WORDS],
     )
 
 
 def weak_label(kind: str, c: Column) -> Column:
-    """What checks beyond the features say of a candidate."""
+    """What checks beyond the features say of a candidate; null where they say nothing.
+
+    An uncovered number is good where a checksum, a plus, or a phone or SSN word with a number of that form speaks for it (a card
+    is what passes its Luhn sum: a card word cannot mend one that fails). A free number in groups of a phone or SSN without such a word is
+    left open, since many are written so; all others are bad.
+    """
     value, before = c["value"], c["before"]
     if kind == "number":
-        digits = digits_of(value)
-        return luhn(digits) | before.endswith("+") & F.char_length(digits).between(9, 15) | whole_address(value)
+        digits, near = digits_of(value), F.lower(before)
+        grouped, ssn, card_size = value.rlike(PHONE_GROUPS), value.rlike(SSN_GROUPS), F.char_length(digits).between(12, 19)
+        phone = near.rlike(PHONE_WORDS) & (grouped | value.rlike("^[0-9]{7,15}$") & ~card_size)
+        checked = luhn(digits) | before.endswith("+") & F.char_length(digits).between(9, 15) | whole_address(value)
+        free = ~before.rlike(r"[\w]$") & ~c["after"].rlike(r"^\w")
+        backed = free & (phone | near.rlike(SSN_WORDS) & ssn)
+        return F.when(checked | backed, True).when(~(free & (grouped | ssn)) | near.rlike(OTHER_WORDS), False)
     if kind == "mixed":
         return before.rlike(KEYWORD) & value.rlike("[0-9]")
     if kind == "secret":
@@ -202,11 +218,12 @@ def whole_address(value: Column) -> Column:
 
 
 def covered(kind: str, c: Column) -> Column:
-    """Whether the candidate repeats a base span."""
+    """Whether the candidate repeats a base span: it passes the check of a base pattern and has its form."""
     if kind != "number":
         return F.lit(False)
     digits = digits_of(c["value"])
-    return luhn(digits) | c["before"].endswith("+") | whole_address(c["value"])
+    card = luhn(digits) & c["value"].rlike(r"^[0-9](?:[\x20-]?[0-9])*+$")
+    return card | c["before"].endswith("+") & F.char_length(digits).between(9, 15) | whole_address(c["value"])
 
 
 def candidates(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -267,11 +284,13 @@ class Trees:
 def fit(texts: DataFrame, per_group: int = PER_GROUP, precision: float = PRECISION) -> Trees | None:
     """Trees and thresholds from the candidates of all texts (``_text``); none without candidates of both labels.
 
-    Candidates are written once, and copies of a text count once. A third of the texts is held out. The trees see at
+    Only candidates that can be added (not covered by a base span) and have a label take part. They are written once,
+    and copies of a text count once. A third of the texts is held out. The trees see at
     most ``per_group`` candidates of each kind and label of the others, the cuts all that are held out.
     """
     found = candidates(texts.select("_text", F.xxhash64("_text").alias("_hash")), ["_hash"])
-    found = explode_once(found, F.col("_cands"), "_n", "c", ["_hash"]).select("_hash", "c.kind", "c.start", flag(F.col("c.label")).alias("label"), "c.features")
+    found = explode_once(found, F.col("_cands"), "_n", "c", ["_hash"]).where(~F.col("c.covered") & F.col("c.label").isNotNull())
+    found = found.select("_hash", "c.kind", "c.start", flag(F.col("c.label")).alias("label"), "c.features")
     found = found.withColumns({"order": F.xxhash64("_hash", "kind", "start"), "held": F.pmod("_hash", F.lit(3)) == 0})
     found = written(found.select("kind", "order", "held", "label", "features"), "candidates", compression="zstd")
     free = found.where("not held").drop("held")

@@ -88,3 +88,16 @@ def test_a_kind_without_held_out_rows_has_the_default_cut(spark):
     some = spark.range(1).select(F.struct(F.lit(7).alias("kind"), F.array(F.lit(0.0)).alias("features")).alias("c"))
     pick = lambda margin, cuts: some.select(pii.Trees([margin], cuts).selected(F.col("c"))).first()[0]
     assert pick(1.0, {}) and not pick(-1.0, {}) and not pick(1.0, {7: pii.NEVER})
+
+
+def test_uncovered_numbers_are_learnt_from_words_and_groups(spark):
+    """Phones and SSNs without a plus are added, also where no word stands before them; hex runs and failed card numbers are not."""
+    phones = [f"please {'call' if k % 4 else 'write'} {200 + k}-555-{1000 + k * 13 % 9000} soon" for k in range(240)]
+    ssns = [f"ssn {100 + k}-{10 + k % 80}-{1000 + k * 7} given" for k in range(120)]
+    cards = [f"paid with card 4012 8888 8888 {1000 + k * 10 + (k + 1) % 10} today" for k in range(120)]
+    hexes = [f"blob 3fa{7_000_000 + k * 31}c9e end" for k in range(120)]
+    dotted = ["pay 4012.8888.8888.1881 now"]
+    docs = spark.createDataFrame(list(enumerate(phones + ssns + cards + hexes + dotted)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    assert all("number:" in got[k] for k in range(360))
+    assert not any("number:" in got[k] for k in range(360, 600))
