@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanloom.llm.common import whole_text, written
+from gleanloom.scale import cut_lineage
 
 ROLES = ("system", "user", "assistant")
 STATES = [(role, begins) for role in ROLES for begins in (True, False)]
@@ -64,7 +65,7 @@ def observed(line: str) -> tuple[int, int, int]:
 class Model:
     """Log probabilities: start, transition and one table of emissions for each kind of observation."""
 
-    def __init__(self, steps: dict[tuple[int, int], int], seen: dict[tuple[str, int, int], int]):
+    def __init__(self, steps: dict[tuple[int, int], float], seen: dict[tuple[str, int, int], int]):
         n = len(STATES)
         start, move = np.full(n, -30.0), np.full((n, n), -30.0)
         begins = [k for k, (_, b) in enumerate(STATES) if b]
@@ -125,24 +126,32 @@ def seams(summaries: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def fit(turns: DataFrame, conversation: str, turn: str, role: str, text: str) -> Model:
-    """Counts over all labelled turns: a few hundred numbers reach the driver. Turns meet their predecessors in an even join."""
+    """Counts over all labelled turns: a few hundred numbers reach the driver.
+
+    Rows of equal conversation and turn are reduced to counts before neighbouring turns meet, at most six for a turn. A row that repeats
+    counts once for each time, as it does in the emissions, and its predecessor is the average of all rows of the turn before.
+    """
     known = turns.select(F.col(f"`{conversation}`").alias("c"), F.col(f"`{turn}`").cast("long").alias("t"), F.lower(F.col(f"`{role}`").cast("string")).alias("r"),
                          whole_text(text).alias("x")).where(F.col("r").isin(*ROLES))
-    before = known.select("c", (F.col("t") + 1).alias("t"), F.col("r").alias("p"))
-    pairs = known.join(before, ["c", "t"], "left").withColumn("size", F.size(F.split("x", "\n")))
+    sized = known.select("c", "t", "r", F.size(F.split("x", "\n")).alias("size"))
+    sized = sized.groupBy("c", "t", "r", (F.col("size") > 1).alias("long")).agg(F.count("*").alias("n"), F.sum(F.greatest(F.col("size") - 2, F.lit(0))).alias("more"))
+    sized = cut_lineage(sized)
+    totals = sized.groupBy("c", (F.col("t") + 1).alias("t")).agg(F.sum("n").alias("before"))
+    own = sized.groupBy("c", "t", "r").agg(F.sum("n").alias("n")).join(totals, ["c", "t"], "left")
     begin = {r: STATES.index((r, True)) for r in ROLES}
-    steps: dict[tuple[int, int], int] = {}
+    steps: dict[tuple[int, int], float] = {}
 
-    def add(a: int, b: int, n: int) -> None:
+    def add(a: int, b: int, n: float) -> None:
         steps[a, b] = steps.get((a, b), 0) + n
 
-    last_long = before.join(known.select("c", (F.col("t") + 1).alias("t"), (F.size(F.split("x", "\n")) > 1).alias("long")), ["c", "t"])
-    ends = known.select("c", "t", "r").join(last_long, ["c", "t"]).groupBy("p", "r", "long").count().collect()
-    for row in ends:
-        add(begin[row["p"]] + int(row["long"]), begin[row["r"]], row["count"])
-    for row in pairs.groupBy("r").agg(F.count(F.when(F.col("p").isNull(), 1)).alias("first"), F.count(F.when(F.col("size") > 1, 1)).alias("two"),
-                                    F.sum(F.greatest(F.col("size") - 2, F.lit(0))).alias("more")).collect():
+    previous = sized.select("c", (F.col("t") + 1).alias("t"), F.col("r").alias("p"), "long", F.col("n").alias("of"))
+    # in millionths, so that the sums are whole and do not depend on their order
+    part = F.round(F.col("n") * (F.col("of") / F.col("before")) * 1_000_000).cast("long")
+    for row in own.where("before > 0").join(previous, ["c", "t"]).groupBy("p", "r", "long").agg(F.sum(part).alias("n")).collect():
+        add(begin[row["p"]] + int(row["long"]), begin[row["r"]], row["n"] / 1_000_000)
+    for row in own.where("before IS NULL").groupBy("r").agg(F.sum("n").alias("first")).collect():
         add(-1, begin[row["r"]], row["first"])
+    for row in sized.groupBy("r").agg(F.sum(F.when(F.col("long"), F.col("n")).otherwise(0)).alias("two"), F.sum("more").alias("more")).collect():
         add(begin[row["r"]], begin[row["r"]] + 1, row["two"])
         add(begin[row["r"]] + 1, begin[row["r"]] + 1, row["more"])
 

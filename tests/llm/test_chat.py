@@ -65,3 +65,19 @@ def test_roles_of_documents_are_recovered(spark):
     right = sum(starts.get(k) == true[k] for k in held)
     assert right / len(held) > 0.85
     assert sum(k in true for k in starts) == len(starts)
+
+
+def test_repeated_turns_do_not_multiply(spark):
+    """Counts of a conversation that is copied 300 times are 300 times its counts, and a single one counts as before."""
+    one = [(1, 0, "user", "hi\nthere\nagain"), (1, 1, "assistant", "a"), (1, 2, "user", "b"), (1, 3, "assistant", "c\nd")]
+    other = [(2, k, "user", "x") for k in range(3)]
+    schema, names = "c long, t long, r string, x string", ("c", "t", "r", "x")
+    u, a = chat.STATES.index(("user", True)), chat.STATES.index(("assistant", True))
+    for copies in (1, 300):
+        model = chat.fit(spark.createDataFrame(one * copies + other, schema), *names)
+        want = {(-1, u): copies + 1, (u + 1, a): copies, (a, u): copies, (u, a): copies, (u, u): 2, (u, u + 1): copies, (u + 1, u + 1): copies, (a, a + 1): copies}
+        expected = chat.Model(want, {})
+        assert np.allclose(model.start, expected.start) and np.allclose(model.move, expected.move)
+    mixed = chat.fit(spark.createDataFrame([(1, 0, "user", "x"), (1, 0, "system", "x"), (1, 1, "assistant", "x")], schema), *names)
+    s = chat.STATES.index(("system", True))
+    assert np.allclose(mixed.move, chat.Model({(u, a): 0.5, (s, a): 0.5}, {}).move)
