@@ -3,9 +3,9 @@
 1. Texts are reduced to their words (runs of letters, marks, digits and underscores, in lower case). Texts of
    equal words are one text from here on: copies are neither counted nor compared again.
 2. A shingle is five words. Its weight in a text is ``(1 + ln tf) * idf`` with the smoothed, normalised
-   ``idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N)``. Document frequencies are counted over all texts in a table of
-   ``BUCKETS`` hash buckets: its size does not grow with the corpus, so it can travel to every task. Shingles of a
-   bucket share its count, in all texts alike, so a weight depends on the shingle and its frequency only.
+   ``idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N)``. Document frequencies are exact, by the shingle's 64-bit hash: texts are dealt
+   into blocks, a block sends its distinct shingles with their counts to parts of the hash range, and a part sends
+   back the totals of those that occur in at least two texts. Blocks and parts grow in number, not in size.
 3. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each text: for shingle weight w,
    ``t = floor(ln w / r + beta)``, ``ln a = ln c - r (t - beta) - r`` with r and c from Gamma(2, 1) and beta uniform; the
    smallest a wins and (shingle, t) is the sample. Two texts agree in a sample with the probability of
@@ -49,6 +49,8 @@ MOST_ROUNDS = 4
 BUCKETS = 1 << 18
 VARIATES = 1 << 16
 CHUNK = 1 << 17
+BLOCK_CHARS = 4 << 20
+PART_CHARS = 12 << 20
 WORDS = r"[\p{L}\p{M}\p{N}_]+"
 
 BUCKET_SHIFT = np.uint64(46)  # the leading 18 bits
@@ -83,8 +85,8 @@ def shingles(text: str, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(total, return_counts=True)
 
 
-def weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(counts)) * idf[(hashes >> BUCKET_SHIFT).astype(np.int64)]
+def weights(counts: np.ndarray, frequencies: np.ndarray, texts: int) -> np.ndarray:
+    return (1 + np.log(counts)) * idf_table(frequencies, texts).astype(np.float32)
 
 
 def idf_table(frequencies: np.ndarray, texts: int) -> np.ndarray:
@@ -154,7 +156,7 @@ def add_parts(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """The idf of each bucket, from counts over all texts: 257 rows of fixed size reach the driver."""
+    """The idf of hash buckets: an estimate whose collisions grow with the corpus. Classes are made from the exact counts of ``signed``."""
     parts = texts.select("_words").mapInArrow(count_buckets, "part int, counts binary")
     total = parts.groupBy("part").applyInPandas(add_parts, "part int, counts binary").collect()
     counts, number = np.zeros((256, BUCKETS // 256), np.int64), 0
@@ -172,52 +174,97 @@ def lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).reshape(-1)))
 
 
-def signer(idf: np.ndarray):
-    def sign(batches):
-        cache, sampler = WordHashes(), Sampler()
-
-        def rows(keys, parts):
-            hashes = np.concatenate([h for h, _ in parts])
-            weight = np.concatenate([w for _, w in parts])
-            starts = np.cumsum([0] + [len(h) for h, _ in parts[:-1]])
+def sender(bits: int):
+    def send(block: pa.Table) -> pa.Table:
+        cache = WordHashes()
+        hashes, counts = np.unique(np.concatenate([shingles(t, cache)[0] for t in block["_words"].to_pylist()]), return_counts=True)
+        part = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+        parts, at = np.unique(part, return_index=True)
+        ends = [*at[1:], len(hashes)]
+        cut = lambda values: pa.array([values[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())
+        number = block["_block"][0].as_py()
+        return pa.table({"_part": pa.array(parts, pa.int64()), "_block": pa.array([number] * len(parts), pa.int64()), "hashes": cut(hashes), "counts": cut(counts.astype(np.int32))})
+
+    return send
+
+
+def add_up(part: pa.Table) -> pa.Table:
+    """For each block its hashes that occur in two texts or more, with the number of those."""
+    sent = [np.frombuffer(h, np.uint64) for h in part["hashes"].to_pylist()]
+    counts = np.concatenate([np.frombuffer(c, np.int32) for c in part["counts"].to_pylist()])
+    _, place = np.unique(np.concatenate(sent), return_inverse=True)
+    total, start, out = np.bincount(place, counts).astype(np.int64)[place], 0, []
+    for block, hashes in zip(part["_block"].to_pylist(), sent):
+        mine = total[start : start + len(hashes)]
+        start += len(hashes)
+        if (mine > 1).any():
+            out.append((block, hashes[mine > 1].tobytes(), mine[mine > 1].tobytes()))
+    return pa.table({"_block": pa.array([o[0] for o in out], pa.int64()), "hashes": pa.array([o[1] for o in out], pa.binary()), "totals": pa.array([o[2] for o in out], pa.binary())})
+
+
+def signer(number: int):
+    kept: list[Sampler] = []
+
+    def sign(block: pa.Table, repeated: pa.Table) -> pa.Table:
+        kept or kept.append(Sampler())
+        cache, sampler, out = WordHashes(), kept[0], []
+        known = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(h, np.uint64) for h in repeated["hashes"].to_pylist()]])
+        totals = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(t, np.int64) for t in repeated["totals"].to_pylist()]])
+        order = np.argsort(known)
+        known, totals = np.append(known[order], np.uint64(2**64 - 1)), np.append(totals[order], 1)
+
+        def rows(keys, texts, parts):
+            hashes, counts, frequency = (np.concatenate(c) for c in zip(*parts))
+            weight = weights(counts, frequency, number)
+            starts = np.cumsum([0] + [len(h) for h, _, _ in parts[:-1]])
             samples = sampler(hashes, weight, starts)
             total = pa.array(np.add.reduceat(weight, starts).astype(np.float64))
-            columns = [pa.array(keys, pa.binary()), total, lists(bands_of(samples)), lists((samples & 0xFFFF).astype(np.uint16).view(np.int16))]
-            return pa.RecordBatch.from_arrays(columns, ["_key", "_weight", "_bands", "_samples"])
+            stored = pa.array([f.astype(np.int32).tobytes() for _, _, f in parts], pa.binary())
+            columns = [pa.array(keys, pa.binary()), pa.array(texts, pa.string()), stored, total, lists(bands_of(samples)), lists((samples & 0xFFFF).astype(np.uint16).view(np.int16))]
+            out.append(pa.RecordBatch.from_arrays(columns, ["_key", "_words", "_df", "_weight", "_bands", "_samples"]))
 
-        for batch in batches:
-            keys, parts, size = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, counts = shingles(text, cache)
-                if not len(hashes):
-                    continue
-                keys.append(key)
-                parts.append((hashes, weights(hashes, counts, idf)))
-                size += len(hashes)
-                if size >= CHUNK:
-                    yield rows(keys, parts)
-                    keys, parts, size = [], [], 0
-            if keys:
-                yield rows(keys, parts)
+        keys, texts, parts, size = [], [], [], 0
+        for key, text in zip(block["_key"].to_pylist(), block["_words"].to_pylist()):
+            hashes, counts = shingles(text, cache)
+            at = np.searchsorted(known, hashes)
+            keys.append(key), texts.append(text), parts.append((hashes, counts, np.where(known[at] == hashes, totals[at], 1)))
+            size += len(hashes)
+            if size >= CHUNK:
+                rows(keys, texts, parts)
+                keys, texts, parts, size = [], [], [], 0
+        if keys:
+            rows(keys, texts, parts)
+        return pa.Table.from_batches(out)
 
     return sign
 
 
-def verifier(idf: np.ndarray, threshold: float):
+def signed(texts: DataFrame, number: int, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
+    """(_key, _words, _df, _weight, _bands, _samples) of distinct texts with words, among ``number`` texts; ``_df`` in the order of the shingles' hashes."""
+    chars = texts.agg(F.coalesce(F.sum(F.length("_words")), F.lit(0))).first()[0]
+    bits = max(0, (chars // part_chars)).bit_length()
+    dealt = texts.select("_key", "_words", F.pmod(F.xxhash64("_key"), F.lit(chars // block_chars + 1)).alias("_block"))
+    sent = dealt.groupBy("_block").applyInArrow(sender(bits), "_part long, _block long, hashes binary, counts binary")
+    repeated = sent.groupBy("_part").applyInArrow(add_up, "_block long, hashes binary, totals binary")
+    return dealt.groupBy("_block").cogroup(repeated.groupBy("_block")).applyInArrow(
+        signer(number), "_key binary, _words string, _df binary, _weight double, _bands array<long>, _samples array<smallint>")
+
+
+def verifier(number: int, threshold: float):
     def verify(batches):
         cache, last, last_text = WordHashes(), None, None
 
-        def parsed(text):
+        def parsed(text, frequencies):
             hashes, counts = shingles(text, cache)
-            weight = weights(hashes, counts, idf).astype(np.float64)
+            weight = weights(counts, np.frombuffer(frequencies, np.int32), number).astype(np.float64)
             return hashes, weight, weight.sum()
 
         for batch in batches:
             a, b, similarity = [], [], []
-            for one, other, text, other_text in zip(*[c.to_pylist() for c in batch.columns]):
+            for one, other, text, df, other_text, other_df in zip(*[c.to_pylist() for c in batch.columns]):
                 if text != last_text:
-                    last, last_text = parsed(text), text
-                hashes, weight, total = parsed(other_text)
+                    last, last_text = parsed(text, df), text
+                hashes, weight, total = parsed(other_text, other_df)
                 _, i, j = np.intersect1d(last[0], hashes, assume_unique=True, return_indices=True)
                 shared = np.minimum(last[1][i], weight[j]).sum()
                 jaccard = shared / (last[2] + total - shared)
@@ -260,13 +307,13 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("_key"), F.col("v").alias("_component")).distinct())
 
 
-def compared(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, number: int, threshold: float) -> DataFrame:
     """(_a, _b, similarity) of the pairs that reach the threshold. Both joins can be split where a text has many pairs."""
     needed = pairs.select(F.col("_a").alias("_key")).union(pairs.select(F.col("_b").alias("_key"))).distinct()
     texts = texts.join(needed, "_key", "left_semi")
-    second = pairs.join(texts.toDF("_b", "_other"), "_b")
-    both = second.join(texts.toDF("_a", "_words"), "_a").select("_a", "_b", "_words", "_other")
-    return both.mapInArrow(verifier(idf, threshold), "_a binary, _b binary, similarity double")
+    second = pairs.join(texts.toDF("_b", "_other", "_other_df"), "_b")
+    both = second.join(texts.toDF("_a", "_words", "_df"), "_a").select("_a", "_b", "_words", "_df", "_other", "_other_df")
+    return both.mapInArrow(verifier(number, threshold), "_a binary, _b binary, similarity double")
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -299,7 +346,7 @@ def with_components(members: DataFrame, groups: DataFrame | None) -> tuple[DataF
     return cut_lineage(named.join(main.select("_bucket"), "_bucket")), main
 
 
-def linked(texts: DataFrame, signatures: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def linked(texts: DataFrame, signatures: DataFrame, number: int, threshold: float = THRESHOLD) -> DataFrame:
     """(_key, _component) of all texts that have a near-duplicate.
 
     Members of buckets are narrow rows; weights and samples are fetched for the pairs of a member and its leader, and
@@ -313,7 +360,7 @@ def linked(texts: DataFrame, signatures: DataFrame, idf: np.ndarray, threshold:
     links, groups = None, None
 
     def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = cut_lineage(compared(cut_lineage(pairs), texts, idf, threshold).select("_a", "_b"))
+        new = cut_lineage(compared(cut_lineage(pairs), texts, number, threshold).select("_a", "_b"))
         every = new if links is None else links.unionByName(new)
         return every, cut_lineage(components(every))
 
@@ -345,10 +392,9 @@ def named_keys(rows: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, _key, _class) of all rows; ``_class`` is the least key of the row's class."""
     keys = written(rows.select("doc_id", "_key"), "keys")
     texts = written(rows.select("_key", "_words").dropDuplicates(["_key"]), "texts", compression="zstd")
-    idf = document_frequencies(texts)
-    texts = texts.where("_words <> ''")
-    signatures = written(texts.mapInArrow(signer(idf), "_key binary, _weight double, _bands array<long>, _samples array<smallint>"), "signatures")
-    groups = linked(texts, signatures, idf, threshold)
+    number = texts.count()
+    both = written(signed(texts.where("_words <> ''"), number), "signatures", compression="zstd")
+    groups = linked(both.select("_key", "_words", "_df"), both.select("_key", "_weight", "_bands", "_samples"), number, threshold)
     return keys.join(groups, "_key", "left").select("doc_id", "_key", F.coalesce("_component", "_key").alias("_class"))
 
 

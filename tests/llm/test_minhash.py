@@ -83,3 +83,18 @@ def test_a_chain_is_one_class_and_leaders_do_not_hide_links(spark):
     got = {r["doc_id"]: r["class_id"] for r in minhash.duplicate_classes(docs).collect()}
     assert {got[k] for k in range(12)} == {0}
     assert all(got[k] == k for k in range(12, 52))
+
+
+def test_document_frequencies_are_exact(spark):
+    """The counts of all shingles over many blocks and parts equal those of plain tuples of words."""
+    import numpy as np
+
+    texts = [" ".join(f"w{k}x{i}" if i % 40 > 12 else f"common{(k % 7) * (i // 40)}x{i}" for i in range(400)) for k in range(60)]
+    plain = [Counter(zip(*[t.split()[j:] for j in range(5)])) for t in texts]
+    holders = Counter(s for bag in plain for s in bag)
+    frame = minhash.normalised(spark.createDataFrame([(t,) for t in texts], "text string"), "text").select("_key", "_words")
+    got = minhash.signed(frame, len(texts), block_chars=20_000, part_chars=30_000).collect()
+    assert len(got) == len(texts)
+    want = {t: sorted(holders[s] for s in bag) for t, bag in zip(texts, plain)}
+    assert all(sorted(np.frombuffer(bytes(r["_df"]), np.int32).tolist()) == want[r["_words"]] for r in got)
+    assert max(holders.values()) == 60 and min(holders.values()) == 1
