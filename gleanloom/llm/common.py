@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from gleanloom.scale import shared_dir
 
+#: A key that holds more than one of so many parts of all rows is hot; there are at most so many of them.
+HOT = 10_000
+
 #: Separators of words in the contract of the mixing operator: blank and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,3 +49,24 @@ def put(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     names = {name.lower() for name in columns}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
     return df.select(*kept, *[value.alias(name) for name, value in columns.items()])
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame lacks, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}".lower() in taken:
+        name += "_"
+    return f"_{name}"
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, size: str, hot: int = HOT) -> DataFrame:
+    """Inner join with facts of unique keys, of which ``size`` tells the number of rows that hold the key.
+
+    Keys of more than one of ``hot`` parts of all these rows are at most ``hot`` in number: they are broadcast, and their rows stay where
+    they are. What is left is joined by shuffle, without hot keys. Both frames are read twice, so they should be written tables.
+    """
+    total = facts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    large = facts.where(F.col(size) * hot > total).where(F.col(size) > 1)
+    small = facts.where((F.col(size) * hot <= total) | (F.col(size) <= 1))
+    cold = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key)
+    return cold.unionByName(rows.join(F.broadcast(large), key))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanloom.llm import audio, chat, decontaminate, minhash, mixing, pii, quality, records, sharding, toxicity
+from gleanloom.llm import alignment, audio, chat, decontaminate, exact, minhash, mixing, pii, quality, records, sharding, toxicity, trie
 from gleanloom.llm.common import held_out, sql_hash60, written
 from gleanloom.sources.tables import read_table
 
@@ -70,6 +70,21 @@ def op10_latent_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(docs, read_table(spark, folder, "labels"))
 
 
+def op11_salted_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_groups(read_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op12_bitmap_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(read_table(spark, folder, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_boosted_pii": op1_boosted_pii,
     "op2_audio_features": op2_audio_features,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_transcript_roles": op8_transcript_roles,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_latent_neighbours": op10_latent_neighbours,
+    "op11_salted_exact": op11_salted_exact,
+    "op12_bitmap_trie": op12_bitmap_trie,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 
@@ -148,5 +166,55 @@ def mixing_sql() -> str:
         FROM taken"""
 
 
+EXACT_SQL = """
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS whole FROM documents)
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY whole) AS keep_id, count(*) OVER (PARTITION BY whole) AS group_size,
+           doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY whole)
+             AND row_number() OVER (PARTITION BY whole, doc_id) = 1 AS kept,
+           sha256(whole) AS text_sha256
+    FROM texts"""
+
+#: The CRC-32 is written out: DuckDB has none.
+TRIE_SQL = """
+    WITH turns AS (
+        SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+        SELECT c, count(*) AS n, c - c % 20 AS base,
+               xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                   lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                       lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 4 AS h
+        FROM turns GROUP BY c),
+    sized AS (SELECT v.*, least(v.h, coalesce(b.n, 0)) AS k FROM convs v LEFT JOIN convs b ON b.c = v.base),
+    rebuilt AS (
+        SELECT c, pos - h + k AS pos, role, text FROM turns JOIN sized USING (c) WHERE pos >= h
+        UNION ALL
+        SELECT s.c, t.pos, t.role, t.text FROM sized s JOIN turns t ON t.c = s.base AND t.pos < s.k),
+    prefixes AS (
+        SELECT c, pos + 1 AS depth, list(md5(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY pos) AS path,
+               len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+        FROM rebuilt
+        UNION ALL SELECT c, 0, [], 0 FROM sized),
+    named AS (SELECT c, depth, words, md5(array_to_string(path, ',')) AS node, md5(array_to_string(path[:-2], ',')) AS parent FROM prefixes),
+    last AS (SELECT c, max(depth) AS depth FROM named GROUP BY c),
+    nodes AS (
+        SELECT node, depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+               list(c ORDER BY c) FILTER (c IN (SELECT last.c FROM last WHERE last.c = named.c AND last.depth = named.depth)) AS ends
+        FROM named GROUP BY node, depth),
+    children AS (SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent, depth),
+    below AS (
+        SELECT a.node, a.depth, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved_tokens
+        FROM nodes b JOIN named a ON a.c = b.conv_id AND a.depth <= b.depth
+        LEFT JOIN children k ON k.parent = b.node AND k.depth = b.depth
+        GROUP BY a.node, a.depth)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+           s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens,
+           sha256(coalesce(array_to_string(n.ends, ','), '')) AS ends_sha256
+    FROM nodes n JOIN below s ON s.node = n.node AND s.depth = n.depth
+    LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.parent AND p.depth = n.depth - 1
+    LEFT JOIN children k ON k.parent = n.node AND k.depth = n.depth"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op6_lookup_sharding": sharding_sql(), "op9_curriculum_mix": mixing_sql()}
+    return {"op6_lookup_sharding": sharding_sql(), "op9_curriculum_mix": mixing_sql(), "op11_salted_exact": EXACT_SQL, "op12_bitmap_trie": TRIE_SQL}
