@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanloom.llm.common import whole_text
-from gleanloom.llm.segments import chunks_of, segments
+from gleanloom.llm.segments import chunks_of, runs_of, segments
 
 PARTS = 64
 FAN = 64
@@ -88,7 +88,7 @@ class Aligned:
         """Align segments that are not known yet."""
         if not words:
             return
-        chunks = chunks_of(words, 1 if self.whole else 50)
+        chunks = [[w] for w in words] if self.whole else chunks_of(words)
         while chunks:
             chunks = self.aligned(chunks)
 
@@ -183,18 +183,6 @@ class Aligned:
         return at, self.codes[place], self.times[place]
 
 
-def batches_of(texts: list[str], chars: int = 1 << 19):
-    """(start, end) of runs of texts of about so many characters."""
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text) + 64
-        if size >= chars:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def agreeing(aligned: Aligned, which: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Whether each text has tokens: segments, and none whose bytes differ."""
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -239,7 +227,7 @@ def sender(files: tuple[str, str], parts: int):
     def send(block: pa.Table) -> pa.Table:
         kept or kept.append(Aligned(*files))
         texts, codes, counts = block["_text"].to_pylist(), [], []
-        for start, end in batches_of(texts):
+        for start, end in runs_of(texts):
             which, size = kept[0].numbered(texts[start:end])
             good = agreeing(kept[0], which, size)
             doc = np.repeat(np.arange(len(size)), size)
@@ -297,7 +285,7 @@ def scorer(files: tuple[str, str]):
         totals = np.concatenate([np.zeros(0, np.int64), *[k[1] for k in known]])[order]
         best = np.concatenate([np.zeros(0, np.uint8), *flags])[order].astype(np.int64)
         texts, ids, out = block["_text"].to_pylist(), block["_id"].combine_chunks(), []
-        for start, end in batches_of(texts):
+        for start, end in runs_of(texts):
             aligned = kept[0]
             which, size = aligned.numbered(texts[start:end])
             good = agreeing(aligned, which, size)

@@ -15,12 +15,12 @@ Spark's own writer commits the files, on any store that Spark can write and with
 The index is a Parquet table beside the files, made by reading them back and verifying every checksum: file,
 offset and length of each frame, so that a reader can fetch sequences in any order.
 
-Texts are cut into pieces by the tokenizer's own pattern, and the pieces, which repeat, are encoded once per task by the
-tokenizers library. Texts with characters outside of a range on which the patterns are known to agree, or with
-the text of an added token, are encoded whole.
+Texts are cut into segments at blanks that the tokenizer never reads across, and the segments, which repeat, are encoded once per
+task by the tokenizers library, many of them joined to one text. Texts with the text of an added token are encoded whole.
 
-Edge cases: null and empty texts give the end id alone; null ids come first; rows of equal ids follow each other in the order
-of their text's hash; an empty table gives no files and an empty index; other input columns are not stored.
+Edge cases: null and empty texts give the end id alone; ids must be integers (others, as text, fail where they can't be cast); null ids
+come first; rows of equal ids follow each other in the order of their text's hash, and identical rows in any order; an empty
+table gives no files and an empty index; other input columns are not stored.
 """
 
 from __future__ import annotations
@@ -31,18 +31,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanloom.llm.common import whole_text
+from gleanloom.llm.segments import chunks_of, runs_of, segments
 from gleanloom.scale import broadcast_if_small, shared_dir
 
 END = 0
 FILE_BYTES = 32 << 20
 CACHE = 400_000
-#: Pre-tokenizer pattern of byte-level BPE.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNUSUAL = r"[^\t\n\r\x20-\x7e¡-ſ]"
 INDEX = ("file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, tokens_before long, file_tokens long")
 
 
@@ -69,50 +67,69 @@ def read_frame(content, offset: int = 0) -> tuple[int | None, np.ndarray, int]:
     return (doc_id if present else None), np.frombuffer(payload, f"<u{width}", offset=10), end + 5
 
 
-class PieceEncoder:
-    """Encodes texts with the tokenizers library; pieces are encoded once and kept as bytes."""
+class SegmentEncoder:
+    """Encodes texts with the tokenizers library; distinct segments are encoded once, joined to longer texts, and kept as bytes."""
 
-    def __init__(self, tokenizer_file: str, pattern: str | None = PIECES):
-        import regex
+    def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.pattern = regex.compile(pattern) if pattern else None
-        added = "|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.whole = regex.compile(UNUSUAL + (f"|{added}" if added else ""))
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Bytes of text per token: a character of a byte-level entry stands for a byte. Others are encoded whole.
+        self.byte_level = "use_regex=True" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.cache: dict[str, bytes] = {}
         self.end = self.packed([END])
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [self.packed(found.ids) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        """Encode segments, each behind a blank, and cut the tokens where the segments' bytes end."""
+        chunks = chunks_of(new)
+        joined = ["".join([" " + s for s in chunk]) for chunk in chunks]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.array([k for one in found for k in one], f"<u{self.width}")
+        words = [s for chunk in chunks for s in chunk]
+        token_ends, ends = np.cumsum(self.lengths[ids]), np.cumsum([len(s.encode()) + 1 for s in words])
+        at = np.searchsorted(token_ends, ends)
+        if len(words) and not np.array_equal(token_ends[np.minimum(at, len(ids) - 1)], ends):
+            self.cache.update(zip(words, self.whole([" " + s for s in words])))
+            return
+        raw, start = ids.tobytes(), 0
+        for word, stop in zip(words, ((at + 1) * self.width).tolist()):
+            self.cache[word] = raw[start:stop]
+            start = stop
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.pattern is None or self.whole.search(t) else self.pattern.findall(t) for t in texts]
+        plain = [self.byte_level and not any(a in t for a in self.added) for t in texts]
+        cut = [segments(t) if ok else [t] for t, ok in zip(texts, plain)]
+        first = self.whole([c[0] for c in cut])  # has no blank before it
+        for c in cut:
+            del c[0]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = list(set().union(*[p for p in cut if p]) - self.cache.keys())
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[piece] = self.packed(found.ids)
+        self.learn(list(set().union(*cut) - self.cache.keys()))
         known = self.cache.__getitem__
-        out = []
-        for text, pieces in zip(texts, cut):
-            ids = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if pieces is None else b"".join(map(known, pieces))
-            out.append(ids + self.end)
-        return out
+        return [one + b"".join(map(known, rest)) + self.end for one, rest in zip(first, cut)]
 
 
-def framer(tokenizer_file: str, block: int = 200):
+def framer(tokenizer_file: str):
     def frames(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = PieceEncoder(tokenizer_file)
+        encoder = SegmentEncoder(tokenizer_file)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start in range(0, len(keys), block):
-                encoded = encoder.encode(texts[start : start + block])
-                rows = [frame(k, ids, encoder.width)[:-1] for k, ids in zip(keys[start : start + block], encoded)]
+            for start, end in runs_of(texts):
+                rows = [frame(k, ids, encoder.width)[:-1] for k, ids in zip(keys[start:end], encoder.encode(texts[start:end]))]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
     return frames
@@ -139,12 +156,14 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, doc_id: str =
                   file_bytes: int = FILE_BYTES) -> None:
     """Write the files in ascending order of ids, about ``file_bytes`` of text to each.
 
-    Rows are range-sorted before they are tokenized, as the sort samples its input once more.
+    Rows are range-sorted before they are tokenized, as the sort samples its input once more. The last sort key tells identical
+    rows apart, so that any number of them can be dealt to several files.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), whole_text(text).alias("_text"))
     total = rows.agg(F.sum(F.octet_length("_text") + 16)).first()[0] or 0
-    ordered = rows.repartitionByRange(max(1, -(-total // file_bytes)), "_id", F.xxhash64("_text"))
-    ordered = ordered.sortWithinPartitions("_id", F.xxhash64("_text"))
+    order = ["_id", F.xxhash64("_text"), "_copy"]
+    ordered = rows.withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-total // file_bytes)), *order)
+    ordered = ordered.sortWithinPartitions(*order).select("_id", "_text")
     ordered.mapInArrow(framer(tokenizer_file), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(path)
 
 
@@ -159,10 +178,15 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(index_path)
 
 
+def file_number(file: str = "file") -> Column:
+    """The number that Spark's writer gave a file: names sort like it only up to 99,999."""
+    return F.regexp_extract(file, r"part-(\d+)", 1).cast("long")
+
+
 def with_starts(index: DataFrame) -> DataFrame:
     """Add ``start``: tokens of all frames before. Only one row per file goes through the ordered sum."""
     files = index.groupBy("file").agg(F.max("file_tokens").alias("_tokens"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(file_number(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("_before", F.coalesce(F.sum("_tokens").over(before), F.lit(0))).drop("_tokens")
     joined = index.join(broadcast_if_small(files), "file")
     return joined.withColumn("start", F.col("_before") + F.col("tokens_before")).drop("_before")

@@ -21,4 +21,21 @@ def segments(text: str) -> list[str]:
 
 
 def chunks_of(items: list[str], size: int = JOINED) -> list[list[str]]:
-    return [items[i : i + size] for i in range(0, len(items), size)]
+    """Segments that can be joined to one text; those that end in white space, or are a mere blank, stay alone."""
+    open_ended = [s for s in items if not s or s[-1].isspace()]
+    if open_ended:
+        alone = set(open_ended)
+        items = [s for s in items if s not in alone]
+    return [items[i : i + size] for i in range(0, len(items), size)] + [[s] for s in open_ended]
+
+
+def runs_of(texts: list[str], chars: int = 1 << 19):
+    """(start, end) of runs of texts of about so many characters."""
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text) + 64
+        if size >= chars:
+            yield start, k + 1
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

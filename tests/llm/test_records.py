@@ -12,9 +12,11 @@ ODD = ["", "plain words, words", "it's 12,5  two\n\n three\t", "<|endoftext|> in
        "naïve Ünïcode ßſ", " lead", "trail  ", "x" * 50_000, "á e​z", " line", "don't I'LL 've"]
 
 
-def test_pieces_encode_like_whole_texts():
-    tokenizer, encoder = Tokenizer.from_file(FILE), records.PieceEncoder(FILE)
-    for text, ids in zip(ODD, encoder.encode(ODD)):
+def test_segments_encode_like_whole_texts(monkeypatch):
+    tokenizer, encoder = Tokenizer.from_file(FILE), records.SegmentEncoder(FILE)
+    monkeypatch.setattr(records, "CACHE", 12)
+    texts = [*ODD, *[a + b for a in ODD for b in ODD[:12]]]
+    for text, ids in zip(texts, [i for k in range(0, len(texts), 5) for i in encoder.encode(texts[k : k + 5])]):
         assert np.frombuffer(ids, "<u2").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
@@ -55,3 +57,18 @@ def test_damage_is_found():
         bad[k] ^= 4
         with pytest.raises(Exception):
             records.read_frame(memoryview(bytes(bad)))
+
+
+def test_files_are_ordered_by_number(spark):
+    """Names of six digits sort before those of five that end in larger ones."""
+    rows = [(f"part-{k:05d}-x.txt", 5) for k in (7, 99_999, 100_000, 100_001)]
+    index = spark.createDataFrame([(f, 0, t) for f, t in rows], "file string, tokens_before long, file_tokens long")
+    assert {r["file"]: r["start"] for r in records.with_starts(index).collect()} == {f: 5 * k for k, (f, _) in enumerate(rows)}
+
+
+def test_identical_rows_can_be_dealt_to_several_files(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "same words in every row")] * 400, "doc_id long, text string").repartition(4)
+    records.write_records(docs, str(tmp_path / "f"), FILE, file_bytes=4_000)
+    index = records.with_starts(records.write_index(spark, str(tmp_path / "f"), str(tmp_path / "i"))).collect()
+    assert len({r["file"] for r in index}) > 1
+    assert sorted(r["start"] for r in index) == [k * index[0]["n_tokens"] for k in range(400)]
