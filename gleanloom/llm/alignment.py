@@ -9,13 +9,14 @@ itself. Strings of special tokens are plain text.
    Where they share a character (parts of a multibyte character, byte-fallback pieces) the ends are refined with the lengths of
    the tokens' decoded bytes. Byte offsets at which tokens of both end cut the segment into groups.
 3. A segment whose decoded bytes differ from the text on either side makes its text have no tokens.
-4. A pair of ids counts once for each document that holds it linked. Texts are dealt into blocks; a block sends the pairs of its documents
-   with their counts to ``PARTS`` parts of A's ids, in which they are added up over a tree of ``FAN`` blocks a step. A part holds all
-   pairs of its A ids, so it knows the highest count of each. The totals go back to ``FAN`` blocks at a time, and each block, which
-   aligns its segments once more, adds them up per document.
+4. A pair of ids counts once for each document that holds it linked. Tasks put about ``BLOCK_CHARS`` of text into a block, which is written
+   once: figures and digests of its documents, their segments, the pairs of the segments, and in how many documents a pair occurs.
+   Blocks send their pairs to ``PARTS`` parts of A's ids, in which they are added up over a tree of ``FAN`` blocks a step. A part
+   holds all pairs of its A ids, so it knows the highest count of each. The totals go back to about ``FAN`` blocks at a time, and
+   each block adds them up per document.
 
-Memory is bounded by a block of ``BLOCK_CHARS`` (or one text) and by the pairs of a part, at most the product of both
-vocabularies divided by ``PARTS``. Groups of very many links are kept as distinct pairs with their multiplicity.
+Memory is bounded by a block (or one text) and by the pairs of a part, at most the product of both vocabularies divided by ``PARTS``.
+Groups of very many links are kept as distinct pairs with their multiplicity.
 
 Edge cases: null and empty texts, and those whose bytes differ, give zeros and an empty ``groups_sha256``; texts of white space alone
 have tokens like others; null and repeated ids, of any type, are rows like others; an empty table gives no rows; other columns are ignored.
@@ -24,20 +25,24 @@ have tokens like others; null and repeated ids, of any type, are rows like other
 from __future__ import annotations
 
 import hashlib
+import itertools
+import operator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanloom.llm.common import whole_text
+from gleanloom.llm.common import whole_text, written
 from gleanloom.llm.segments import chunks_of, runs_of, segments
 
 PARTS = 64
 FAN = 64
-BLOCK_CHARS = 4 << 20
-CACHE = 400_000
+BLOCK_CHARS = 2 << 20
+CACHE = 300_000
 MANY_LINKS = 1 << 16
+BLOCKS = ("_block long, ids array<{id}>, figures binary, digests binary, doc_sizes binary, doc_segments binary, doc_times binary, "
+          "segment_sizes binary, segment_codes binary, segment_times binary, codes binary, counts binary")
 SENT = "_part long, _block long, codes binary, counts binary"
 RESULT = ("doc_id {id}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
@@ -49,6 +54,27 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+_SPAN = operator.attrgetter("id", "end")
+
+
+class Grown:
+    """Rows in an array that doubles when it is full."""
+
+    def __init__(self, dtype, width: int | None = None):
+        self.data, self.n = np.zeros((1024, width) if width else 1024, dtype), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        need = self.n + len(rows)
+        if need > len(self.data):
+            self.data = np.concatenate([self.rows, np.zeros((max(need, 2 * self.n) - self.n, *self.data.shape[1:]), self.data.dtype)])
+        self.data[self.n : need] = rows
+        self.n = need
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
 class Aligned:
     """Aligned segments of this task: one number per segment, its figures in arrays."""
 
@@ -69,6 +95,9 @@ class Aligned:
         self.bytes_b = [bytes([int(n[3:5], 16)]) if self.b.is_byte(k) else n.replace("▁", " ").encode() for k, n in enumerate(names)]
         self.width_a = np.array([len(t) for t in self.bytes_a], np.int64)
         self.width_b = np.array([len(t) for t in self.bytes_b], np.int64)
+        numbers = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        #: Ids as text, each before a comma, then before a bar, then before a semicolon.
+        self.written = [n + sign for sign in ",|;" for n in numbers]
         self.byte_pieces = np.array([self.b.is_byte(k) for k in range(len(names))])
         crossing = any(" " in t.lstrip(b" ").decode(errors="replace") for t in self.bytes_b)
         self.whole = crossing or "use_regex=True" not in str(self.a.pre_tokenizer)
@@ -76,9 +105,9 @@ class Aligned:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.figures = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, 1 where bytes differ
         self.texts: list[str] = []
-        self.starts, self.codes, self.times = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.figures = Grown(np.int32, 5)  # n_a, n_b, n_groups, n_links, 1 where bytes differ
+        self.sizes, self.codes, self.times = Grown(np.int32), Grown(np.uint32), Grown(np.int64)
 
     def cut(self, text: str) -> list[str]:
         """The segments of a blank and the text, each without the blank before it."""
@@ -99,9 +128,10 @@ class Aligned:
         found = list(zip(chunks, joined, self.a.encode_batch(joined, add_special_tokens=False), self.b.encode([j[1:] for j in joined], return_type="proto", num_threads=1)))
         good, again = [], []
         for chunk, text, a, b in found:
-            ids_a, ids_b, raw = a.ids, [p.id for p in b.pieces], text.encode()
+            ids_a, raw = a.ids, text.encode()
+            ids_b, stops = zip(*map(_SPAN, b.pieces)) if b.pieces else ((), ())
             if b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw and b"".join(map(self.bytes_b.__getitem__, ids_b)) == raw:
-                good.append((chunk, text, raw, ids_a, a.offsets, ids_b, [p.end for p in b.pieces]))
+                good.append((chunk, text, raw, ids_a, a.offsets, ids_b, stops))
             elif len(chunk) > 1:
                 again += [[w] for w in chunk]
             else:
@@ -117,14 +147,15 @@ class Aligned:
         base = np.cumsum(size) - size
         letters = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
         first = np.searchsorted(letters, base)
-        ids_a, ids_b = (np.concatenate([np.array(g[k], np.int64) for g in good]) for k in (3, 5))
+        flat = lambda k: itertools.chain.from_iterable([g[k] for g in good])
+        ids_a, ids_b = np.fromiter(flat(3), np.int64), np.fromiter(flat(5), np.int64)
         count_a, count_b = (np.array([len(g[k]) for g in good]) for k in (3, 5))
-        spans = np.concatenate([np.array(g[4], np.int64).reshape(-1, 2) for g in good]) + np.repeat(first, count_a)[:, None]
+        spans = np.fromiter(itertools.chain.from_iterable(flat(4)), np.int64).reshape(-1, 2) + np.repeat(first, count_a)[:, None]
         # A: a span that reaches into the next one's shares a character with it
         shared = np.append(spans[1:, 0] < spans[:-1, 1], False)
         ends_a = np.where(shared, np.cumsum(self.width_a[ids_a]), letters[spans[:, 1]])
         # B: begin and end count bytes of the text behind the added blank; only byte-fallback pieces are parts of a character
-        ends_b = np.concatenate([np.array(g[6], np.int64) for g in good]) + np.repeat(base, count_b) + 1
+        ends_b = np.fromiter(flat(6), np.int64) + np.repeat(base, count_b) + 1
         ends_b = np.where(self.byte_pieces[ids_b], np.cumsum(self.width_b[ids_b]), ends_b)
         common = np.intersect1d(ends_a, ends_b)
         words = [w for g in good for w in g[0]]
@@ -137,9 +168,16 @@ class Aligned:
         total = lambda values: np.add.reduceat(values, begin)
         links = n_a * n_b
         figures = np.stack([total(n_a), total(n_b), last - begin, total(links), np.zeros(len(words), np.int64)], axis=1)
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        groups = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:n]) for i, j, k, n in zip(a0.tolist(), a.tolist(), b0.tolist(), b.tolist())]
-        texts = [";".join(groups[i:j]) for i, j in zip(begin.tolist(), last.tolist())]
+        # the ids of a group stand in a row, those of A first; each is written with the sign behind it
+        row = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        step = len(self.written) // 3
+        sign_a, sign_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        sign_a[a - 1], sign_b[b - 1] = step, 2 * step
+        row[np.arange(len(ids_a)) + np.repeat(b0, n_a)] = ids_a + sign_a
+        row[np.arange(len(ids_b)) + np.repeat(a, n_b)] = ids_b + sign_b
+        signs = list(map(self.written.__getitem__, row.tolist()))
+        stop = (a + b)[last - 1].tolist()
+        texts = ["".join(signs[i:j])[:-1] for i, j in zip([0, *stop], stop)]
         kept = np.where(links > MANY_LINKS, 0, links)
         at = np.repeat(np.arange(len(links)), kept)
         place = np.arange(len(at)) - np.repeat(np.cumsum(kept) - kept, kept)
@@ -157,36 +195,30 @@ class Aligned:
     def store(self, words, figures, texts, n_codes, codes, times) -> None:
         self.number.update(zip(words, range(len(self.texts), len(self.texts) + len(words))))
         self.texts += texts
-        self.pending.append((figures, n_codes, codes, times))
+        self.figures.add(figures), self.sizes.add(n_codes), self.codes.add(codes), self.times.add(times)
 
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Segment numbers of all texts, and how many each has."""
-        if len(self.number) > CACHE:
-            self.clear()
         cut = [self.cut(t) if t else [] for t in texts]
-        self.pending: list[tuple] = []
         self.add(list(set().union(*cut) - self.number.keys()))
-        if self.pending:
-            figures, n_codes, codes, times = zip(*self.pending)
-            self.figures = np.concatenate([self.figures, *figures])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(n_codes))])
-            self.codes, self.times = np.concatenate([self.codes, *codes]), np.concatenate([self.times, *times])
-        known = self.number.__getitem__
         counts = np.array([len(c) for c in cut], np.int64)
-        return np.fromiter((known(w) for c in cut for w in c), np.int64, counts.sum()), counts
+        return np.array(list(map(self.number.__getitem__, itertools.chain.from_iterable(cut))), np.int64), counts
 
-    def links(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index into ``which``, code, times) of the links of segments."""
-        begin, size = self.starts[which], np.diff(self.starts)[which] if len(which) else np.zeros(0, np.int64)
+    def links(self, which: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into ``which``, code, times) of the links of segments; ``begins`` are the sums of ``sizes`` before each."""
+        size = self.sizes.rows[which]
         at = np.repeat(np.arange(len(which)), size)
-        place = begin[at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-        return at, self.codes[place], self.times[place]
+        place = begins[which][at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        return at, self.codes.rows[place], self.times.rows[place]
+
+    def begins(self) -> np.ndarray:
+        return np.cumsum(self.sizes.rows, dtype=np.int64) - self.sizes.rows
 
 
 def agreeing(aligned: Aligned, which: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Whether each text has tokens: segments, and none whose bytes differ."""
     doc = np.repeat(np.arange(len(counts)), counts)
-    return (counts > 0) & (np.bincount(doc, aligned.figures[which, 4], len(counts)) == 0)
+    return (counts > 0) & (np.bincount(doc, aligned.figures.rows[which, 4], len(counts)) == 0)
 
 
 def run_sums(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -207,13 +239,29 @@ def added_up(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return every[first], np.add.reduceat(number[order], first) if len(first) else number
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """A column of numbers, byte by byte and compressed."""
+    values = np.ascontiguousarray(values)
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if len(values) else b""
+
+
+def opened(data: bytes, dtype) -> np.ndarray:
+    """The numbers of ``squeezed``."""
+    if not data:
+        return np.zeros(0, dtype)
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = pa.decompress(data[8:], n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).reshape(-1).view(dtype)
+
+
 def packed(codes: np.ndarray) -> bytes:
-    """Ascending codes as differences, which compress."""
-    return np.diff(codes, prepend=np.uint32(0)).astype(np.uint32).tobytes()
+    """Ascending codes as differences."""
+    return squeezed(np.diff(codes, prepend=np.uint32(0)).astype(np.uint32))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint32), dtype=np.uint32)
+    return np.cumsum(opened(data, np.uint32), dtype=np.uint32)
 
 
 def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
@@ -221,89 +269,135 @@ def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
     return ((codes >> np.uint32(16)).astype(np.int64) * 40503 >> 4) % parts
 
 
-def sender(files: tuple[str, str], parts: int):
-    kept: list[Aligned] = []
-
-    def send(block: pa.Table) -> pa.Table:
-        kept or kept.append(Aligned(*files))
-        texts, codes, counts = block["_text"].to_pylist(), [], []
-        for start, end in runs_of(texts):
-            which, size = kept[0].numbered(texts[start:end])
-            good = agreeing(kept[0], which, size)
-            doc = np.repeat(np.arange(len(size)), size)
-            doc, which = doc[good[doc]], which[good[doc]]
-            pairs = np.unique(doc << 32 | which)  # a segment counts once per text
-            at, code, _ = kept[0].links(pairs & 0xFFFFFFFF)
-            once = np.unique((pairs[at] >> 32 << 32) | code.astype(np.int64)) & 0xFFFFFFFF
-            one, n = np.unique(once.astype(np.uint32), return_counts=True)
-            codes.append(one), counts.append(n)
-        return rows_by_part(block["_block"][0].as_py(), *added_up(codes, counts), parts)
-
-    return send
-
-
-def rows_by_part(block: int, codes: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
-    order = np.argsort(part_of(codes, parts), kind="stable")
-    found, first = np.unique(part_of(codes, parts)[order], return_index=True)
-    cuts = list(zip(first, [*first[1:], len(order)]))
-    sent = [packed(codes[order[i:j]]) for i, j in cuts]
-    number = [counts[order[i:j]].astype(np.int64).tobytes() for i, j in cuts]
-    return pa.table([pa.array(found, pa.int64()), pa.array([block] * len(found), pa.int64()), pa.array(sent, pa.binary()), pa.array(number, pa.binary())], names=["_part", "_block", "codes", "counts"])
+class Block:
+    """What is written of the documents of a block."""
+
+    def __init__(self, aligned: Aligned):
+        self.aligned, self.chars = aligned, 0
+        if len(aligned.number) > CACHE:
+            aligned.clear()
+        self.ids, self.figures, self.digests, self.sizes, self.segments, self.times, self.codes, self.counts = [[] for _ in range(8)]
+
+    def add(self, ids: pa.Array, texts: list[str]) -> None:
+        aligned = self.aligned
+        which, size = aligned.numbered(texts)
+        good = agreeing(aligned, which, size)
+        doc = np.repeat(np.arange(len(size)), size)
+        self.figures.append(run_sums(aligned.figures.rows[which, :4].astype(np.int64) * good[doc][:, None], size))
+        edges, numbers = np.append(0, np.cumsum(size)).tolist(), which.tolist()
+        for k, ok in enumerate(good.tolist()):
+            joined = ";".join(map(aligned.texts.__getitem__, numbers[edges[k] : edges[k + 1]])) if ok else ""
+            self.digests.append(hashlib.sha256(joined.encode()).digest() if ok else bytes(32))
+        pairs, times = np.unique(doc[good[doc]] << 32 | which[good[doc]], return_counts=True)
+        owner, segment = pairs >> 32, pairs & 0xFFFFFFFF
+        at, code, _ = aligned.links(segment, aligned.begins())
+        once = np.unique((owner[at] << 32) | code.astype(np.int64)) & 0xFFFFFFFF  # a document counts once for a pair
+        one, n = np.unique(once.astype(np.uint32), return_counts=True)
+        self.codes.append(one), self.counts.append(n)
+        self.sizes.append(np.bincount(owner, minlength=len(size))), self.segments.append(segment), self.times.append(times)
+        self.ids.append(ids)
+        self.chars += sum(map(len, texts))
+
+    def row(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
+        codes, counts = added_up(self.codes, self.counts)
+        segments, sizes = np.concatenate(self.segments), np.concatenate(self.sizes)
+        used, local = np.unique(segments, return_inverse=True)
+        at, code, times = self.aligned.links(used, self.aligned.begins())
+        ids = pa.concat_arrays(self.ids)
+        columns = {
+            "figures": np.concatenate(self.figures).ravel(), "doc_sizes": sizes.astype(np.uint32),
+            "doc_segments": np.diff(local, prepend=0).astype(np.int32), "doc_times": np.concatenate(self.times).astype(np.uint32),
+            "segment_sizes": np.bincount(at, minlength=len(used)).astype(np.uint32), "segment_codes": np.searchsorted(codes, code).astype(np.uint32),
+            "segment_times": times if (times != 1).any() else np.zeros(0, np.int64), "counts": counts.astype(np.int64)}
+        data = {name: squeezed(values) for name, values in columns.items()} | {"codes": packed(codes), "digests": b"".join(self.digests)}
+        arrays = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+        arrays += [pa.array([data[name]], pa.binary()) for name in schema.names[2:]]
+        return pa.RecordBatch.from_arrays(arrays, schema.names)
+
+
+def measurer(files: tuple[str, str], block_chars: int, names: list[str]):
+    def measure(batches):
+        import gc
+        import os
+
+        from pyspark import TaskContext
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # nothing here is cyclic, and the collector would go through all that is cached
+        aligned, first, number = Aligned(*files), TaskContext.get().partitionId() << 32, 0
+        schema = pa.schema([(n, pa.binary()) for n in names])
+        block = Block(aligned)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for start, end in runs_of(texts):
+                block.add(batch.column(0)[start:end], texts[start:end])
+                if block.chars >= block_chars:
+                    yield block.row(first + number, schema)
+                    block, number = Block(aligned), number + 1
+        if block.ids:
+            yield block.row(first + number, schema)
+
+    return measure
+
+
+def by_part(parts: int):
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for block, codes, counts in zip(*[c.to_pylist() for c in batch.columns]):
+                codes, counts = unpacked(codes), opened(counts, np.int64)
+                part = part_of(codes, parts)
+                for k in np.unique(part).tolist():
+                    out.append((k, block, packed(codes[part == k]), squeezed(counts[part == k])))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["_part", "_block", "codes", "counts"])
+
+    return cut
 
 
 def summed(rows: pa.Table) -> pa.Table:
-    """One row for a part's rows of ``FAN`` blocks; it takes the number of the blocks' group."""
-    codes, counts = added_up([unpacked(c) for c in rows["codes"].to_pylist()], [np.frombuffer(c, np.int64) for c in rows["counts"].to_pylist()])
+    """One row for a part's rows of a group of blocks; it takes the number of the group."""
+    codes, counts = added_up([unpacked(c) for c in rows["codes"].to_pylist()], [opened(c, np.int64) for c in rows["counts"].to_pylist()])
     return pa.table([pa.array([rows["_part"][0].as_py()], pa.int64()), pa.array([rows["_group"][0].as_py()], pa.int64()),
-                     pa.array([packed(codes)], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["_part", "_block", "codes", "counts"])
+                     pa.array([packed(codes)], pa.binary()), pa.array([squeezed(counts)], pa.binary())], names=["_part", "_block", "codes", "counts"])
 
 
 def returned(rows: pa.Table, totals: pa.Table) -> pa.Table:
-    """For each block of a group: its codes of a part, their totals, and whether a total is the highest of its A id."""
-    codes, counts = unpacked(totals["codes"][0].as_py()), np.frombuffer(totals["counts"][0].as_py(), np.int64)
-    owner = codes >> np.uint32(16)
-    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    best = counts == np.repeat(np.maximum.reduceat(counts, first), np.diff(np.append(first, len(codes))))
+    """For each block of a group: the totals of its codes of a part, in their order, and whether each is the highest of its A id."""
     out: list[tuple] = []
-    for block, sent in zip(rows["_block"].to_pylist(), rows["codes"].to_pylist()):
-        at = np.searchsorted(codes, unpacked(sent))
-        out.append((block, sent, counts[at].tobytes(), np.packbits(best[at]).tobytes()))
+    if len(rows):
+        codes, counts = unpacked(totals["codes"][0].as_py()), opened(totals["counts"][0].as_py(), np.int64)
+        owner = codes >> np.uint32(16)
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        best = counts == np.repeat(np.maximum.reduceat(counts, first), np.diff(np.append(first, len(codes))))
+        part = totals["_part"][0].as_py()
+        for block, sent in zip(rows["_block"].to_pylist(), rows["codes"].to_pylist()):
+            at = np.searchsorted(codes, unpacked(sent))
+            out.append((block, part, squeezed(counts[at]), np.packbits(best[at]).tobytes()))
     columns = list(zip(*out)) or [()] * 4
-    return pa.table([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["_block", "codes", "totals", "best"])
-
+    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=["_block", "_part", "totals", "best"])
 
-def scorer(files: tuple[str, str]):
-    kept: list[Aligned] = []
 
+def scorer(parts: int):
     def score(block: pa.Table, back: pa.Table) -> pa.Table:
-        kept or kept.append(Aligned(*files))
-        known = [(unpacked(c), np.frombuffer(t, np.int64)) for c, t in zip(back["codes"].to_pylist(), back["totals"].to_pylist())]
-        flags = [np.unpackbits(np.frombuffer(b, np.uint8))[: len(k[0])] for b, k in zip(back["best"].to_pylist(), known)]
-        codes = np.concatenate([np.zeros(0, np.uint32), *[k[0] for k in known]])
-        order = np.argsort(codes)
-        codes = codes[order]
-        totals = np.concatenate([np.zeros(0, np.int64), *[k[1] for k in known]])[order]
-        best = np.concatenate([np.zeros(0, np.uint8), *flags])[order].astype(np.int64)
-        texts, ids, out = block["_text"].to_pylist(), block["_id"].combine_chunks(), []
-        for start, end in runs_of(texts):
-            aligned = kept[0]
-            which, size = aligned.numbered(texts[start:end])
-            good = agreeing(aligned, which, size)
-            doc = np.repeat(np.arange(len(size)), size)
-            use = good[doc]
-            some, back_to = np.unique(which[use], return_inverse=True)
-            at, code, times = aligned.links(some)
-            place = np.searchsorted(codes, code)
-            sums = run_sums(np.stack([best[place] * times, totals[place] * times], axis=1), np.bincount(at, minlength=len(some)))
-            figures = run_sums(np.concatenate([aligned.figures[some, :4], sums], axis=1)[back_to], np.where(good, size, 0))
-            edges, digests = np.append(0, np.cumsum(size)).tolist(), []
-            numbers = which.tolist()
-            for k, ok in enumerate(good.tolist()):
-                joined = ";".join(map(aligned.texts.__getitem__, numbers[edges[k] : edges[k + 1]])) if ok else None
-                digests.append(hashlib.sha256(joined.encode()).hexdigest() if ok else "")
-            out.append(pa.table([ids[start:end], *[pa.array(c, pa.int64()) for c in figures.T], pa.array(digests, pa.string())],
-                                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]))
-        return pa.concat_tables(out)
+        read = lambda name, dtype: opened(block[name][0].as_py(), dtype)
+        codes = unpacked(block["codes"][0].as_py())
+        part, worth = part_of(codes, parts), np.zeros((len(codes), 2), np.int64)
+        for k, totals, best in zip(back["_part"].to_pylist(), back["totals"].to_pylist(), back["best"].to_pylist()):
+            mine = np.flatnonzero(part == k)
+            worth[mine, 0] = np.unpackbits(np.frombuffer(best, np.uint8))[: len(mine)]
+            worth[mine, 1] = opened(totals, np.int64)
+        times = read("segment_times", np.int64)
+        links = worth[read("segment_codes", np.uint32)]
+        per_segment = run_sums(links * times[:, None] if len(times) else links, read("segment_sizes", np.uint32).astype(np.int64))
+        held = per_segment[np.cumsum(read("doc_segments", np.int32))] * read("doc_times", np.uint32).astype(np.int64)[:, None]
+        sums = run_sums(held, read("doc_sizes", np.uint32).astype(np.int64))
+        figures = np.concatenate([read("figures", np.int64).reshape(-1, 4), sums], axis=1)
+        raw = block["digests"][0].as_py()
+        digests = [raw[i : i + 32].hex() if n else "" for i, n in zip(range(0, len(raw), 32), figures[:, 0].tolist())]
+        ids = block["ids"].combine_chunks().values
+        return pa.table([ids, *[pa.array(c, pa.int64()) for c in figures.T], pa.array(digests, pa.string())],
+                        names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     return score
 
@@ -315,19 +409,21 @@ def align(docs: DataFrame, file_a: str, file_b: str, doc_id: str = "doc_id", tex
     ``file_a`` and ``file_b`` must be readable on every executor, as the libraries open them there.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), whole_text(text).alias("_text"))
-    chars = rows.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
-    blocks = chars // block_chars + 1
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)))
-    files = (file_a, file_b)
-    sent = dealt.groupBy("_block").applyInArrow(sender(files, parts), SENT)
-    group = F.floor(F.col("_block") / fan).alias("_group")
-    level, number = sent, blocks
+    id_type = rows.schema["_id"].dataType.simpleString()
+    schema = BLOCKS.format(id=id_type)
+    names = [column.split(" ")[0] for column in schema.split(", ")]
+    blocks = written(rows.mapInArrow(measurer((file_a, file_b), block_chars, names), schema), "blocks")
+    number = blocks.count()
+    groups = max(1, -(-number // fan))
+    sent = blocks.select("_block", "codes", "counts").mapInArrow(by_part(parts), SENT)
+    sent = sent.withColumn("_group", F.pmod(F.xxhash64("_block"), F.lit(groups)))
+    level, left = sent, groups
     while True:
-        level = level.select("*", group).groupBy("_part", "_group").applyInArrow(summed, SENT)
-        number = -(-number // fan)
-        if number <= 1:
+        level = level.groupBy("_part", "_group").applyInArrow(summed, SENT)
+        if left == 1:
             break
-    spread = level.select("_part", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // fan).cast("long"))).alias("_group"), "codes", "counts")
-    back = sent.select("*", group).groupBy("_part", "_group").cogroup(spread.groupBy("_part", "_group"))
-    back = back.applyInArrow(returned, "_block long, codes binary, totals binary, best binary")
-    return dealt.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(scorer(files), RESULT.format(id=rows.schema["_id"].dataType.simpleString()))
+        level, left = level.withColumn("_group", F.floor(F.col("_block") / fan)), -(-left // fan)
+    spread = level.select("_part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("_group"), "codes", "counts")
+    back = sent.groupBy("_part", "_group").cogroup(spread.groupBy("_part", "_group"))
+    back = back.applyInArrow(returned, "_block long, _part long, totals binary, best binary")
+    return blocks.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(scorer(parts), RESULT.format(id=id_type))
