@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanloom.llm.common import whole_text, written
+from gleanloom.llm.common import opened, packed, squeezed, unpacked, whole_text, written
 from gleanloom.llm.segments import chunks_of, runs_of, segments
 
 PARTS = 64
@@ -239,31 +239,6 @@ def added_up(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return every[first], np.add.reduceat(number[order], first) if len(first) else number
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    """A column of numbers, byte by byte and compressed."""
-    values = np.ascontiguousarray(values)
-    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if len(values) else b""
-
-
-def opened(data: bytes, dtype) -> np.ndarray:
-    """The numbers of ``squeezed``."""
-    if not data:
-        return np.zeros(0, dtype)
-    n, width = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
-    planes = pa.decompress(data[8:], n * width, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).reshape(-1).view(dtype)
-
-
-def packed(codes: np.ndarray) -> bytes:
-    """Ascending codes as differences."""
-    return squeezed(np.diff(codes, prepend=np.uint32(0)).astype(np.uint32))
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(opened(data, np.uint32), dtype=np.uint32)
-
-
 def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
     """All codes of an A id are in one part."""
     return ((codes >> np.uint32(16)).astype(np.int64) * 40503 >> 4) % parts
@@ -328,9 +303,8 @@ def measurer(files: tuple[str, str], block_chars: int, names: list[str]):
         schema = pa.schema([(n, pa.binary()) for n in names])
         block = Block(aligned)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, end in runs_of(texts):
-                block.add(batch.column(0)[start:end], texts[start:end])
+            for ids, texts in runs_of(batch):
+                block.add(ids, texts)
                 if block.chars >= block_chars:
                     yield block.row(first + number, schema)
                     block, number = Block(aligned), number + 1
@@ -345,7 +319,7 @@ def by_part(parts: int):
         for batch in batches:
             out = []
             for block, codes, counts in zip(*[c.to_pylist() for c in batch.columns]):
-                codes, counts = unpacked(codes), opened(counts, np.int64)
+                codes, counts = unpacked(codes, np.uint32), opened(counts, np.int64)
                 part = part_of(codes, parts)
                 for k in np.unique(part).tolist():
                     out.append((k, block, packed(codes[part == k]), squeezed(counts[part == k])))
@@ -357,7 +331,7 @@ def by_part(parts: int):
 
 def summed(rows: pa.Table) -> pa.Table:
     """One row for a part's rows of a group of blocks; it takes the number of the group."""
-    codes, counts = added_up([unpacked(c) for c in rows["codes"].to_pylist()], [opened(c, np.int64) for c in rows["counts"].to_pylist()])
+    codes, counts = added_up([unpacked(c, np.uint32) for c in rows["codes"].to_pylist()], [opened(c, np.int64) for c in rows["counts"].to_pylist()])
     return pa.table([pa.array([rows["_part"][0].as_py()], pa.int64()), pa.array([rows["_group"][0].as_py()], pa.int64()),
                      pa.array([packed(codes)], pa.binary()), pa.array([squeezed(counts)], pa.binary())], names=["_part", "_block", "codes", "counts"])
 
@@ -366,13 +340,13 @@ def returned(rows: pa.Table, totals: pa.Table) -> pa.Table:
     """For each block of a group: the totals of its codes of a part, in their order, and whether each is the highest of its A id."""
     out: list[tuple] = []
     if len(rows):
-        codes, counts = unpacked(totals["codes"][0].as_py()), opened(totals["counts"][0].as_py(), np.int64)
+        codes, counts = unpacked(totals["codes"][0].as_py(), np.uint32), opened(totals["counts"][0].as_py(), np.int64)
         owner = codes >> np.uint32(16)
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         best = counts == np.repeat(np.maximum.reduceat(counts, first), np.diff(np.append(first, len(codes))))
         part = totals["_part"][0].as_py()
         for block, sent in zip(rows["_block"].to_pylist(), rows["codes"].to_pylist()):
-            at = np.searchsorted(codes, unpacked(sent))
+            at = np.searchsorted(codes, unpacked(sent, np.uint32))
             out.append((block, part, squeezed(counts[at]), np.packbits(best[at]).tobytes()))
     columns = list(zip(*out)) or [()] * 4
     return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=["_block", "_part", "totals", "best"])
@@ -381,7 +355,7 @@ def returned(rows: pa.Table, totals: pa.Table) -> pa.Table:
 def scorer(parts: int):
     def score(block: pa.Table, back: pa.Table) -> pa.Table:
         read = lambda name, dtype: opened(block[name][0].as_py(), dtype)
-        codes = unpacked(block["codes"][0].as_py())
+        codes = unpacked(block["codes"][0].as_py(), np.uint32)
         part, worth = part_of(codes, parts), np.zeros((len(codes), 2), np.int64)
         for k, totals, best in zip(back["_part"].to_pylist(), back["totals"].to_pylist(), back["best"].to_pylist()):
             mine = np.flatnonzero(part == k)

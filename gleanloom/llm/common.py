@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +38,52 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3) == 1
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write to a new Parquet table below the shared folder and read it back: ends the lineage, survives lost executors."""
+    """Write to a new Parquet table below the shared folder and read it back: ends the lineage, survives lost executors.
+
+    The shuffle files of this one write go when it has ended, as the table takes their place.
+    """
     spark: SparkSession = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """A column of numbers, byte by byte and compressed."""
+    if not len(values):
+        return b""
+    values = np.ascontiguousarray(values)
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def opened(data: bytes, dtype) -> np.ndarray:
+    """The numbers of ``squeezed``."""
+    if not data:
+        return np.zeros(0, dtype)
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = pa.decompress(data[8:], n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).reshape(-1).view(dtype)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Ascending unsigned numbers as differences."""
+    return squeezed(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    return np.cumsum(opened(data, dtype), dtype=dtype)
+
+
 def put(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add result columns; an input column of the same name (in any case) gives way to the result."""
     names = {name.lower() for name in columns}

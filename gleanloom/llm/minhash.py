@@ -30,13 +30,12 @@ import functools
 import operator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanloom.llm.common import whole_text, written
+from gleanloom.llm.common import fresh_name, opened, packed, squeezed, unpacked, whole_text, written
 from gleanloom.scale import cut_lineage
 
 SHINGLE = 5
@@ -46,14 +45,12 @@ ROWS = 3
 AGREE = 19
 FIRST_BANDS = 3
 MOST_ROUNDS = 4
-BUCKETS = 1 << 18
 VARIATES = 1 << 16
 CHUNK = 1 << 17
 BLOCK_CHARS = 4 << 20
 PART_CHARS = 12 << 20
 WORDS = r"[\p{L}\p{M}\p{N}_]+"
 
-BUCKET_SHIFT = np.uint64(46)  # the leading 18 bits
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,42 +130,6 @@ def bands_of(samples: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return out.view(np.int64)
 
 
-def count_buckets(batches):
-    """Documents per hash bucket in this task's texts, as slices of a fixed number of buckets."""
-    cache, counts, texts, found, size = WordHashes(), np.zeros(BUCKETS, np.int64), 0, [], 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found.append((shingles(text, cache)[0] >> BUCKET_SHIFT).astype(np.int64))
-            size, texts = size + len(found[-1]), texts + 1
-            if size >= CHUNK:
-                counts += np.bincount(np.concatenate(found), minlength=BUCKETS)
-                found, size = [], 0
-    if found:
-        counts += np.bincount(np.concatenate(found), minlength=BUCKETS)
-    parts = counts.reshape(256, -1)
-    rows = [(k, part.tobytes()) for k, part in enumerate(parts) if part.any()] + [(-1, np.array([texts], np.int64).tobytes())]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "counts"])
-
-
-def add_parts(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(b, np.int64) for b in frame["counts"]], axis=0)
-    return pd.DataFrame({"part": [frame["part"].iloc[0]], "counts": [total.tobytes()]})
-
-
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """The idf of hash buckets: an estimate whose collisions grow with the corpus. Classes are made from the exact counts of ``signed``."""
-    parts = texts.select("_words").mapInArrow(count_buckets, "part int, counts binary")
-    total = parts.groupBy("part").applyInPandas(add_parts, "part int, counts binary").collect()
-    counts, number = np.zeros((256, BUCKETS // 256), np.int64), 0
-    for row in total:
-        values = np.frombuffer(bytes(row["counts"]), np.int64)
-        if row["part"] < 0:
-            number = int(values[0])
-        else:
-            counts[row["part"]] = values
-    return idf_table(counts.reshape(-1), number).astype(np.float32)
-
-
 def lists(rows: np.ndarray) -> pa.Array:
     offsets = pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).reshape(-1)))
@@ -181,24 +142,25 @@ def sender(bits: int):
         part = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
         parts, at = np.unique(part, return_index=True)
         ends = [*at[1:], len(hashes)]
-        cut = lambda values: pa.array([values[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())
         number = block["_block"][0].as_py()
-        return pa.table({"_part": pa.array(parts, pa.int64()), "_block": pa.array([number] * len(parts), pa.int64()), "hashes": cut(hashes), "counts": cut(counts.astype(np.int32))})
+        sent = pa.array([packed(hashes[i:j]) for i, j in zip(at, ends)], pa.binary())
+        shared = pa.array([squeezed(counts[i:j].astype(np.int32)) for i, j in zip(at, ends)], pa.binary())
+        return pa.table({"_part": pa.array(parts, pa.int64()), "_block": pa.array([number] * len(parts), pa.int64()), "hashes": sent, "counts": shared})
 
     return send
 
 
 def add_up(part: pa.Table) -> pa.Table:
     """For each block its hashes that occur in two texts or more, with the number of those."""
-    sent = [np.frombuffer(h, np.uint64) for h in part["hashes"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, np.int32) for c in part["counts"].to_pylist()])
+    sent = [unpacked(h, np.uint64) for h in part["hashes"].to_pylist()]
+    counts = np.concatenate([opened(c, np.int32) for c in part["counts"].to_pylist()])
     _, place = np.unique(np.concatenate(sent), return_inverse=True)
     total, start, out = np.bincount(place, counts).astype(np.int64)[place], 0, []
     for block, hashes in zip(part["_block"].to_pylist(), sent):
         mine = total[start : start + len(hashes)]
         start += len(hashes)
         if (mine > 1).any():
-            out.append((block, hashes[mine > 1].tobytes(), mine[mine > 1].tobytes()))
+            out.append((block, packed(hashes[mine > 1]), squeezed(mine[mine > 1])))
     return pa.table({"_block": pa.array([o[0] for o in out], pa.int64()), "hashes": pa.array([o[1] for o in out], pa.binary()), "totals": pa.array([o[2] for o in out], pa.binary())})
 
 
@@ -208,46 +170,46 @@ def signer(number: int):
     def sign(block: pa.Table, repeated: pa.Table) -> pa.Table:
         kept or kept.append(Sampler())
         cache, sampler, out = WordHashes(), kept[0], []
-        known = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(h, np.uint64) for h in repeated["hashes"].to_pylist()]])
-        totals = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(t, np.int64) for t in repeated["totals"].to_pylist()]])
+        known = np.concatenate([np.zeros(0, np.uint64), *[unpacked(h, np.uint64) for h in repeated["hashes"].to_pylist()]])
+        totals = np.concatenate([np.zeros(0, np.int64), *[opened(t, np.int64) for t in repeated["totals"].to_pylist()]])
         order = np.argsort(known)
         known, totals = np.append(known[order], np.uint64(2**64 - 1)), np.append(totals[order], 1)
 
-        def rows(keys, texts, parts):
+        def rows(keys, parts):
             hashes, counts, frequency = (np.concatenate(c) for c in zip(*parts))
             weight = weights(counts, frequency, number)
             starts = np.cumsum([0] + [len(h) for h, _, _ in parts[:-1]])
             samples = sampler(hashes, weight, starts)
             total = pa.array(np.add.reduceat(weight, starts).astype(np.float64))
-            stored = pa.array([f.astype(np.int32).tobytes() for _, _, f in parts], pa.binary())
-            columns = [pa.array(keys, pa.binary()), pa.array(texts, pa.string()), stored, total, lists(bands_of(samples)), lists((samples & 0xFFFF).astype(np.uint16).view(np.int16))]
-            out.append(pa.RecordBatch.from_arrays(columns, ["_key", "_words", "_df", "_weight", "_bands", "_samples"]))
+            stored = pa.array([squeezed(f.astype(np.int64)) for _, _, f in parts], pa.binary())
+            columns = [pa.array(keys, pa.binary()), stored, total, lists(bands_of(samples)), lists((samples & 0xFFFF).astype(np.uint16).view(np.int16))]
+            out.append(pa.RecordBatch.from_arrays(columns, ["_key", "_df", "_weight", "_bands", "_samples"]))
 
-        keys, texts, parts, size = [], [], [], 0
+        keys, parts, size = [], [], 0
         for key, text in zip(block["_key"].to_pylist(), block["_words"].to_pylist()):
             hashes, counts = shingles(text, cache)
             at = np.searchsorted(known, hashes)
-            keys.append(key), texts.append(text), parts.append((hashes, counts, np.where(known[at] == hashes, totals[at], 1)))
+            keys.append(key), parts.append((hashes, counts, np.where(known[at] == hashes, totals[at], 1)))
             size += len(hashes)
             if size >= CHUNK:
-                rows(keys, texts, parts)
-                keys, texts, parts, size = [], [], [], 0
+                rows(keys, parts)
+                keys, parts, size = [], [], 0
         if keys:
-            rows(keys, texts, parts)
+            rows(keys, parts)
         return pa.Table.from_batches(out)
 
     return sign
 
 
 def signed(texts: DataFrame, number: int, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
-    """(_key, _words, _df, _weight, _bands, _samples) of distinct texts with words, among ``number`` texts; ``_df`` in the order of the shingles' hashes."""
+    """(_key, _df, _weight, _bands, _samples) of distinct texts with words, among ``number`` texts; ``_df`` in the order of the shingles' hashes."""
     chars = texts.agg(F.coalesce(F.sum(F.length("_words")), F.lit(0))).first()[0]
     bits = max(0, (chars // part_chars)).bit_length()
     dealt = texts.select("_key", "_words", F.pmod(F.xxhash64("_key"), F.lit(chars // block_chars + 1)).alias("_block"))
     sent = dealt.groupBy("_block").applyInArrow(sender(bits), "_part long, _block long, hashes binary, counts binary")
     repeated = sent.groupBy("_part").applyInArrow(add_up, "_block long, hashes binary, totals binary")
     return dealt.groupBy("_block").cogroup(repeated.groupBy("_block")).applyInArrow(
-        signer(number), "_key binary, _words string, _df binary, _weight double, _bands array<long>, _samples array<smallint>")
+        signer(number), "_key binary, _df binary, _weight double, _bands array<long>, _samples array<smallint>")
 
 
 def verifier(number: int, threshold: float):
@@ -256,7 +218,7 @@ def verifier(number: int, threshold: float):
 
         def parsed(text, frequencies):
             hashes, counts = shingles(text, cache)
-            weight = weights(counts, np.frombuffer(frequencies, np.int32), number).astype(np.float64)
+            weight = weights(counts, opened(frequencies, np.int64), number).astype(np.float64)
             return hashes, weight, weight.sum()
 
         for batch in batches:
@@ -275,12 +237,12 @@ def verifier(number: int, threshold: float):
     return verify
 
 
-def normalised(docs: DataFrame, text: str) -> DataFrame:
-    """Rows with ``_words`` and ``_key``: equal keys are equal words, or equal texts where there are no words."""
-    words = F.array_join(F.regexp_extract_all(F.lower(whole_text(text)), F.lit(WORDS), F.lit(0)), " ")
-    out = docs.withColumn("_words", words)
-    raw = F.when(F.col("_words") == "", F.concat(F.lit("\n"), whole_text(text))).otherwise(F.col("_words"))
-    return out.withColumn("_key", F.unhex(F.md5(raw.cast("binary"))))
+def normalised(docs: DataFrame, text: str, words: str = "_words", key: str = "_key") -> DataFrame:
+    """Rows with their words and a key: equal keys are equal words, or equal texts where there are no words."""
+    own = F.array_join(F.regexp_extract_all(F.lower(whole_text(text)), F.lit(WORDS), F.lit(0)), " ")
+    out = docs.withColumn(words, own)
+    raw = F.when(F.col(words) == "", F.concat(F.lit("\n"), whole_text(text))).otherwise(F.col(words))
+    return out.withColumn(key, F.unhex(F.md5(raw.cast("binary"))))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -309,8 +271,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, texts: DataFrame, number: int, threshold: float) -> DataFrame:
     """(_a, _b, similarity) of the pairs that reach the threshold. Both joins can be split where a text has many pairs."""
-    needed = pairs.select(F.col("_a").alias("_key")).union(pairs.select(F.col("_b").alias("_key"))).distinct()
-    texts = texts.join(needed, "_key", "left_semi")
     second = pairs.join(texts.toDF("_b", "_other", "_other_df"), "_b")
     both = second.join(texts.toDF("_a", "_words", "_df"), "_a").select("_a", "_b", "_words", "_df", "_other", "_other_df")
     return both.mapInArrow(verifier(number, threshold), "_a binary, _b binary, similarity double")
@@ -342,8 +302,8 @@ def with_components(members: DataFrame, groups: DataFrame | None) -> tuple[DataF
         named = named.join(groups, "_key", "left").withColumn("_own", F.coalesce("_component", "_key")).drop("_component")
     own = named.groupBy("_bucket", "_own").agg(F.count("*").alias("n"))
     main = own.groupBy("_bucket").agg(F.sum("n").alias("_size"), F.max(F.struct("n", F.col("_own").alias("own"))).alias("_top"), F.count("*").alias("_parts"))
-    main = cut_lineage(main.where("_parts > 1").select("_bucket", "_size", F.col("_top.own").alias("_main"), F.col("_top.n").alias("_main_size")))
-    return cut_lineage(named.join(main.select("_bucket"), "_bucket")), main
+    main = written(main.where("_parts > 1").select("_bucket", "_size", F.col("_top.own").alias("_main"), F.col("_top.n").alias("_main_size")), "main")
+    return written(named.join(main.select("_bucket"), "_bucket"), "members"), main
 
 
 def linked(texts: DataFrame, signatures: DataFrame, number: int, threshold: float = THRESHOLD) -> DataFrame:
@@ -354,13 +314,14 @@ def linked(texts: DataFrame, signatures: DataFrame, number: int, threshold: floa
     """
     bands = signatures.select("_key", F.posexplode("_bands").alias("_band", "_bucket"))
     shared = bands.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket")
-    members, main = with_components(cut_lineage(bands.join(shared, "_bucket")), None)
+    members, main = with_components(written(bands.join(shared, "_bucket"), "members"), None)
     facts = signatures.join(members.select("_key").distinct(), "_key", "left_semi")
-    facts = cut_lineage(facts.select("_key", F.struct("_weight", "_samples").alias("_facts")))
+    facts = written(facts.select("_key", F.struct("_weight", "_samples").alias("_facts")), "facts")
+    texts = written(texts.join(facts.select("_key"), "_key", "left_semi"), "candidates", compression="zstd")
     links, groups = None, None
 
     def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = cut_lineage(compared(cut_lineage(pairs), texts, number, threshold).select("_a", "_b"))
+        new = written(compared(written(pairs, "pairs"), texts, number, threshold).select("_a", "_b"), "links")
         every = new if links is None else links.unionByName(new)
         return every, cut_lineage(components(every))
 
@@ -390,12 +351,13 @@ def linked(texts: DataFrame, signatures: DataFrame, number: int, threshold: floa
 
 def named_keys(rows: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, _key, _class) of all rows; ``_class`` is the least key of the row's class."""
-    keys = written(rows.select("doc_id", "_key"), "keys")
+    rows = written(rows.select("doc_id", "_key", "_words"), "words", compression="zstd")
     texts = written(rows.select("_key", "_words").dropDuplicates(["_key"]), "texts", compression="zstd")
     number = texts.count()
     both = written(signed(texts.where("_words <> ''"), number), "signatures", compression="zstd")
-    groups = linked(both.select("_key", "_words", "_df"), both.select("_key", "_weight", "_bands", "_samples"), number, threshold)
-    return keys.join(groups, "_key", "left").select("doc_id", "_key", F.coalesce("_component", "_key").alias("_class"))
+    words = texts.join(both.select("_key", "_df"), "_key").select("_key", "_words", "_df")
+    groups = linked(words, both.select("_key", "_weight", "_bands", "_samples"), number, threshold)
+    return rows.select("doc_id", "_key").join(groups, "_key", "left").select("doc_id", "_key", F.coalesce("_component", "_key").alias("_class"))
 
 
 def duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -411,13 +373,13 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
     The rows are fetched by id and key, so that a large group of copies is not one task's work.
     """
-    columns = docs.columns
     rows = normalised(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text")
     named = named_keys(rows, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_first")
-    kept = named.groupBy("_class").agg(first).select(id_text(F.col("_first.doc_id")).alias("_id"), "_first._key")
-    own = normalised(docs, text).withColumn("_id", id_text(F.col(f"`{doc_id}`"))).drop("_words")
-    return own.join(kept, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select(*[f"`{c}`" for c in columns])
+    same_id, same_key, words = (fresh_name(docs, name) for name in ("id", "key", "words"))
+    kept = named.groupBy("_class").agg(first).select(id_text(F.col("_first.doc_id")).alias(same_id), F.col("_first._key").alias(same_key))
+    own = normalised(docs, text, words, same_key).withColumn(same_id, id_text(F.col(f"`{doc_id}`"))).drop(words)
+    return own.join(kept, [same_id, same_key]).dropDuplicates([same_id, same_key]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def id_text(column):

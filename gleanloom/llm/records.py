@@ -25,6 +25,7 @@ table gives no files and an empty index; other input columns are not stored.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -40,7 +41,9 @@ from gleanloom.scale import broadcast_if_small, shared_dir
 
 END = 0
 FILE_BYTES = 32 << 20
-CACHE = 400_000
+CACHE = 600_000
+RUN_BYTES = 4 << 20
+SIGNS = ".,;:!?"
 INDEX = ("file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, tokens_before long, file_tokens long")
 
 
@@ -82,6 +85,7 @@ class SegmentEncoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.cache: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.end = self.packed([END])
 
     def packed(self, ids: list[int]) -> bytes:
@@ -95,7 +99,7 @@ class SegmentEncoder:
         chunks = chunks_of(new)
         joined = ["".join([" " + s for s in chunk]) for chunk in chunks]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.array([k for one in found for k in one], f"<u{self.width}")
+        ids = np.fromiter(itertools.chain.from_iterable(found), f"<u{self.width}")
         words = [s for chunk in chunks for s in chunk]
         token_ends, ends = np.cumsum(self.lengths[ids]), np.cumsum([len(s.encode()) + 1 for s in words])
         at = np.searchsorted(token_ends, ends)
@@ -107,6 +111,19 @@ class SegmentEncoder:
             self.cache[word] = raw[start:stop]
             start = stop
 
+    def learn_all(self, new: list[str]) -> None:
+        """A word with a sentence's signs behind it is the word's tokens and those of the signs, which are pieces of their own."""
+        stems = {}
+        for segment in new:
+            stem = segment.rstrip(SIGNS)
+            if len(stem) != len(segment) and stem.isalpha():
+                stems[segment] = stem
+        tails = {segment[len(stem) :] for segment, stem in stems.items()} - self.tails.keys()
+        self.tails.update(zip(tails, self.whole(list(tails))))
+        self.learn(list({stems.get(s, s) for s in new} - self.cache.keys()))
+        for segment, stem in stems.items():
+            self.cache[segment] = self.cache[stem] + self.tails[segment[len(stem) :]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.byte_level and not any(a in t for a in self.added) for t in texts]
         cut = [segments(t) if ok else [t] for t, ok in zip(texts, plain)]
@@ -115,21 +132,26 @@ class SegmentEncoder:
             del c[0]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        self.learn(list(set().union(*cut) - self.cache.keys()))
-        known = self.cache.__getitem__
-        return [one + b"".join(map(known, rest)) + self.end for one, rest in zip(first, cut)]
+        found = [list(map(self.cache.get, c)) for c in cut]
+        missing = [[k for k, ids in enumerate(f) if ids is None] for f in found]
+        self.learn_all(list({c[k] for c, ks in zip(cut, missing) for k in ks}))
+        for f, c, ks in zip(found, cut, missing):
+            for k in ks:
+                f[k] = self.cache[c[k]]
+        return [one + b"".join(rest) + self.end for one, rest in zip(first, found)]
 
 
 def framer(tokenizer_file: str):
     def frames(batches):
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # nothing here is cyclic, and the collector would go through all that is cached
         encoder = SegmentEncoder(tokenizer_file)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, end in runs_of(texts):
-                rows = [frame(k, ids, encoder.width)[:-1] for k, ids in zip(keys[start:end], encoder.encode(texts[start:end]))]
+            for keys, texts in runs_of(batch, RUN_BYTES):
+                rows = [frame(k, ids, encoder.width)[:-1] for k, ids in zip(keys.to_pylist(), encoder.encode(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
     return frames

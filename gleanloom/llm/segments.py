@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Segments that are encoded as one text: long enough to save calls, short enough for the processor's cache.
 JOINED = 50
 
@@ -29,13 +33,12 @@ def chunks_of(items: list[str], size: int = JOINED) -> list[list[str]]:
     return [items[i : i + size] for i in range(0, len(items), size)] + [[s] for s in open_ended]
 
 
-def runs_of(texts: list[str], chars: int = 1 << 19):
-    """(start, end) of runs of texts of about so many characters."""
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text) + 64
-        if size >= chars:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def runs_of(batch: pa.RecordBatch, size: int = 1 << 20):
+    """(ids, texts) of runs of rows (id, text) of about so many bytes; only a run's texts are Python strings at a time."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    start = 0
+    while start < len(lengths):
+        before = lengths[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(lengths, before + size, "right")))
+        yield batch.column(0)[start:end], batch.column(1)[start:end].to_pylist()
+        start = end

@@ -4,16 +4,18 @@ import re
 from collections import Counter
 
 from gleanloom.llm import minhash
-
-
-def brute_force(texts: dict, idf, threshold=minhash.THRESHOLD) -> dict:
-    """Classes by comparing all pairs with weights made from plain counters."""
-    cache = minhash.WordHashes()
-    bags = {}
-    for key, text in texts.items():
-        words = " ".join(re.findall(r"\w+", (text or "").lower()))
-        hashes, counts = minhash.shingles(words, cache)
-        bags[key] = {h: (1 + math.log(c)) * float(idf[int(h) >> 46]) for h, c in zip(hashes.tolist(), counts.tolist())}
+from gleanloom.llm.common import opened
+
+
+def brute_force(texts: dict, threshold=minhash.THRESHOLD) -> dict:
+    """Classes by comparing all pairs with weights made from tuples of words in plain counters."""
+    words = {key: tuple(re.findall(r"\w+", (text or "").lower())) for key, text in texts.items()}
+    counted = {own: Counter(zip(*[own[j:] for j in range(min(5, len(own)))])) for own in set(words.values())}
+    holders_of = Counter(s for bag in counted.values() for s in bag)
+    top = len(counted)
+    idf = {s: 1 + math.log((1 + top) / (1 + n)) / math.log(1 + top) for s, n in holders_of.items()}
+    weighed = {own: {s: (1 + math.log(c)) * idf[s] for s, c in bag.items()} for own, bag in counted.items()}
+    bags = {key: weighed[own] for key, own in words.items()}
     parent = {k: k for k in texts}
 
     def root(k):
@@ -38,10 +40,8 @@ def brute_force(texts: dict, idf, threshold=minhash.THRESHOLD) -> dict:
 
 def test_classes_equal_brute_force_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    rows = minhash.normalised(docs, "text")
-    idf = minhash.document_frequencies(rows.select("_key", "_words").dropDuplicates(["_key"]))
     got = {r["doc_id"]: r["class_id"] for r in minhash.duplicate_classes(docs).collect()}
-    want = brute_force({r["doc_id"]: r["text"] for r in docs.collect()}, idf)
+    want = brute_force({r["doc_id"]: r["text"] for r in docs.collect()})
     assert len(set(want.values())) < len(want)
     assert got == want
 
@@ -93,8 +93,16 @@ def test_document_frequencies_are_exact(spark):
     plain = [Counter(zip(*[t.split()[j:] for j in range(5)])) for t in texts]
     holders = Counter(s for bag in plain for s in bag)
     frame = minhash.normalised(spark.createDataFrame([(t,) for t in texts], "text string"), "text").select("_key", "_words")
-    got = minhash.signed(frame, len(texts), block_chars=20_000, part_chars=30_000).collect()
+    got = minhash.signed(frame, len(texts), block_chars=20_000, part_chars=30_000).join(frame, "_key").collect()
     assert len(got) == len(texts)
     want = {t: sorted(holders[s] for s in bag) for t, bag in zip(texts, plain)}
-    assert all(sorted(np.frombuffer(bytes(r["_df"]), np.int32).tolist()) == want[r["_words"]] for r in got)
+    assert all(sorted(opened(bytes(r["_df"]), np.int64).tolist()) == want[r["_words"]] for r in got)
     assert max(holders.values()) == 60 and min(holders.values()) == 1
+
+
+def test_columns_of_the_same_names_stay(spark):
+    rows = [(1, "a b c d e f", "x", "y", "z"), (2, "a b c d e f", "x2", "y2", "z2"), (3, "other", "x3", "y3", "z3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _words string, _KEY string, _id string")
+    got = minhash.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
