@@ -200,7 +200,7 @@ class Aligned:
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Segment numbers of all texts, and how many each has."""
         cut = [self.cut(t) if t else [] for t in texts]
-        self.add(list(set().union(*cut) - self.number.keys()))
+        self.add(list(set().union(*cut).difference(self.number)))
         counts = np.array([len(c) for c in cut], np.int64)
         return np.array(list(map(self.number.__getitem__, itertools.chain.from_iterable(cut))), np.int64), counts
 

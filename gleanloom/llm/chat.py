@@ -49,7 +49,7 @@ CODES = {"marker": 4, "length": 9, "form": 4}
 
 def marker_of(line: str) -> tuple[int, int]:
     """Role number of the line's speaker marker and the marker's length; (3, 0) without one."""
-    found = MARKER.match(line[:80])
+    found = MARKER.match(line)
     if not found:
         return 3, 0
     return next(k for k, role in enumerate(ROLES) if found.group(role) is not None), found.end()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanloom.llm.common import whole_text
-from gleanloom.scale import broadcast_if_small, cut_lineage, explode_once, measured_bytes
+from gleanloom.scale import broadcast_if_small, cut_lineage, explode_once, fits_broadcast, measured_bytes
 
 #: Places of the tokens that count: 6 of 8, 6 of 9 and 6 of 10.
 MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 4, 5, 7, 8), (0, 2, 3, 6, 8, 9))
@@ -93,23 +93,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
           broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(_key, _item, matched, item_tokens): the leaked items of each distinct text, both by the MD5 of their text.
 
-    With a benchmark of bounded size no document row is shuffled: seeds and items are broadcast and the tokens are
-    compared in the scan; only leaks are grouped. A larger one meets the documents' seeds in a shuffle join, and
-    the texts of hits are fetched by key.
+    The seeds of a benchmark of bounded size are broadcast, and no document row is shuffled; those of a larger one meet the documents'
+    seeds in a shuffle join. Hits are reduced to distinct diagonals before the tokens of their texts are fetched by key, so that
+    repeated tokens cost a row per diagonal; few hits are broadcast to the texts, many fetch each distinct text once.
     """
     items = cut_lineage(tokenized(keyed(benchmark, item_text).distinct()).where(F.col("_n") > MASKS[0][-1]))
     wanted = cut_lineage(seed_rows(items, ["_key"]).select(
         F.col("_key").alias("_item"), place(F.col("_at"), F.col("_n")).alias("_q"), "_seed").distinct())
     items = items.select(F.col("_key").alias("_item"), F.col("_tokens").alias("_words"))
-    found = tokenized(keyed(docs, text))
+    found = seed_rows(tokenized(keyed(docs, text)), ["_key"])
     diagonal = (place(F.col("_at"), F.col("_n")) - F.col("_q")).alias("_diagonal")
-    if measured_bytes(wanted) + measured_bytes(items) <= broadcast_bytes:
-        hits = seed_rows(found, ["_key", "_tokens"]).join(F.broadcast(wanted), "_seed").join(F.broadcast(items), "_item")
-        hits = hits.select("_key", "_item", "_tokens", "_words", diagonal)
+    small = measured_bytes(wanted) + measured_bytes(items) <= broadcast_bytes
+    hits = found.join(F.broadcast(wanted) if small else wanted, "_seed").select("_key", "_item", diagonal)
+    hits = cut_lineage(hits.distinct())
+    texts = keyed(docs, text)
+    if fits_broadcast(hits):
+        hits = texts.join(F.broadcast(hits), "_key").withColumn("_tokens", tokens(F.col("_text")))
     else:
-        hits = seed_rows(found, ["_key"]).join(wanted, "_seed").select("_key", "_item", diagonal).distinct()
-        texts = keyed(docs, text).join(hits.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
-        hits = hits.join(tokenized(texts), "_key").join(items, "_item")
+        texts = texts.join(hits.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+        hits = hits.join(tokenized(texts), "_key")
+    hits = hits.join(F.broadcast(items) if small else items, "_item")
     score = best_stretch(F.col("_tokens"), F.col("_words"), F.col("_diagonal"))
     scored = hits.select("_key", "_item", score.alias("_score"), F.size("_words").alias("item_tokens"))
     best = scored.groupBy("_key", "_item").agg(F.max("_score").alias("matched"), F.max("item_tokens").alias("item_tokens"))

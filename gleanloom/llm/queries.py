@@ -61,8 +61,10 @@ def op8_transcript_roles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Range-sorted by the first training position; documents that are not placed come last."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    mixed = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op10_latent_neighbours(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,7 +19,7 @@ Texts are cut into segments at blanks that the tokenizer never reads across, and
 task by the tokenizers library, many of them joined to one text. Texts with the text of an added token are encoded whole.
 
 Edge cases: null and empty texts give the end id alone; ids must be integers (others, as text, fail where they can't be cast); null ids
-come first; rows of equal ids follow each other in the order of their text's hash, and identical rows in any order; an empty
+come first; rows of equal ids follow each other in the order in which the table holds them; an empty
 table gives no files and an empty index; other input columns are not stored.
 """
 
@@ -41,9 +41,9 @@ from gleanloom.scale import broadcast_if_small, shared_dir
 
 END = 0
 FILE_BYTES = 32 << 20
-CACHE = 600_000
-RUN_BYTES = 4 << 20
+CACHE = 450_000
 SIGNS = ".,;:!?"
+RUN_BYTES = 1 << 20
 INDEX = ("file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, tokens_before long, file_tokens long")
 
 
@@ -111,18 +111,14 @@ class SegmentEncoder:
             self.cache[word] = raw[start:stop]
             start = stop
 
-    def learn_all(self, new: list[str]) -> None:
+    def learn_all(self, new: set[str]) -> None:
         """A word with a sentence's signs behind it is the word's tokens and those of the signs, which are pieces of their own."""
-        stems = {}
-        for segment in new:
-            stem = segment.rstrip(SIGNS)
-            if len(stem) != len(segment) and stem.isalpha():
-                stems[segment] = stem
-        tails = {segment[len(stem) :] for segment, stem in stems.items()} - self.tails.keys()
+        stems = {s: stem for s in new if s and s[-1] in SIGNS and (stem := s.rstrip(SIGNS)).isalpha()}
+        tails = {s[len(stem) :] for s, stem in stems.items()}.difference(self.tails)
         self.tails.update(zip(tails, self.whole(list(tails))))
-        self.learn(list({stems.get(s, s) for s in new} - self.cache.keys()))
-        for segment, stem in stems.items():
-            self.cache[segment] = self.cache[stem] + self.tails[segment[len(stem) :]]
+        self.learn(list(new.difference(stems).union(stems.values()).difference(self.cache)))
+        cache, tails = self.cache, self.tails
+        cache.update([(s, cache[stem] + tails[s[len(stem) :]]) for s, stem in stems.items()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.byte_level and not any(a in t for a in self.added) for t in texts]
@@ -132,13 +128,9 @@ class SegmentEncoder:
             del c[0]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        found = [list(map(self.cache.get, c)) for c in cut]
-        missing = [[k for k, ids in enumerate(f) if ids is None] for f in found]
-        self.learn_all(list({c[k] for c, ks in zip(cut, missing) for k in ks}))
-        for f, c, ks in zip(found, cut, missing):
-            for k in ks:
-                f[k] = self.cache[c[k]]
-        return [one + b"".join(rest) + self.end for one, rest in zip(first, found)]
+        self.learn_all(set().union(*cut).difference(self.cache))
+        known = self.cache.__getitem__
+        return [one + b"".join(map(known, rest)) + self.end for one, rest in zip(first, cut)]
 
 
 def framer(tokenizer_file: str):
@@ -178,12 +170,12 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, doc_id: str =
                   file_bytes: int = FILE_BYTES) -> None:
     """Write the files in ascending order of ids, about ``file_bytes`` of text to each.
 
-    Rows are range-sorted before they are tokenized, as the sort samples its input once more. The last sort key tells identical
-    rows apart, so that any number of them can be dealt to several files.
+    Rows are range-sorted before they are tokenized, as the sort samples its input once more. The second sort key tells rows of
+    equal ids apart, so that any number of them can be dealt to several files.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), whole_text(text).alias("_text"))
     total = rows.agg(F.sum(F.octet_length("_text") + 16)).first()[0] or 0
-    order = ["_id", F.xxhash64("_text"), "_copy"]
+    order = ["_id", "_copy"]
     ordered = rows.withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-total // file_bytes)), *order)
     ordered = ordered.sortWithinPartitions(*order).select("_id", "_text")
     ordered.mapInArrow(framer(tokenizer_file), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(path)

@@ -36,7 +36,6 @@ COVER = 5
 LEAST = 8
 LEAST_WEIGHT = 2.0
 BEGINNINGS = (3, 4, 5, 6, 7)
-MAX_ENTRIES = 2_000
 CUT = 0.7
 
 #: Letters of other scripts that look like Latin ones, after lower-casing.
@@ -112,7 +111,7 @@ def cover(found: list, weights: dict[str, float]) -> list[str]:
             holders.setdefault(e, []).append(k)
     times, chosen = [0] * len(found), []
     gains = {e: len(ks) for e, ks in holders.items()}
-    while gains and len(chosen) < MAX_ENTRIES:
+    while gains:
         while True:  # gains only shrink: recount the leader until it stays the leader
             best = max(gains, key=lambda e: (gains[e] * weights[e], len(e), e))
             now = sum(times[k] < COVER for k in holders[best])
@@ -168,6 +167,20 @@ def built(lexicon: Lexicon) -> ahocorasick.Automaton:
     return automaton
 
 
+def outside(spans: list[tuple], free: list[tuple]) -> list[tuple]:
+    """Spans that lie in none of the free ones. Both come in the order of their ends: one merge, with the free spans' starts kept as a
+    stack in which only those count that begin before all later ones."""
+    kept, stack, at = [], [], len(free)
+    for span in reversed(spans):
+        while at and free[at - 1][1] >= span[1]:
+            at -= 1
+            if not stack or free[at][0] < stack[-1]:
+                stack.append(free[at][0])
+        if not stack or stack[-1] > span[0]:
+            kept.append(span)
+    return kept[::-1]
+
+
 def measures(text: str, automaton, exempt: frozenset) -> tuple[float, float]:
     """Damped weight of the hits, as it is and per hundred words."""
     if not len(automaton):
@@ -177,7 +190,7 @@ def measures(text: str, automaton, exempt: frozenset) -> tuple[float, float]:
     for end, (entry, weight) in automaton.iter(padded):
         (free if entry in exempt else spans).append((end - len(entry) + 1, end, entry, weight))
     if free:
-        spans = [s for s in spans if not any(a <= s[0] and s[1] <= b for a, b, _, _ in free)]
+        spans = outside(spans, free)
     counts = Counter(s[2] for s in spans)
     weights = {s[2]: s[3] for s in spans}
     total = sum(weights[e] * (1 + math.log(n)) for e, n in sorted(counts.items()))

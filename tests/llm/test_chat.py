@@ -81,3 +81,9 @@ def test_repeated_turns_do_not_multiply(spark):
     mixed = chat.fit(spark.createDataFrame([(1, 0, "user", "x"), (1, 0, "system", "x"), (1, 1, "assistant", "x")], schema), *names)
     s = chat.STATES.index(("system", True))
     assert np.allclose(mixed.move, chat.Model({(u, a): 0.5, (s, a): 0.5}, {}).move)
+
+
+def test_markers_are_looked_for_in_whole_lines():
+    """A marker behind deep indentation counts; a line whose first characters merely begin like one does not."""
+    assert chat.marker_of(" " * 90 + "User: hi") == (chat.ROLES.index("user"), 96)
+    assert chat.marker_of(" " * 76 + "Users of the town came") == (3, 0)

@@ -75,3 +75,31 @@ def test_lexicon_exceptions_and_length():
     measure = lambda t: toxicity.measures(" ".join(toxicity.folded(t)), automaton, exempt)
     assert measure("green pond scum here") == (0.0, 0.0)
     assert measure("you scum") > measure("you scum" + " and so on" * 100) > (0.0, 0.0)
+
+
+def plain_measures(text, lexicon):
+    """Hits and exceptions by plain searches, every hit against every exception."""
+    padded = f" {text} "
+    at = lambda e: [k for k in range(len(padded)) if padded.startswith(e, k)]
+    free = [(k, k + len(e)) for e in lexicon.exceptions for k in at(e)]
+    total = 0.0
+    for e in sorted(lexicon.weights):
+        n = 0 if e in lexicon.exceptions else sum(not any(a <= k and k + len(e) <= b for a, b in free) for k in at(e))
+        total += lexicon.weights[e] * (1 + np.log(n)) if n else 0.0
+    return np.log1p(total), np.log1p(100 * total / (1 + padded.count(" ")))
+
+
+def test_measures_equal_a_plain_search():
+    rng = np.random.default_rng(1)
+    lexicon = toxicity.Lexicon({" scum ": 3.0, " scu": 1.5, " vile ": 2.0, " pond ": 0.5}, [" pond scum ", " scum of the ", " vile scum vile "])
+    automaton, exempt = toxicity.built(lexicon), frozenset(lexicon.exceptions)
+    for _ in range(300):
+        text = " ".join(rng.choice(["scum", "pond", "vile", "scull", "of", "the", "x"], rng.integers(0, 30)))
+        assert np.allclose(toxicity.measures(text, automaton, exempt), plain_measures(text, lexicon))
+
+
+def test_many_hits_and_exceptions_in_one_text():
+    lexicon = toxicity.Lexicon({" scum ": 3.0}, [" pond scum "])
+    automaton, exempt = toxicity.built(lexicon), frozenset(lexicon.exceptions)
+    total, _ = toxicity.measures("pond scum x scum y " * 20_000, automaton, exempt)
+    assert np.isclose(total, np.log1p(3.0 * (1 + np.log(20_000))))

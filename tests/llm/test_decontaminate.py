@@ -68,3 +68,13 @@ def test_documents_are_not_shuffled(spark):
     docs, items = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     plan = d.leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("limit", [d.BROADCAST_BYTES, -1])
+def test_repeated_tokens(spark, limit):
+    """Every position of the text hits every position of the item: a row per diagonal, not per hit, is compared."""
+    item, text = " ".join(["same"] * 60), " ".join(["same"] * 20_000)
+    docs = spark.createDataFrame([(1, text), (2, "same other " * 3_000), (3, text[:-5] + " end")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["matched"]) for r in d.contamination(docs, items, broadcast_bytes=limit).collect()}
+    assert got == {1: (True, 60), 2: (False, 0), 3: (True, 60)}

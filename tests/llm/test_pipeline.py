@@ -36,5 +36,5 @@ def test_empty_documents(spark, tmp_path):
 
 def test_registration():
     own = [q for q in __spark_entry__.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in own) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in own) == list(range(1, 14))
     assert set(queries.oracles()) <= set(queries.QUERIES) and "pipeline" in __spark_entry__.queries()
