@@ -146,8 +146,8 @@ _CHUNKS = """
   FROM documents"""
 
 _VECTORS = """
-  SELECT vec_id::VARCHAR AS chunk_id, lang AS workspace_id, source AS source_id, embedding
-  FROM embeddings JOIN documents ON doc_id = vec_id"""
+  SELECT vec_id::VARCHAR AS chunk_id, coalesce(lang, 'stray') AS workspace_id, coalesce(source, 'stray') AS source_id, embedding
+  FROM embeddings LEFT JOIN documents ON doc_id = vec_id"""
 
 _PAGES_AS_DOCUMENTS = """
   SELECT source AS source_id, lang AS workspace_id, 'doc://' || doc_id AS page_url, source AS page_title,
@@ -181,11 +181,11 @@ _LINKS = f"""
 
 _QUESTIONS = f"""
   known AS (
-    SELECT concat_ws('-', item_id, position) AS question_id, lang AS workspace_id,
+    SELECT concat_ws('-', item_id, position) AS question_id, coalesce(lang, 'stray') AS workspace_id,
       words[position + 1] || ' ' || words[position + 2] AS text, embedding
     FROM (SELECT item_id, words, unnest(range(len(words) - 1)) AS position
           FROM (SELECT item_id, {_tokens("text")} AS words FROM benchmark))
-    JOIN embeddings ON vec_id = item_id JOIN documents ON doc_id = item_id),
+    JOIN embeddings ON vec_id = item_id LEFT JOIN documents ON doc_id = item_id),
   questions AS (
     SELECT * FROM known UNION ALL
     SELECT 'none', 'xx', text, embedding FROM known WHERE question_id = '0-0')"""
@@ -270,6 +270,57 @@ _PAGES_BY_HOST = f"""
   FROM pages"""
 
 
+_DIGITS = "md5(array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000::DOUBLE + 0.5::DOUBLE)::BIGINT), ','))"
+
+_MERGED_VECTORS = f"""
+  SELECT chunk_id, workspace_id, source_id, CASE WHEN chunk_id IN (SELECT doc_id::VARCHAR FROM labels)
+    THEN list_reverse(embedding) ELSE embedding END AS embedding FROM ({_VECTORS})
+  UNION ALL
+  SELECT 'copy-' || chunk_id, 'copies', 'copy', embedding FROM ({_VECTORS})"""
+
+
+def _embedding(name: str, rows: str, corpus: str, width: int) -> str:
+    """CTE ``name`` (id, embedding) of ``rows`` (id, text) with the weights of the texts of ``corpus``."""
+    bucket = f"(('0x' || substr(md5(term), 1, 8))::BIGINT % {width})"
+    count = "SELECT id, {b} AS bucket, count(*) AS n FROM (SELECT id, unnest({t}) AS term FROM ({r})) GROUP BY 1, 2"
+    return f"""
+  {name}_corpus AS MATERIALIZED ({count.format(b=bucket, t=_tokens("text"), r=corpus)}),
+  {name}_df AS (SELECT bucket, ln(((SELECT count(*) FROM ({corpus})) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM {name}_corpus GROUP BY 1),
+  {name}_none AS (SELECT ln((SELECT count(*) FROM ({corpus})) + 1::DOUBLE) AS idf),
+  {name}_weights AS (
+    SELECT id, bucket, n * coalesce(idf, (SELECT idf FROM {name}_none)) AS weight
+    FROM ({count.format(b=bucket, t=_tokens("text"), r=rows)}) LEFT JOIN {name}_df USING (bucket)),
+  {name}_norms AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM {name}_weights GROUP BY 1),
+  {name} AS (
+    SELECT r.id, list(coalesce(weight / nullif(norm, 0), 0)::FLOAT ORDER BY k) AS embedding
+    FROM ({rows}) r CROSS JOIN (SELECT unnest(range({width})) AS k) LEFT JOIN {name}_weights w ON w.id = r.id AND bucket = k
+    LEFT JOIN {name}_norms o ON o.id = r.id GROUP BY r.id)"""
+
+
+def _answers() -> str:
+    """Titles asked over the indexed pages, with the searches' own steps over other tables."""
+    room = f"regexp_extract({_domain('url')}, '([^.]+)$', 1)"
+    titles = f"SELECT page_id::VARCHAR AS id, workspace_id, title AS text FROM ({_extracted(f'SELECT page_id, {room} AS workspace_id, url, html FROM pages')})"
+    corpus = "SELECT id, child_text AS text FROM page_chunks"
+    keyword = _CTES_KEYWORD.replace(_CHUNKS, "SELECT * FROM page_chunks")
+    vectors = "SELECT e.id AS chunk_id, workspace_id, embedding FROM chunk_vectors e JOIN page_chunks c ON c.id = e.id"
+    return f"""
+      WITH page_chunks AS MATERIALIZED ({_hierarchy(_file_pages())}),
+      titles AS MATERIALIZED ({titles}),
+      {_embedding("chunk_vectors", corpus, corpus, 64)},
+      {_embedding("title_vectors", "SELECT id, text FROM titles", corpus, 64)},
+      questions AS (SELECT id AS question_id, workspace_id, text, embedding FROM titles JOIN title_vectors USING (id)),
+      {keyword}, {_CTES_VECTOR.replace(_VECTORS, vectors)}, {_CTES_FUSED},
+      contexts AS (
+        SELECT question_id, parent_id, min(rank) AS rank, max(score) AS score, count(*) AS n_children, any_value(md5(parent_text)) AS parent_text
+        FROM fused JOIN page_chunks USING (id) GROUP BY 1, 2),
+      verdicts AS (
+        SELECT question_id, count(f.id) AS n_hits, max(f.score) AS top_score, coalesce(max(f.score) >= 0.02, false) AS confident,
+          CASE WHEN max(f.score) IS NULL THEN 'none' WHEN max(f.score) < 0.02 THEN 'low' END AS reason
+        FROM questions LEFT JOIN fused f USING (question_id) GROUP BY 1)
+      SELECT * FROM verdicts LEFT JOIN contexts USING (question_id)"""
+
+
 def _reachable(levels: int) -> str:
     """Level by level, each expanding only the sources that have fewer than 100 pages so far."""
     site = "'https://shop.example.com/'"
@@ -371,17 +422,31 @@ def all_oracles() -> dict[str, str]:
           FROM (SELECT *, id IN (SELECT doc_id::VARCHAR FROM labels) AS labelled FROM ({_CHUNKS}))
           UNION ALL
           SELECT 'turn-' || id, 'chat-1', 'chat://' || id || '/1', role || ' 2', md5('v2 ' || text) FROM turns""",
-        "merge_vectors": f"""
-          WITH target AS ({_VECTORS}),
-          merged AS (
-            SELECT chunk_id, workspace_id, source_id,
-              CASE WHEN chunk_id IN (SELECT doc_id::VARCHAR FROM labels)
-                THEN list_reverse(embedding) ELSE embedding END AS embedding FROM target
-            UNION ALL
-            SELECT vec_id::VARCHAR, 'stray', 'stray', embedding FROM embeddings
-            WHERE vec_id::VARCHAR NOT IN (SELECT chunk_id FROM target))
-          SELECT chunk_id, workspace_id, source_id, len(embedding) AS width,
-            embedding[1]::DOUBLE AS first_value, embedding[-1]::DOUBLE AS last_value FROM merged""",
+        "merge_vectors": f"SELECT * REPLACE ({_DIGITS} AS embedding) FROM ({_MERGED_VECTORS})",
+        "store_vectors": f"SELECT * REPLACE ({_DIGITS} AS embedding) FROM ({_MERGED_VECTORS})",
+        "store_chunks": f"""
+          WITH turns AS (SELECT concat_ws('-', conv_id, turn) AS id, upper(role) AS role, text FROM conversations)
+          SELECT id, workspace_id, source_id, page_url, CASE WHEN labelled THEN page_title || ' v2' ELSE page_title END AS page_title,
+            CASE WHEN labelled THEN 'part 1' ELSE section_heading END AS section_heading,
+            md5(CASE WHEN labelled THEN 'v2 ' || child_text ELSE child_text END) AS child_text,
+            md5(CASE WHEN labelled THEN upper(page_title || ' v2') ELSE substr(child_text, 1, 40) END) AS parent_text
+          FROM (SELECT *, id IN (SELECT doc_id::VARCHAR FROM labels) AS labelled FROM ({_CHUNKS}))
+          UNION ALL
+          SELECT 'turn-' || id, 'chat-' || substr(id, 1, 1), 'chat-1', 'chat://' || id || '/1', role || ' 2', 'part 2',
+            md5('v2 ' || text), md5(role || ' 2') FROM turns""",
+        "drop_workspaces": f"""
+          SELECT id, workspace_id, source_id FROM ({_CHUNKS}) WHERE workspace_id NOT IN (
+            SELECT lang FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING avg(toxic) > 0.125)""",
+        "delete_sources": f"""
+          SELECT * FROM ({_SOURCES}) WHERE id NOT IN (
+            SELECT r.id FROM ({_REQUESTS}) r JOIN ({_WORKSPACES}) w ON r.workspace_id = w.id AND r.user_id = w.user_id)""",
+        "embed_texts": f"""
+          WITH {_embedding("vectors", f"SELECT id, child_text AS text FROM ({_CHUNKS})", f"SELECT id, child_text AS text FROM ({_CHUNKS})", 768)}
+          SELECT id, len(embedding)::BIGINT AS width, {_DIGITS} AS embedding FROM vectors""",
+        "answer_pages": _answers(),
+        "split_pages": f"""
+          SELECT page_id, url, CASE WHEN NOT failed THEN md5(content) END AS content, CASE WHEN failed THEN 'failed' ELSE 'good' END AS output
+          FROM ({_extracted(_PAGES_BY_HOST.replace("AS source_id, url", "AS source_id, page_id, url"))})""",
         "delete_by_source": f"""
           SELECT id, workspace_id, source_id FROM ({_CHUNKS}) c WHERE NOT EXISTS (
             SELECT 1 FROM documents d JOIN labels l ON d.doc_id = l.doc_id AND l.toxic = 1

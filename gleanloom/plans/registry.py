@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanloom.functions import ids, text, urls
@@ -12,9 +12,9 @@ from gleanloom.functions.splitter import CHILD_LEVEL
 from gleanloom.operators import chunking, cleaning, crawl, embedding, fusion, keyword, reports, tables, vector
 from gleanloom.plans import ingest, retrieval
 from gleanloom.scale import cut_lineage, scratch_path
-from gleanloom.sources import samples
+from gleanloom.sources import samples, stored
 from gleanloom.sources.model import PAGES, SOURCE_STATUS
-from gleanloom.sources.tables import read_table
+from gleanloom.sources.tables import read_by_workspace, read_table, write_by_workspace
 from gleanloom.streaming import ingest as stream_tables
 from gleanloom.streaming import status as stream_status
 from gleanloom.streaming.sinks import latest_by, read_epochs, write_epochs
@@ -149,34 +149,72 @@ def merge_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return merged.withColumn("child_text", F.md5("child_text"))
 
 
-@_query
-def merge_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled vectors replaced twice, every vector without a document added."""
+def _vector_updates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors, and updates: labelled ones replaced twice, every vector once more under another id."""
     target = samples.search_vectors(spark, folder)
-    labels = read_table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    labels = read_table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("chunk_id")).distinct()
     changed = target.join(labels, "chunk_id")
     last = changed.withColumns({"embedding": F.reverse("embedding"), "version": F.lit(2)})
     first = changed.withColumns({"embedding": F.slice("embedding", 1, 8), "version": F.lit(1)})
-    stray = (
-        read_table(spark, folder, "embeddings")
-        .select(
-            F.col("vec_id").cast("string").alias("chunk_id"),
-            F.lit("stray").alias("workspace_id"),
-            F.lit("stray").alias("source_id"),
-            "embedding",
-            F.lit(1).alias("version"),
-        )
-        .join(target.select("chunk_id"), "chunk_id", "left_anti")
-    )
-    merged = tables.merge_vectors(target, last.unionByName(first).unionByName(stray))
-    return merged.select(
-        "chunk_id",
-        "workspace_id",
-        "source_id",
-        F.size("embedding").cast("long").alias("width"),
-        F.element_at("embedding", 1).cast("double").alias("first_value"),
-        F.element_at("embedding", -1).cast("double").alias("last_value"),
-    )
+    copy = target.select(F.concat(F.lit("copy-"), "chunk_id").alias("chunk_id"), F.lit("copies").alias("workspace_id"),
+                         F.lit("copy").alias("source_id"), "embedding", F.lit(1).alias("version"))
+    return target, last.unionByName(first).unionByName(copy)
+
+
+@_query
+def merge_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.merge_vectors(*_vector_updates(spark, folder)).withColumn("embedding", _digits())
+
+
+def _digits(vector: str = "embedding") -> Column:
+    """MD5 of a vector's values to six decimals."""
+    return F.md5(F.array_join(F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(1e6) + F.lit(0.5)).cast("string")), ","))
+
+
+@_query
+def store_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents stored by language, then the updates of ``merge_chunks`` in two runs; changed chunks do not move to the workspace they name."""
+    path = scratch_path(spark, "stored-chunks")
+    first = samples.search_chunks(spark, folder).select(
+        "id", "workspace_id", "source_id", "page_url", "page_title", "section_heading", "child_text", F.substr("child_text", F.lit(1), F.lit(40)).alias("parent_text"))
+    stored.store_chunks(spark, path, first.withColumn("version", F.lit(0)))
+    room = F.when(F.col("id").startswith("turn-"), F.concat(F.lit("chat-"), F.substr("id", F.lit(6), F.lit(1)))).otherwise("elsewhere")
+    updates = _chunk_updates(spark, folder).select(
+        "id", room.alias("workspace_id"), "source_id", "page_url", "page_title", F.concat(F.lit("part "), "version").alias("section_heading"),
+        "child_text", F.upper("page_title").alias("parent_text"), "version")
+    for version in (1, 2):
+        stored.store_chunks(spark, path, updates.where(F.col("version") == version))
+    return read_by_workspace(spark, path, first.schema.simpleString()[7:-1].replace(":", " ")).withColumns(
+        {"child_text": F.md5("child_text"), "parent_text": F.md5("parent_text")})
+
+
+@_query
+def store_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors stored by language, then the updates of ``merge_vectors``."""
+    path = scratch_path(spark, "stored-vectors")
+    first, updates = _vector_updates(spark, folder)
+    stored.store_vectors(spark, path, first.withColumn("version", F.lit(0)))
+    for version in (1, 2):
+        stored.store_vectors(spark, path, updates.where(F.col("version") == version))
+    vectors = read_by_workspace(spark, path, "chunk_id string, workspace_id string, source_id string, embedding array<float>")
+    return vectors.withColumn("embedding", _digits())
+
+
+@_query
+def drop_workspaces(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored chunks after the languages of many toxic documents have been dropped."""
+    path = scratch_path(spark, "dropped-chunks")
+    chunks = samples.search_chunks(spark, folder).select("id", "workspace_id", "source_id")
+    write_by_workspace(chunks, path)
+    stored.drop_workspaces(spark, path, _toxic_workspaces(spark, folder))
+    return read_by_workspace(spark, path, "id string, workspace_id string, source_id string")
+
+
+@_query
+def delete_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources left after their owners' requests; strangers' requests change nothing."""
+    requests = _requests(spark, folder).select(F.col("id").alias("source_id"), "user_id")
+    return tables.delete_sources(requests, samples.sources(spark, folder), samples.workspaces(spark, folder))
 
 
 def _toxic_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,6 +224,13 @@ def _toxic_sources(spark: SparkSession, folder: str) -> DataFrame:
     return samples.search_chunks(spark, folder).join(toxic, "id", "left_semi").select("workspace_id", "source_id")
 
 
+def _toxic_workspaces(spark: SparkSession, folder: str) -> DataFrame:
+    labels = read_table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"), "toxic")
+    chunks = samples.search_chunks(spark, folder).select("id", "workspace_id")
+    toxic = chunks.join(labels, "id").groupBy("workspace_id").agg(F.avg("toxic").alias("share"))
+    return toxic.where(F.col("share") > 0.125)
+
+
 @_query
 def delete_by_source(spark: SparkSession, folder: str) -> DataFrame:
     chunks = samples.search_chunks(spark, folder).select("id", "workspace_id", "source_id")
@@ -195,9 +240,7 @@ def delete_by_source(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def delete_by_workspace(spark: SparkSession, folder: str) -> DataFrame:
     chunks = samples.search_chunks(spark, folder).select("id", "workspace_id", "source_id")
-    labels = read_table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"), "toxic")
-    toxic = chunks.join(labels, "id").groupBy("workspace_id").agg(F.avg("toxic").alias("share"))
-    return tables.delete_by_workspace(chunks, toxic.where(F.col("share") > 0.125))
+    return tables.delete_by_workspace(chunks, _toxic_workspaces(spark, folder))
 
 
 @_query
@@ -363,6 +406,17 @@ def split_failures(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.source_outcome(cleaning.extract_content(captured))
 
 
+@_query
+def split_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Both outputs of the split: good pages with their content, failed ones with their URL alone."""
+    url = F.col("url")
+    html = F.when(url.startswith("http:"), F.regexp_replace("html", "article", "section")).otherwise(F.col("html"))
+    read = cleaning.extract_content(samples.pages(spark, folder).select("page_id", "url", html.alias("html")))
+    good, failed = cleaning.split_failures(read)
+    return good.select("page_id", "url", F.md5("content").alias("content"), F.lit("good").alias("output")).unionByName(
+        failed.select("page_id", "url", F.lit(None).cast("string").alias("content"), F.lit("failed").alias("output")))
+
+
 # --- chunking --------------------------------------------------------------------------------------
 
 
@@ -434,9 +488,8 @@ def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
 def embed_texts(spark: SparkSession, folder: str) -> DataFrame:
     chunks = samples.search_chunks(spark, folder).select("id", "child_text")
     model = embedding.fit_embedder(chunks, "child_text")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     return embedding.embed_texts(chunks, "child_text", model).select(
-        "id", F.size("embedding").alias("width"), F.round(norm, 3).alias("norm")
+        "id", F.size("embedding").cast("long").alias("width"), _digits().alias("embedding")
     )
 
 
@@ -563,6 +616,23 @@ def parent_context(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.parent_context(cut_lineage(_fused(spark, folder)), chunks, parents)
 
 
+@_query
+def answer_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """From html to answers: all pages are indexed and embedded, then every page's title is asked in its workspace.
+
+    A row per question and parent context, with the question's verdict.
+    """
+    pages = samples.pages(spark, folder)
+    done = ingest.ingest(pages, samples.page_sources(spark, folder), splitter="window")
+    chunks, parents = cut_lineage(done.chunks), cut_lineage(done.parents)
+    model = embedding.fit_embedder(chunks, "child_text", width=64)
+    vectors = cut_lineage(ingest.embed_chunks(chunks, model))
+    room = F.regexp_extract(urls.registrable_domain(urls.host(F.col("url"))), r"([^.]+)$", 1)
+    questions = cleaning.extract_content(pages).select(F.col("page_id").cast("string").alias("question_id"), room.alias("workspace_id"), F.col("title").alias("text"))
+    _, contexts, verdicts = retrieval.ask(chunks, parents, vectors, questions, model, threshold=0.02, analyzer="simple")
+    return verdicts.join(contexts.withColumn("parent_text", F.md5("parent_text")), "question_id", "left")
+
+
 # --- reports ---------------------------------------------------------------------------------------
 
 

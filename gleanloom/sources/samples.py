@@ -132,15 +132,15 @@ def search_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """The vectors that belong to a document, in that document's workspace."""
+    """All vectors: those of a document in that document's workspace, the others in one of their own."""
     documents = read_table(spark, folder, "documents").select("doc_id", "lang", "source")
     return (
         read_table(spark, folder, "embeddings", spread=True)
-        .join(documents, F.col("doc_id") == F.col("vec_id"))
+        .join(documents, F.col("doc_id") == F.col("vec_id"), "left")
         .select(
             _id("vec_id").alias("chunk_id"),
-            F.col("lang").alias("workspace_id"),
-            F.col("source").alias("source_id"),
+            F.coalesce("lang", F.lit("stray")).alias("workspace_id"),
+            F.coalesce("source", F.lit("stray")).alias("source_id"),
             "embedding",
         )
     )

@@ -25,12 +25,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_by_workspace(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write partitioned by workspace.
+    """Write partitioned by workspace; overwriting replaces the partitions that the rows belong to, and no others.
 
     The rebalance hint gathers a workspace's rows into few files and lets adaptive execution split a hot
     workspace by size over as many tasks as it needs.
     """
-    df.hint("rebalance", "workspace_id").write.mode(mode).partitionBy("workspace_id").parquet(path)
+    rows = df.hint("rebalance", "workspace_id").write.mode(mode)
+    rows.option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").parquet(path)
 
 
 def read_by_workspace(spark: SparkSession, path: str, schema: str) -> DataFrame:
