@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanloom.functions import urls
 from gleanloom.functions.html import without_comments, without_element
-from gleanloom.scale import broadcast_if_small, cut_lineage, explode_once
+from gleanloom.operators.cleaning import audit_pages, extract_content
+from gleanloom.scale import broadcast_if_small, cut_lineage, explode_once, fits_broadcast, top_ranked
 
 # Fixed value: most pages visited per source, a limit that callers name.
 MAX_PAGES = 100
@@ -82,66 +85,104 @@ def _with_domain(df: DataFrame, url: str, suffixes: DataFrame | None) -> DataFra
 def scope_pages(pages: DataFrame, sources: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Pages of each source: same registrable domain, path under the root's path (plain prefix).
 
-    An equi-join on the domain with the prefix as residual. A domain holding a third of all pages is
-    no hot group when the sources are broadcast, and is split by adaptive execution when they are not.
+    A hash join on (domain, prefix): a page's path is cut at the lengths that the root paths of its domain have, so that it
+    meets the roots that hold it and no others, however many there are. When the roots are too many to broadcast, only
+    distinct (domain, path) pairs are cut and joined, and the pages fetch their sources by that pair.
     """
     roots = _with_domain(sources, "url", suffixes).select(
         *[c for c in sources.columns if c != "url"], "domain", urls.path(F.col("url")).alias("root_path")
-    )
+    ).where("domain IS NOT NULL AND root_path IS NOT NULL")
     placed = _with_domain(pages, "url", suffixes).withColumn("path", urls.path(F.col("url")))
-    inside = F.startswith("path", "root_path")
-    return placed.join(broadcast_if_small(roots), "domain").where(inside).drop("domain", "path")
+    lengths = roots.groupBy("domain").agg(F.collect_set(F.length("root_path")).alias("_lengths"))
+
+    def matched(rows: DataFrame, held: DataFrame) -> DataFrame:
+        fitting = F.filter("_lengths", lambda n: n <= F.length("path"))
+        cut = rows.join(broadcast_if_small(lengths, bound=roots), "domain").withColumn("_length", F.explode(fitting))
+        return cut.withColumn("root_path", F.substr("path", F.lit(1), F.col("_length"))).drop("_lengths", "_length").join(held, ["domain", "root_path"])
+
+    columns = [*pages.columns, *[c for c in sources.columns if c != "url"], "root_path"]
+    if fits_broadcast(roots):
+        return matched(placed, F.broadcast(roots)).select(*columns)
+    pairs = matched(placed.select("domain", "path").distinct(), roots)
+    return placed.join(pairs, ["domain", "path"]).select(*columns)
 
 
 def reachable_pages(
-    roots: DataFrame, links: DataFrame, limit: int | None, captured: DataFrame | None = None
+    roots: DataFrame, links: DataFrame, limit: int | None, captured: DataFrame | None = None, expanded: DataFrame | None = None
 ) -> DataFrame:
     """Breadth-first walk per source: ``(source_id, url, depth)``, at most ``limit`` pages each, all of them for None.
 
-    ``roots(source_id, url)``; ``links(src, dst)`` holds admitted links, or ``links(source_id, src, dst)``
-    when admission depends on the source. ``captured(url)`` limits the walk to pages that were fetched.
-    Pages are taken by (depth, url); a source that has reached the limit leaves the frontier, so its
-    further links are never expanded. Each level is checkpointed; the loop ends with the frontier.
+    ``roots(source_id, url)``; ``links(src, dst)`` holds admitted links. When admission depends on the source, links have a
+    column ``source_id``, or a column ``scope`` that the roots have too. ``captured(url)`` limits the walk to pages that
+    were fetched; of pages outside ``expanded(url)`` no links are followed, though they are visited.
+
+    Pages are taken by (depth, url); a source that has reached the limit leaves the frontier. URLs are numbered in their order, so
+    that the walk handles numbers. Of each page only the ``limit`` smallest targets are kept: a target among the pages that are taken
+    next has fewer than ``limit`` smaller ones on its page, seen or not. Each level is checkpointed; the loop ends with the frontier.
     """
-    keys = ["source_id"] if "source_id" in links.columns else []
+    keys = [c for c in ("source_id", "scope") if c in links.columns]
     edges = links.select(*keys, "src", "dst").where(F.col("src") != F.col("dst"))
     if captured is not None:
         known = captured.select("url").distinct()
         roots = roots.join(known, "url", "left_semi")
         edges = edges.join(known.withColumnRenamed("url", "dst"), "dst", "left_semi")
+    if expanded is not None:
+        edges = edges.join(expanded.select(F.col("url").alias("src")).distinct(), "src", "left_semi")
+    edges = cut_lineage(edges.distinct())
+    marks = [c for c in roots.columns if c in ("source_id", "scope") and (c == "source_id" or c in keys)]
+    starts = cut_lineage(roots.select(*marks, "url").distinct())
+    every = edges.select(F.col("src").alias("url")).union(edges.select("dst")).union(starts.select("url")).distinct()
+    ordered = every.repartitionByRange("url").sortWithinPartitions("url")
+    numbers = cut_lineage(ordered.select("url", F.monotonically_increasing_id().alias("n")))
+    small = broadcast_if_small(numbers)
+    edges = edges.join(small.select(F.col("url").alias("src"), F.col("n").alias("s")), "src").join(
+        small.select(F.col("url").alias("dst"), F.col("n").alias("d")), "dst").select(*keys, "s", "d")
+    if limit is not None:
+        edges = top_ranked(edges, [*keys, "s"], [F.col("d")], limit).drop("rank")
     # hashing by link, not by page, spreads a page that holds a third of all links
-    spread = [*keys, "src", "dst"]
-    edges = cut_lineage(edges.distinct().repartition(*spread))
-    by_url = Window.partitionBy("source_id").orderBy("url")
+    edges = cut_lineage(edges.repartition(*keys, "s", "d"))
+    by_number = Window.partitionBy("source_id").orderBy("n")
 
-    def kept(level: DataFrame) -> DataFrame:
-        return cut_lineage(level.repartition("source_id", "url"))
+    def counted(level: DataFrame, taken: Column) -> DataFrame:
+        """The level's rows with the number of pages that their source has by now."""
+        level = cut_lineage(level.withColumn("_taken", taken))
+        own = level.groupBy("source_id").agg(F.count(F.lit(1)).alias("_more"))
+        return level.join(own, "source_id").withColumn("taken", F.col("_taken") + F.col("_more")).drop("_taken", "_more")
 
-    frontier = kept(roots.select("source_id", "url", F.lit(0).alias("depth")).distinct())
-    levels, seen = [frontier], frontier
-    depth = 0
+    first = starts.join(small, "url").select(*marks, "n").distinct()
+    frontier, levels, depth = counted(first, F.lit(0).cast("long")), [], 0
     while True:
-        depth += 1
-        counts = seen.groupBy("source_id").agg(F.count(F.lit(1)).alias("taken"))
-        counts = counts if limit is None else counts.where(F.col("taken") < limit)
-        growing = frontier.join(counts, "source_id").withColumnRenamed("url", "src")
-        fresh = (
-            edges.join(broadcast_if_small(growing, bound=frontier), [*keys, "src"])
-            .select("source_id", F.col("dst").alias("url"), "taken")
-            .distinct()
-            .join(seen, ["source_id", "url"], "left_anti")
-        )
+        levels.append(frontier.select("source_id", "n", F.lit(depth).alias("depth")))
+        seen = functools.reduce(DataFrame.unionByName, levels)
+        growing = frontier if limit is None else frontier.where(F.col("taken") < limit)
+        fresh = edges.join(broadcast_if_small(growing.withColumnRenamed("n", "s")), [*keys, "s"])
+        fresh = fresh.select(*marks, F.col("d").alias("n"), "taken").distinct().join(seen.select("source_id", "n"), ["source_id", "n"], "left_anti")
         if limit is not None:
             # the constant bound lets each task drop the rest before the shuffle
             bound = (F.col("place") <= limit) & (F.col("place") <= F.lit(limit) - F.col("taken"))
-            fresh = fresh.withColumn("place", F.row_number().over(by_url)).where(bound)
-        frontier = kept(fresh.select("source_id", "url", F.lit(depth).alias("depth")))
+            fresh = fresh.withColumn("place", F.row_number().over(by_number)).where(bound).drop("place")
+        frontier, depth = counted(fresh.withColumnRenamed("taken", "_before"), F.col("_before")).drop("_before"), depth + 1
         if frontier.isEmpty():
-            return seen
-        levels.append(frontier)
-        seen = levels[0]
-        for level in levels[1:]:
-            seen = seen.unionByName(level)
+            return seen.join(numbers, "n").select("source_id", "url", "depth")
+
+
+def crawl_site(pages: DataFrame, sources: DataFrame, limit: int | None = MAX_PAGES) -> DataFrame:
+    """``(source_id, url, depth, drop_reason)``: the pages of ``pages(page_id, url, html)`` that a crawl from each root visits.
+
+    Links are resolved, filtered and kept inside the root's domain and path. A page that the gate rejects is visited, with its
+    ``drop_reason``, but its links are not followed. Sources of one domain and root path share their links.
+    """
+    captured = scan_pages(pages)
+    judged = cut_lineage(audit_pages(extract_content(captured)).select("url", "drop_reason"))
+    scope = F.concat_ws("\n", urls.registrable_domain(urls.host(F.col("url"))), urls.path(F.col("url")))
+    roots = sources.select("source_id", "url").withColumn("scope", scope)
+    links = extract_links(captured).select("src", F.col("dst").alias("url")).distinct()
+    links = links.where(urls.is_followed(F.col("url"), F.lit(""))).join(judged.select("url"), "url", "left_semi")
+    scopes = roots.groupBy("scope").agg(F.min("url").alias("url"))
+    links = scope_pages(links, scopes).select("scope", "src", F.col("url").alias("dst"))
+    good = judged.where("drop_reason IS NULL")
+    walked = reachable_pages(roots, links, limit, captured=judged.select("url"), expanded=good.select("url"))
+    return walked.join(judged, "url").select("source_id", "url", "depth", "drop_reason")
 
 
 def cut_sources(walked: DataFrame, links: DataFrame, limit: int) -> DataFrame:

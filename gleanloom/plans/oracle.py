@@ -321,17 +321,33 @@ def _answers() -> str:
       SELECT * FROM verdicts LEFT JOIN contexts USING (question_id)"""
 
 
-def _reachable(levels: int) -> str:
-    """Level by level, each expanding only the sources that have fewer than 100 pages so far."""
-    site = "'https://shop.example.com/'"
+_SITE = "'https://shop.example.com/'"
+
+_SHOP_LINKS = f"""
+  SELECT {_SITE} || 'customers/' || o_custkey AS src, {_SITE} || 'orders/' || o_orderkey AS dst FROM orders
+  UNION ALL SELECT {_SITE} || 'orders/' || l_orderkey, {_SITE} || 'parts/' || l_partkey FROM lineitem
+  UNION ALL SELECT {_SITE} || 'parts/' || l_partkey, {_SITE} || 'orders/' || l_orderkey FROM lineitem"""
+
+_SHOP_ROOTS = f"SELECT c_custkey::VARCHAR AS source_id, {_SITE} || 'customers/' || c_custkey AS url FROM customer"
+
+# Pages of the nations' site that say too little.
+_THIN = f"""
+  SELECT {_SITE} || 'orders/' || o_orderkey AS url FROM orders WHERE o_orderstatus = 'P'
+  UNION ALL SELECT {_SITE} || 'parts/' || p_partkey FROM part WHERE p_size < 8
+  UNION ALL SELECT {_SITE} || 'customers/' || c_custkey FROM customer WHERE c_acctbal < 0"""
+
+_NATION_LINKS = f"""
+  SELECT * FROM ({_SHOP_LINKS}
+    UNION ALL SELECT {_SITE} || '?nation=' || c_nationkey, {_SITE} || 'customers/' || c_custkey FROM customer)"""
+
+_NATION_ROOTS = f"SELECT DISTINCT c_nationkey::VARCHAR AS source_id, {_SITE} || '?nation=' || c_nationkey AS url FROM customer"
+
+
+def _reachable(levels: int, links: str = _SHOP_LINKS, roots: str = _SHOP_ROOTS, limit: int = 100) -> str:
+    """Level by level, each expanding only the sources that have fewer than ``limit`` pages so far."""
     sql = f"""
-    WITH links AS (
-      SELECT DISTINCT * FROM (
-        SELECT {site} || 'customers/' || o_custkey AS src, {site} || 'orders/' || o_orderkey AS dst FROM orders
-        UNION ALL SELECT {site} || 'orders/' || l_orderkey, {site} || 'parts/' || l_partkey FROM lineitem
-        UNION ALL SELECT {site} || 'parts/' || l_partkey, {site} || 'orders/' || l_orderkey FROM lineitem)),
-    s0 AS MATERIALIZED (
-      SELECT c_custkey::VARCHAR AS source_id, {site} || 'customers/' || c_custkey AS url, 0 AS depth FROM customer)"""
+    WITH links AS MATERIALIZED (SELECT DISTINCT * FROM ({links})),
+    s0 AS MATERIALIZED (SELECT source_id, url, 0 AS depth FROM ({roots}))"""
     for n in range(1, levels + 1):
         p = n - 1
         sql += f""",
@@ -341,9 +357,9 @@ def _reachable(levels: int) -> str:
         SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY url) AS place FROM (
           SELECT DISTINCT f.source_id, dst AS url, taken
           FROM s{p} f JOIN links ON f.url = src
-          JOIN (SELECT source_id, count(*) AS taken FROM s{p} GROUP BY 1 HAVING count(*) < 100) USING (source_id)
+          JOIN (SELECT source_id, count(*) AS taken FROM s{p} GROUP BY 1 HAVING count(*) < {limit}) USING (source_id)
           WHERE depth = {p} AND (f.source_id, dst) NOT IN (SELECT (source_id, url) FROM s{p})))
-      WHERE place <= 100 - taken)"""
+      WHERE place <= {limit} - taken)"""
     return f"{sql} SELECT source_id, url, depth FROM s{levels}"
 
 
@@ -382,6 +398,10 @@ def all_oracles() -> dict[str, str]:
               '/' || regexp_extract({_path("url")}, '^/([^/]*)', 1) AS root_path FROM pages) USING (domain)
           WHERE starts_with({_path("url")}, root_path)""",
         "reachable_pages": _reachable(8),
+        "crawl_site": f"""
+          SELECT w.*, CASE WHEN url IN ({_THIN}) THEN 'short' END AS drop_reason FROM (
+            {_reachable(12, f"SELECT * FROM ({_NATION_LINKS}) WHERE src NOT IN ({_THIN}) AND dst IN (SELECT src FROM ({_NATION_LINKS}))",
+                        _NATION_ROOTS, 1000)}) w""",
         "reachable_all": """
           WITH orders_of AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o FROM orders)
           SELECT c_custkey::VARCHAR AS source_id, 'https://shop.example.com/customers/' || c_custkey AS url, 0 AS depth FROM customer

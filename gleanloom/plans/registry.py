@@ -87,6 +87,12 @@ def cut_sources(spark: SparkSession, folder: str) -> DataFrame:
     return crawl.cut_sources(walked, links, crawl.MAX_PAGES)
 
 
+@_query
+def crawl_site(spark: SparkSession, folder: str) -> DataFrame:
+    """From html to the walk, with pages that the gate rejects: visited, but not followed."""
+    return crawl.crawl_site(*samples.shop_pages(spark, folder), limit=10 * crawl.MAX_PAGES)
+
+
 # --- intake and table maintenance ------------------------------------------------------------------
 
 

@@ -216,3 +216,26 @@ def link_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         _id("c_custkey").alias("source_id"), page("customers", "c_custkey").alias("url")
     )
     return roots, links
+
+
+def shop_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Html of the site of ``link_graph`` with a start page per nation, which links to its customers; a source starts at each.
+
+    Pending orders, small parts and customers in debt have pages that say too little to pass the gate.
+    """
+    site = "https://shop.example.com"
+    customer = read_table(spark, folder, "customer")
+    start = F.concat(F.lit(f"{site}/?nation="), "c_nationkey")
+    links = link_graph(spark, folder)[1].unionByName(
+        customer.select(start.alias("src"), F.concat(F.lit(f"{site}/customers/"), "c_custkey").alias("dst")))
+    page = lambda kind, key: F.concat(F.lit(f"{site}/{kind}/"), key).alias("url")
+    thin = read_table(spark, folder, "orders").where("o_orderstatus = 'P'").select(page("orders", "o_orderkey"))
+    thin = thin.unionByName(read_table(spark, folder, "part").where("p_size < 8").select(page("parts", "p_partkey")))
+    thin = thin.unionByName(customer.where("c_acctbal < 0").select(page("customers", "c_custkey"))).withColumn("thin", F.lit(True))
+    anchor = F.concat(F.lit('<a href="'), F.replace("dst", F.lit(site), F.lit("")), F.lit('"></a>'))
+    bodies = links.groupBy(F.col("src").alias("url")).agg(F.array_join(F.array_sort(F.collect_set(anchor)), "").alias("anchors"))
+    text = F.concat(F.lit("<p>Page "), "url", F.when(F.col("thin"), "").otherwise("  " + "all that there is to say " * 8), F.lit("</p>"))
+    html = F.concat(F.lit("<html><head><title>Shop</title></head><body><article>"), text, F.lit("<div>"), "anchors", F.lit("</div></article></body></html>"))
+    made = bodies.join(thin, "url", "left").select(F.xxhash64("url").alias("page_id"), "url", html.alias("html"))
+    roots = customer.select(F.col("c_nationkey").cast("string").alias("source_id"), start.alias("url")).distinct()
+    return made, roots

@@ -224,3 +224,71 @@ def test_unknown_outcome_is_a_failed_page(spark):
     pages = spark.createDataFrame([("x" * 200, None), ("x" * 200, False)], "content string, failed boolean")
     assert cleaning.quality_gate(pages).count() == 1
     assert [r.drop_reason for r in cleaning.audit_pages(pages).collect()] == ["failed", None]
+
+
+def test_many_roots_on_one_domain(spark, no_broadcast):
+    """Ten thousand roots: pages meet those that hold them by hash, with no prefix left to test."""
+    sources = spark.range(10_000).select(F.concat(F.lit("s"), "id").alias("source_id"), F.concat(F.lit("https://big.example.com/r"), "id").alias("url"))
+    pages = spark.range(3_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.example.com/r"), F.col("id") * 7, F.lit("/x")).alias("url"))
+    scoped = crawl.scope_pages(pages, sources)
+    plan = scoped._jdf.queryExecution().executedPlan().toString()
+    assert "StartsWith" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    want = sum(1 for k in range(3_000) for n in range(1, len(str(k * 7)) + 1) if str(k * 7)[:n] == str(int(str(k * 7)[:n])) and int(str(k * 7)[:n]) < 10_000)
+    assert scoped.count() == want
+
+
+def test_broadcast_and_shuffled_roots_agree(spark):
+    sources = spark.createDataFrame([("a", "http://h.org/"), ("b", "http://h.org/docs"), ("c", "http://h.org/docs"), ("d", "no url"), ("e", None), ("f", "http://x.h.org/d?q")],
+                                    "source_id string, url string")
+    pages = spark.createDataFrame([(1, "http://h.org/docs2"), (2, "http://h.org"), (3, "http://x.h.org/docs"), (4, "http://o.org/docs"), (5, None), (1, "http://h.org/docs2")],
+                                  "page_id long, url string")
+    few = rows(crawl.scope_pages(pages, sources))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(crawl.scope_pages(pages, sources)) == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert [(r[0], r[2], r[3]) for r in few if r[0] == 1] == [(1, s, p) for s, p in (("a", "/"), ("b", "/docs"), ("c", "/docs"), ("f", "/d")) for _ in (0, 1)]
+    assert {(r[0], r[2]) for r in few} == {(1, "a"), (1, "b"), (1, "c"), (1, "f"), (2, "a"), (3, "a"), (3, "b"), (3, "c"), (3, "f")}
+
+
+def test_hub_under_many_sources(spark):
+    """A page of 100,000 links under 1,000 sources: each source takes the smallest targets, and the walk never meets all links."""
+    hub = spark.range(100_000).select(F.lit("hub").alias("src"), F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("dst"))
+    entry = spark.range(1_000).select(F.concat(F.lit("e"), "id").alias("src"), F.lit("hub").alias("dst"))
+    back = spark.range(50).select(F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("src"), F.lit("p000500").alias("dst"))
+    roots = spark.range(1_000).select(F.col("id").cast("string").alias("source_id"), F.concat(F.lit("e"), "id").alias("url"))
+    walked = crawl.reachable_pages(roots, hub.unionByName(entry).unionByName(back), limit=20)
+    assert walked.count() == 20_000
+    assert {r.url for r in walked.where("depth = 2").select("url").distinct().collect()} == {f"p{k:06d}" for k in range(18)}
+
+
+def test_rejected_pages_are_visited_and_not_expanded(spark):
+    long = "words that say enough " * 10
+    link = lambda *to: "".join(f'<a href="{t}"></a>' for t in to)
+    site = "https://a.example.org"
+    data = [("/d/", long, ("/d/thin", "/d/b", "/d/none", "/other", "/d/x.pdf", "https://b.example.net/d/")), ("/d/thin", "short", ("/d/hidden",)), ("/d/hidden", long, ()),
+            ("/d/b", long, ("/d/", "c", "#top")), ("/d/c", long, ("/d/thin",)), ("/other", long, ())]
+    pages = spark.createDataFrame([(k, site + path, f"<html><body><article><p>{text}</p>{link(*to)}</article></body></html>") for k, (path, text, to) in enumerate(data)],
+                                  "page_id long, url string, html string")
+    sources = spark.createDataFrame([("s", site + "/d/"), ("t", site + "/d/c"), ("u", site + "/missing")], "source_id string, url string")
+    got = {(r.source_id, r.url.removeprefix(site), r.depth, r.drop_reason) for r in crawl.crawl_site(pages, sources).collect()}
+    assert got == {("s", "/d/", 0, None), ("s", "/d/thin", 1, "short"), ("s", "/d/b", 1, None), ("s", "/d/c", 2, None), ("t", "/d/c", 0, None)}
+    assert crawl.crawl_site(pages, sources, limit=2).where("source_id = 's'").count() == 2
+
+
+def test_embedding_equals_plain_python(spark):
+    import hashlib
+    import math
+    import re
+    from collections import Counter
+
+    texts = ["one two\ntwo three", "three", "", None, "Drei drei é 12", "one " * 50]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, child_text string")
+    model = embedding.fit_embedder(df, "child_text", width=16)
+    bags = [Counter(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 16 for t in re.findall(r"[^\W_]+", (text or "").lower())) for text in texts]
+    df_of = Counter(b for bag in bags for b in bag)
+    for r in embedding.embed_texts(df, "child_text", model).collect():
+        weights = [bags[int(r.id)][b] * math.log((len(texts) + 1) / (df_of[b] + 1)) for b in range(16)]
+        norm = math.sqrt(sum(w * w for w in weights)) or 1
+        assert r.embedding == pytest.approx([w / norm for w in weights], abs=1e-6)
