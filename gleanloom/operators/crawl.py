@@ -120,8 +120,8 @@ def reachable_pages(
     that the walk handles numbers. Of each page only the ``limit`` smallest targets are kept: a target among the pages that are taken
     next has fewer than ``limit`` smaller ones on its page, seen or not. Each level is checkpointed; the loop ends with the frontier.
     """
-    keys = [c for c in ("source_id", "scope") if c in links.columns]
-    edges = links.select(*keys, "src", "dst").where(F.col("src") != F.col("dst"))
+    key = next((c for c in ("source_id", "scope") if c in links.columns), None)
+    edges = links.select(*([F.col(key).alias("key")] if key else []), "src", "dst").where(F.col("src") != F.col("dst"))
     if captured is not None:
         known = captured.select("url").distinct()
         roots = roots.join(known, "url", "left_semi")
@@ -129,41 +129,51 @@ def reachable_pages(
     if expanded is not None:
         edges = edges.join(expanded.select(F.col("url").alias("src")).distinct(), "src", "left_semi")
     edges = cut_lineage(edges.distinct())
-    marks = [c for c in roots.columns if c in ("source_id", "scope") and (c == "source_id" or c in keys)]
-    starts = cut_lineage(roots.select(*marks, "url").distinct())
-    every = edges.select(F.col("src").alias("url")).union(edges.select("dst")).union(starts.select("url")).distinct()
-    ordered = every.repartitionByRange("url").sortWithinPartitions("url")
-    numbers = cut_lineage(ordered.select("url", F.monotonically_increasing_id().alias("n")))
+    starts = cut_lineage(roots.select("source_id", *([F.col(key).alias("key")] if key else []), "url").distinct())
+    numbers = _numbered(edges.select(F.col("src").alias("url")).union(edges.select("dst")).union(starts.select("url")), "url", "n")
+    sources = _numbered(starts.select("source_id"), "source_id", "s")
     small = broadcast_if_small(numbers)
-    edges = edges.join(small.select(F.col("url").alias("src"), F.col("n").alias("s")), "src").join(
-        small.select(F.col("url").alias("dst"), F.col("n").alias("d")), "dst").select(*keys, "s", "d")
+    edges = edges.join(small.toDF("src", "from"), "src").join(small.toDF("dst", "n"), "dst").drop("src", "dst")
+    starts = starts.join(small, "url").join(broadcast_if_small(sources), "source_id").drop("url", "source_id")
+    if key:
+        groups = broadcast_if_small(_numbered(starts.select("key"), "key", "g"))
+        edges, starts = edges.join(groups, "key").drop("key"), starts.join(groups, "key").drop("key")
+    near = ["g", "from"] if key else ["from"]
     if limit is not None:
-        edges = top_ranked(edges, [*keys, "s"], [F.col("d")], limit).drop("rank")
+        edges = top_ranked(edges, near, [F.col("n")], limit).drop("rank")
     # hashing by link, not by page, spreads a page that holds a third of all links
-    edges = cut_lineage(edges.repartition(*keys, "s", "d"))
-    by_number = Window.partitionBy("source_id").orderBy("n")
+    edges = cut_lineage(edges.repartition(*near, "n"))
+    own = ["s", *near[:-1]]
 
-    def counted(level: DataFrame, taken: Column) -> DataFrame:
-        """The level's rows with the number of pages that their source has by now."""
-        level = cut_lineage(level.withColumn("_taken", taken))
-        own = level.groupBy("source_id").agg(F.count(F.lit(1)).alias("_more"))
-        return level.join(own, "source_id").withColumn("taken", F.col("_taken") + F.col("_more")).drop("_taken", "_more")
+    def counted(level: DataFrame) -> DataFrame:
+        """The level's rows; ``taken`` becomes the number of pages that their source has by now."""
+        level = cut_lineage(level.select(*own, "n", "taken"))
+        more = level.groupBy("s").agg(F.count(F.lit(1)).alias("_more"))
+        return level.join(more, "s").withColumn("taken", F.col("taken") + F.col("_more")).drop("_more")
 
-    first = starts.join(small, "url").select(*marks, "n").distinct()
-    frontier, levels, depth = counted(first, F.lit(0).cast("long")), [], 0
+    frontier, levels, depth = counted(starts.distinct().withColumn("taken", F.lit(0).cast("long"))), [], 0
     while True:
-        levels.append(frontier.select("source_id", "n", F.lit(depth).alias("depth")))
+        levels.append(frontier.select("s", "n", F.lit(depth).alias("depth")))
         seen = functools.reduce(DataFrame.unionByName, levels)
         growing = frontier if limit is None else frontier.where(F.col("taken") < limit)
-        fresh = edges.join(broadcast_if_small(growing.withColumnRenamed("n", "s")), [*keys, "s"])
-        fresh = fresh.select(*marks, F.col("d").alias("n"), "taken").distinct().join(seen.select("source_id", "n"), ["source_id", "n"], "left_anti")
+        met = edges.join(broadcast_if_small(growing.withColumnRenamed("n", "from")), near).select(*own, "n", "taken")
+        # one aggregate removes repeated targets and those that were seen: pages seen have no number of pages taken
+        old = seen.select("s", *[F.lit(None).cast("long").alias(c) for c in own[1:]], "n", F.lit(None).cast("long").alias("taken"))
+        fresh = met.unionByName(old).groupBy("s", "n").agg(
+            *[F.max(c).alias(c) for c in own[1:]], F.max("taken").alias("taken"), F.max(F.col("taken").isNull()).alias("_seen")).where("NOT _seen")
         if limit is not None:
             # the constant bound lets each task drop the rest before the shuffle
-            bound = (F.col("place") <= limit) & (F.col("place") <= F.lit(limit) - F.col("taken"))
-            fresh = fresh.withColumn("place", F.row_number().over(by_number)).where(bound).drop("place")
-        frontier, depth = counted(fresh.withColumnRenamed("taken", "_before"), F.col("_before")).drop("_before"), depth + 1
+            place = F.row_number().over(Window.partitionBy("s").orderBy("n"))
+            fresh = fresh.withColumn("place", place).where((F.col("place") <= limit) & (F.col("place") <= F.lit(limit) - F.col("taken")))
+        frontier, depth = counted(fresh), depth + 1
         if frontier.isEmpty():
-            return seen.join(numbers, "n").select("source_id", "url", "depth")
+            return seen.join(numbers, "n").join(broadcast_if_small(sources), "s").select("source_id", "url", "depth")
+
+
+def _numbered(rows: DataFrame, name: str, number: str) -> DataFrame:
+    """Distinct values with numbers in their order."""
+    ordered = rows.distinct().repartitionByRange(name).sortWithinPartitions(name)
+    return cut_lineage(ordered.select(name, F.monotonically_increasing_id().alias(number)))
 
 
 def crawl_site(pages: DataFrame, sources: DataFrame, limit: int | None = MAX_PAGES) -> DataFrame:
