@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanloom.llm.common import whole_text
-from gleanloom.scale import broadcast_if_small, cut_lineage, explode_once, fits_broadcast, measured_bytes
+from gleanloom.scale import broadcast_if_small, cut_lineage, explode_once, measured_bytes
 
 #: Places of the tokens that count: 6 of 8, 6 of 9 and 6 of 10.
 MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 4, 5, 7, 8), (0, 2, 3, 6, 8, 9))
@@ -47,14 +47,13 @@ def seeds(hashes: Column, size: Column, mask, number: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.lit(number), *[F.get(hashes, i + F.lit(k)) for k in mask]))
 
 
-def seed_rows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per position and mask of rows with ``_tokens`` and ``_n``: the kept columns, ``_n``, ``_at`` and ``_seed``.
+def seed_rows(df: DataFrame) -> DataFrame:
+    """(_key, _n, _at, _seed): one row per position and mask of rows with ``_key``, ``_tokens`` and ``_n``.
 
-    The seeds are a column of their own before they are exploded: so the explosion runs in generated code, where kept
-    arrays are not copied for each of its rows, and the joins that follow drop the rows first.
+    The seeds are a column of their own before they are exploded, so that the explosion runs in generated code.
     """
     every = F.concat(*[seeds(F.col("_tokens"), F.col("_n"), mask, k) for k, mask in enumerate(MASKS)])
-    return explode_once(df.select(*keep, "_n", every.alias("_seeds")), F.col("_seeds"), "_at", "_seed", [*keep, "_n"])
+    return explode_once(df.select("_key", "_n", every.alias("_seeds")), F.col("_seeds"), "_at", "_seed", ["_key", "_n"])
 
 
 def place(at: Column, size: Column) -> Column:
@@ -93,27 +92,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
           broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(_key, _item, matched, item_tokens): the leaked items of each distinct text, both by the MD5 of their text.
 
-    The seeds of a benchmark of bounded size are broadcast, and no document row is shuffled; those of a larger one meet the documents'
-    seeds in a shuffle join. Hits are reduced to distinct diagonals before the tokens of their texts are fetched by key, so that
-    repeated tokens cost a row per diagonal; few hits are broadcast to the texts, many fetch each distinct text once.
+    Seeds of a benchmark of bounded size are broadcast, those of a larger one meet the documents' seeds in a shuffle join. Only
+    distinct diagonals of hits leave that pass, gathered per text and item (at most one per token of both). While they are of
+    bounded size they are broadcast to a second pass over the texts, which shuffles none; beyond it the texts of hits are
+    fetched by key, each distinct text once.
     """
     items = cut_lineage(tokenized(keyed(benchmark, item_text).distinct()).where(F.col("_n") > MASKS[0][-1]))
-    wanted = cut_lineage(seed_rows(items, ["_key"]).select(
+    wanted = cut_lineage(seed_rows(items).select(
         F.col("_key").alias("_item"), place(F.col("_at"), F.col("_n")).alias("_q"), "_seed").distinct())
     items = items.select(F.col("_key").alias("_item"), F.col("_tokens").alias("_words"))
-    found = seed_rows(tokenized(keyed(docs, text)), ["_key"])
     diagonal = (place(F.col("_at"), F.col("_n")) - F.col("_q")).alias("_diagonal")
     small = measured_bytes(wanted) + measured_bytes(items) <= broadcast_bytes
-    hits = found.join(F.broadcast(wanted) if small else wanted, "_seed").select("_key", "_item", diagonal)
-    hits = cut_lineage(hits.distinct())
-    texts = keyed(docs, text)
-    if fits_broadcast(hits):
-        hits = texts.join(F.broadcast(hits), "_key").withColumn("_tokens", tokens(F.col("_text")))
+    met = seed_rows(tokenized(keyed(docs, text))).join(F.broadcast(wanted) if small else wanted, "_seed")
+    hits = met.select("_key", "_item", diagonal).distinct().groupBy("_key", "_item").agg(F.collect_list("_diagonal").alias("_diagonals"))
+    hits, texts = cut_lineage(hits), keyed(docs, text)
+    if measured_bytes(hits) <= broadcast_bytes:
+        hits = texts.join(F.broadcast(hits), "_key")
     else:
         texts = texts.join(hits.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
-        hits = hits.join(tokenized(texts), "_key")
-    hits = hits.join(F.broadcast(items) if small else items, "_item")
-    score = best_stretch(F.col("_tokens"), F.col("_words"), F.col("_diagonal"))
+        hits = texts.join(hits, "_key")
+    hits = hits.withColumn("_tokens", tokens(F.col("_text"))).join(F.broadcast(items) if small else items, "_item")
+    score = F.array_max(F.transform("_diagonals", lambda d: best_stretch(F.col("_tokens"), F.col("_words"), d)))
     scored = hits.select("_key", "_item", score.alias("_score"), F.size("_words").alias("item_tokens"))
     best = scored.groupBy("_key", "_item").agg(F.max("_score").alias("matched"), F.max("item_tokens").alias("item_tokens"))
     return best.where(F.col("matched") >= F.least(F.lit(FLOOR), F.ceil(F.col("item_tokens") * F.lit(PART))))
