@@ -620,6 +620,30 @@ def all_oracles() -> dict[str, str]:
           FROM ({_extracted(f"SELECT 'src-' || {_domain('url')} AS source_id, url, html FROM pages")}) GROUP BY 1""",
         "stream_vectors": f"""
           SELECT id AS chunk_id, workspace_id, source_id, 64 AS width FROM ({_hierarchy(_file_pages())})""",
+        "stream_stages": """
+          WITH pages AS (
+            SELECT user_id::VARCHAR AS source_id, epoch_us(ts) // 1000 AS tick, event_type IN ('error', 'signup') AS bad,
+              CASE WHEN event_type IN ('click', 'purchase') THEN floor(abs(value))::BIGINT + 1 ELSE 0 END AS n FROM events),
+          marked AS (
+            SELECT *, coalesce(tick > lag(tick) OVER turn + 21600000, true) AS begins FROM pages WINDOW turn AS (PARTITION BY source_id ORDER BY tick, n)),
+          runs AS (SELECT *, sum(begins::INT) OVER (PARTITION BY source_id ORDER BY tick, n) AS number FROM marked),
+          steps AS (
+            SELECT *, min(tick) OVER (PARTITION BY source_id, number) AS run, count(*) OVER turn AS pages, sum(n) OVER turn AS chunks,
+              count(*) FILTER (NOT bad) OVER turn AS goods, count(*) FILTER (n > 0) OVER turn AS filled
+            FROM runs WINDOW turn AS (PARTITION BY source_id, number ORDER BY tick, n ROWS UNBOUNDED PRECEDING)),
+          ends AS (
+            SELECT source_id, number, run, max(tick) + 21600000 AS tick, count(*) AS pages, sum(n) AS chunks, bool_and(bad) AS failed,
+              number < max(number) OVER (PARTITION BY source_id) AS followed
+            FROM steps GROUP BY source_id, number, run),
+          events_of AS (
+            SELECT source_id, run, 0 AS step, 'SCRAPING' AS status, 0 AS pages, 0 AS chunks, NULL AS error, tick FROM steps WHERE begins
+            UNION ALL SELECT source_id, run, 1, 'CHUNKING', pages, chunks, NULL, tick FROM steps WHERE NOT bad AND goods = 1
+            UNION ALL SELECT source_id, run, 2, 'EMBEDDING', pages, chunks, NULL, tick FROM steps WHERE n > 0 AND filled = 1
+            UNION ALL SELECT source_id, run, 3, CASE WHEN failed THEN 'FAILED' ELSE 'DONE' END, pages, chunks,
+              CASE WHEN failed THEN 'all pages failed: ' || pages END, tick
+            FROM ends WHERE followed OR tick < (SELECT max(tick) - 3600000 FROM pages))
+          SELECT source_id, run::BIGINT AS run, step::INTEGER AS step, status, pages::BIGINT AS pages, chunks::BIGINT AS chunks, error, make_timestamp_ms(tick::BIGINT) AS ts
+          FROM events_of""",
         "stream_dedup_requests": f"SELECT DISTINCT source_id FROM ({_STATUS_EVENTS}) WHERE status = 'PENDING'",
         "stream_status_latest": f"""
           SELECT source_id, status, ts FROM ({_STATUS_EVENTS})

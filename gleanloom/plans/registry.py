@@ -16,6 +16,7 @@ from gleanloom.sources import samples, stored
 from gleanloom.sources.model import PAGES, SOURCE_STATUS
 from gleanloom.sources.tables import read_by_workspace, read_table, write_by_workspace
 from gleanloom.streaming import ingest as stream_tables
+from gleanloom.streaming import stages
 from gleanloom.streaming import status as stream_status
 from gleanloom.streaming.sinks import latest_by, read_epochs, write_epochs
 
@@ -677,6 +678,16 @@ def _stream(spark: SparkSession, folder: str, table: str, schema: str, by: str)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _stream_in_order(spark: SparkSession, folder: str, table: str, schema: str, by: str) -> DataFrame:
+    """The same with files written one after the other, as the source takes them by age: no row comes late."""
+    path, rows = scratch_path(spark, f"{table}-files"), read_table(spark, folder, table)
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    part = F.floor((F.col(by) - F.lit(low or 0)) * 4 / F.lit((high or 0) - (low or 0) + 1))
+    for k in range(4):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _run(stream: DataFrame, spark: SparkSession, name: str, schema: str, **options) -> DataFrame:
     path = scratch_path(spark, name)
     write_epochs(stream, path, scratch_path(spark, f"{name}-progress"), **options).awaitTermination()
@@ -722,6 +733,17 @@ def stream_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return current.select("chunk_id", "workspace_id", "source_id", F.size("embedding").alias("width"))
 
 
+@_query
+def stream_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as pages of their user: errors failed, sign-ups are too short, clicks and purchases have chunks. Six quiet hours end a run."""
+    kind = F.col("event_type")
+    pages = _stream_in_order(spark, folder, "events", EVENTS, "event_id").select(
+        F.col("user_id").cast("string").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), (kind == "error").alias("failed"),
+        F.when(kind == "signup", "short").alias("drop_reason"), F.when(kind.isin("click", "purchase"), F.floor(F.abs("value")) + 1).alias("n_chunks"))
+    log = "source_id STRING, run BIGINT, step INT, status STRING, pages BIGINT, chunks BIGINT, error STRING, ts TIMESTAMP"
+    return _run(stages.source_stages(pages, "1 hour", 6 * 3600), spark, "stages", log).drop("epoch")
+
+
 @_query
 def stream_dedup_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Sign-ups are requests; the horizon is longer than the data, so each source is queued once."""

@@ -7,7 +7,7 @@ from gleanloom.operators import chunking, embedding
 from gleanloom.plans.ingest import clean_pages
 from gleanloom.sources.model import PAGES
 from gleanloom.streaming import ingest as stream_tables
-from gleanloom.streaming import status
+from gleanloom.streaming import stages, status
 from gleanloom.streaming.sinks import latest_by, read_epochs, write_epochs
 
 
@@ -79,3 +79,28 @@ def test_stream_tables_equal_batch(spark, tmp_path):
     stream_tables.stream_vectors(f"{tmp_path}/chunks", spark, model, f"{tmp_path}/vectors", f"{tmp_path}/p2").awaitTermination()
     vectors = stream_tables.current_vectors(spark, f"{tmp_path}/vectors")
     assert rows(vectors.select("chunk_id")) == rows(chunks.select("id"))
+
+
+def test_stages_of_each_run(spark, tmp_path):
+    """A failing source, one that comes back after its pause, a late start of chunks, and one that still runs at the end."""
+    at = lambda minutes: f"2024-01-01 {minutes // 60:02d}:{minutes % 60:02d}:00"
+    page = lambda source, minutes, failed=False, reason=None, n=0: (source, at(minutes), failed, reason, n)
+    batches = [[page("bad", 0, True), page("bad", 5, False, "short"), page("good", 1, False, "short"), page("good", 2, n=3)],
+               [page("good", 10, n=4), page("back", 12), page(None, 13, None)],
+               [page("back", 200, n=1), page("good", 201, n=2), page("late", 400)],
+               [page("late", 401, n=5)]]
+    stream = file_stream(spark, tmp_path, batches, "source_id string, ts string, failed boolean, drop_reason string, n_chunks long")
+    events = stages.source_stages(stream.withColumn("ts", F.to_timestamp("ts")), "10 minutes", 3600)
+    log = run(spark, events, tmp_path, stages.EVENTS.replace("at BIGINT", "ts TIMESTAMP"))
+    got = {}
+    for r in log.orderBy("run", "step").collect():
+        got.setdefault(r.source_id, []).append((r.status, r.pages, r.chunks, r.error, r.ts.strftime("%H:%M")))
+    assert got == {
+        "bad": [("SCRAPING", 0, 0, None, "00:00"), ("FAILED", 2, 0, "all pages failed: 2", "01:05")],
+        "good": [("SCRAPING", 0, 0, None, "00:01"), ("CHUNKING", 2, 3, None, "00:02"), ("EMBEDDING", 2, 3, None, "00:02"), ("DONE", 3, 7, None, "01:10"),
+                 ("SCRAPING", 0, 0, None, "03:21"), ("CHUNKING", 1, 2, None, "03:21"), ("EMBEDDING", 1, 2, None, "03:21"), ("DONE", 1, 2, None, "04:21")],
+        "back": [("SCRAPING", 0, 0, None, "00:12"), ("CHUNKING", 1, 0, None, "00:12"), ("DONE", 1, 0, None, "01:12"),
+                 ("SCRAPING", 0, 0, None, "03:20"), ("CHUNKING", 1, 1, None, "03:20"), ("EMBEDDING", 1, 1, None, "03:20"), ("DONE", 1, 1, None, "04:20")],
+        "late": [("SCRAPING", 0, 0, None, "06:40"), ("CHUNKING", 1, 0, None, "06:40"), ("EMBEDDING", 2, 5, None, "06:41")],
+        None: [("SCRAPING", 0, 0, None, "00:13"), ("FAILED", 1, 0, "all pages failed: 1", "01:13")],
+    }
