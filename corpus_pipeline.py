@@ -47,7 +47,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Near-duplicates and the classifier are beyond SQL; tests hold the stages against brute force.
+#: Near-duplicates and the classifier are beyond SQL; the stages' operators are held against brute force in their own tests.
 ORACLE_SQL = None
 
 
