@@ -39,7 +39,8 @@ from gleanloom.llm.segments import chunks_of, runs_of, segments
 PARTS = 64
 FAN = 64
 BLOCK_CHARS = 2 << 20
-CACHE = 300_000
+CACHE = 200_000
+RUN_BYTES = 1 << 18
 MANY_LINKS = 1 << 16
 BLOCKS = ("_block long, ids array<{id}>, figures binary, digests binary, doc_sizes binary, doc_segments binary, doc_times binary, "
           "segment_sizes binary, segment_codes binary, segment_times binary, codes binary, counts binary")
@@ -303,7 +304,7 @@ def measurer(files: tuple[str, str], block_chars: int, names: list[str]):
         schema = pa.schema([(n, pa.binary()) for n in names])
         block = Block(aligned)
         for batch in batches:
-            for ids, texts in runs_of(batch):
+            for ids, texts in runs_of(batch, RUN_BYTES):
                 block.add(ids, texts)
                 if block.chars >= block_chars:
                     yield block.row(first + number, schema)
