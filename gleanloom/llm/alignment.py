@@ -39,8 +39,8 @@ from gleanloom.llm.segments import chunks_of, runs_of, segments
 PARTS = 64
 FAN = 64
 BLOCK_CHARS = 2 << 20
-CACHE = 200_000
-RUN_BYTES = 1 << 18
+CACHE = 300_000
+RUN_BYTES = 1 << 19
 MANY_LINKS = 1 << 16
 BLOCKS = ("_block long, ids array<{id}>, figures binary, digests binary, doc_sizes binary, doc_segments binary, doc_times binary, "
           "segment_sizes binary, segment_codes binary, segment_times binary, codes binary, counts binary")
