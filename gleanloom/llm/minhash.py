@@ -31,6 +31,7 @@ import operator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +48,10 @@ FIRST_BANDS = 3
 MOST_ROUNDS = 4
 VARIATES = 1 << 16
 CHUNK = 1 << 17
+RUN_CHARS = 1 << 20
 BLOCK_CHARS = 4 << 20
 PART_CHARS = 12 << 20
-WORDS = r"[\p{L}\p{M}\p{N}_]+"
+GAPS = r"[^\p{L}\p{M}\p{N}_]+"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,6 +84,28 @@ def shingles(text: str, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(total, return_counts=True)
 
 
+def block_shingles(words: pa.ChunkedArray, cache: WordHashes):
+    """The same for many texts, in their order: words are told apart by Arrow, and shingles made for a run of texts at once."""
+    for run in words.cast(pa.large_string()).chunks:
+        size = pc.utf8_length(run).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // RUN_CHARS, prepend=-1))
+        for i, j in zip(cuts, [*cuts[1:], len(run)]):
+            lists = pc.split_pattern(run[int(i) : int(j)], " ")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            offsets -= offsets[0]
+            coded = lists.flatten().dictionary_encode()
+            known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            hashes = np.fromiter(map(cache.__getitem__, known), np.uint64, len(known))[coded.indices.to_numpy()]
+            total = np.full(max(0, len(hashes) - SHINGLE + 1), SHINGLE, np.uint64)
+            for k in range(SHINGLE):
+                total = mixed(total + hashes[k : len(hashes) - SHINGLE + 1 + k])
+            for n, (start, end) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+                if end - start < SHINGLE:
+                    yield shingles(run[int(i) + n].as_py(), cache)
+                else:
+                    yield np.unique(total[start : end - SHINGLE + 1], return_counts=True)
+
+
 def weights(counts: np.ndarray, frequencies: np.ndarray, texts: int) -> np.ndarray:
     return (1 + np.log(counts)) * idf_table(frequencies, texts).astype(np.float32)
 
@@ -104,18 +128,19 @@ class Sampler:
 
     def __call__(self, hashes: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(texts, samples) for the texts that begin at ``starts``; none of them is empty."""
-        log_w = np.log(weight).astype(np.float32)
-        low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        log_w, low = np.log(weight).astype(np.float32), hashes.astype(np.uint32)
         out = np.empty((len(starts), len(self.odd)), np.int64)
+        halves = np.empty((len(hashes), 2), np.dtype("<u4"))
+        both = halves.view("<i8").reshape(-1)
         for k, odd in enumerate(self.odd):
-            at = ((hashes * odd) >> np.uint64(48)).astype(np.int64)
-            r, beta = self.r[k][at], self.beta[k][at]
+            at = ((hashes * odd) >> np.uint64(48)).view(np.int64)
+            r, beta = self.r[k].take(at), self.beta[k].take(at)
             t = np.floor(log_w / r + beta)
-            log_a = self.log_c[k][at] - r * (t - beta + 1)
+            log_a = self.log_c[k].take(at) - r * (t - beta + 1)
             # positive floats sort like their bits; below them the sample itself, so that one minimum finds both
-            bits = np.maximum(log_a + np.float32(64), np.float32(0)).view(np.int32).astype(np.int64)
-            sample = (low ^ (t.astype(np.int64) * 0x9E3779B1)) & 0xFFFFFFFF
-            out[:, k] = np.minimum.reduceat((bits << 32) | sample, starts) & 0xFFFFFFFF
+            halves[:, 1] = np.maximum(log_a + np.float32(64), np.float32(0)).view(np.uint32)
+            halves[:, 0] = low ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
+            out[:, k] = np.minimum.reduceat(both, starts) & 0xFFFFFFFF
         return out
 
 
@@ -138,7 +163,7 @@ def lists(rows: np.ndarray) -> pa.Array:
 def sender(bits: int):
     def send(block: pa.Table) -> pa.Table:
         cache = WordHashes()
-        hashes, counts = np.unique(np.concatenate([shingles(t, cache)[0] for t in block["_words"].to_pylist()]), return_counts=True)
+        hashes, counts = np.unique(np.concatenate([h for h, _ in block_shingles(block["_words"], cache)]), return_counts=True)
         part = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
         parts, at = np.unique(part, return_index=True)
         ends = [*at[1:], len(hashes)]
@@ -186,8 +211,7 @@ def signer(number: int):
             out.append(pa.RecordBatch.from_arrays(columns, ["_key", "_df", "_weight", "_bands", "_samples"]))
 
         keys, parts, size = [], [], 0
-        for key, text in zip(block["_key"].to_pylist(), block["_words"].to_pylist()):
-            hashes, counts = shingles(text, cache)
+        for key, (hashes, counts) in zip(block["_key"].to_pylist(), block_shingles(block["_words"], cache)):
             at = np.searchsorted(known, hashes)
             keys.append(key), parts.append((hashes, counts, np.where(known[at] == hashes, totals[at], 1)))
             size += len(hashes)
@@ -239,7 +263,7 @@ def verifier(number: int, threshold: float):
 
 def normalised(docs: DataFrame, text: str, words: str = "_words", key: str = "_key") -> DataFrame:
     """Rows with their words and a key: equal keys are equal words, or equal texts where there are no words."""
-    own = F.array_join(F.regexp_extract_all(F.lower(whole_text(text)), F.lit(WORDS), F.lit(0)), " ")
+    own = F.trim(F.regexp_replace(F.lower(whole_text(text)), F.lit(GAPS), F.lit(" ")))
     out = docs.withColumn(words, own)
     raw = F.when(F.col(words) == "", F.concat(F.lit("\n"), whole_text(text))).otherwise(F.col(words))
     return out.withColumn(key, F.unhex(F.md5(raw.cast("binary"))))

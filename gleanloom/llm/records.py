@@ -32,11 +32,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanloom.llm.common import whole_text
-from gleanloom.llm.segments import chunks_of, runs_of, segments
+from gleanloom.llm.segments import GLUED, chunks_of, runs_of, segments
 from gleanloom.scale import broadcast_if_small, shared_dir
 
 END = 0
@@ -111,26 +112,48 @@ class SegmentEncoder:
             self.cache[word] = raw[start:stop]
             start = stop
 
-    def learn_all(self, new: set[str]) -> None:
+    def learn_all(self, new: list[str]) -> None:
         """A word with a sentence's signs behind it is the word's tokens and those of the signs, which are pieces of their own."""
         stems = {s: stem for s in new if s and s[-1] in SIGNS and (stem := s.rstrip(SIGNS)).isalpha()}
         tails = {s[len(stem) :] for s, stem in stems.items()}.difference(self.tails)
         self.tails.update(zip(tails, self.whole(list(tails))))
-        self.learn(list(new.difference(stems).union(stems.values()).difference(self.cache)))
+        self.learn(list(set(new).difference(stems).union(stems.values()).difference(self.cache)))
         cache, tails = self.cache, self.tails
         cache.update([(s, cache[stem] + tails[s[len(stem) :]]) for s, stem in stems.items()])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.byte_level and not any(a in t for a in self.added) for t in texts]
-        cut = [segments(t) if ok else [t] for t, ok in zip(texts, plain)]
-        first = self.whole([c[0] for c in cut])  # has no blank before it
-        for c in cut:
-            del c[0]
+    def joined(self, cut: pa.ListArray) -> list[bytes]:
+        """The tokens of each text's segments but the first: distinct segments are looked up once, their tokens gathered as one array."""
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        behind = np.ones(offsets[-1] - offsets[0], bool)
+        behind[offsets[:-1] - offsets[0]] = False
+        coded = cut.flatten().filter(pa.array(behind)).dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.cache) > CACHE:
             self.cache.clear()
-        self.learn_all(set().union(*cut).difference(self.cache))
-        known = self.cache.__getitem__
-        return [one + b"".join(map(known, rest)) + self.end for one, rest in zip(first, cut)]
+        self.learn_all([w for w in words if w not in self.cache])
+        pieces = [self.cache[w] for w in words]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        pool, starts = np.frombuffer(b"".join(pieces), f"<u{self.width}"), np.cumsum(sizes) - sizes
+        taken = sizes[codes]
+        ends = np.append(0, np.cumsum(taken))
+        ids = pool[np.repeat(starts[codes] - ends[:-1], taken) + np.arange(ends[-1])]
+        edges = ends[offsets - offsets[0] - np.arange(len(offsets))].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(edges, edges[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [self.byte_level and not any(a in t for a in self.added) for t in texts]
+        glued = [ok and GLUED.search(t) is not None for t, ok in zip(texts, plain)]
+        first, rest = list(texts), [b""] * len(texts)
+        for way in (False, True):
+            rows = [i for i, ok in enumerate(plain) if ok and glued[i] == way]
+            if rows:
+                own = [texts[i] for i in rows]
+                cut = pa.array(map(segments, own), pa.list_(pa.string())) if way else pc.split_pattern(pa.array(own, pa.string()), " ")
+                heads = cut.flatten().take(cut.offsets[:-1]).to_pylist()
+                for i, head, tokens in zip(rows, heads, self.joined(cut)):
+                    first[i], rest[i] = head, tokens
+        # a text's first segment has no blank before it; other texts are encoded whole
+        return [one + tokens + self.end for one, tokens in zip(self.whole(first), rest)]
 
 
 def framer(tokenizer_file: str):

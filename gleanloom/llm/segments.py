@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 #: Segments that are encoded as one text: long enough to save calls, short enough for the processor's cache.
 JOINED = 50
 
-_GLUED = re.compile(r"\s ")
+GLUED = re.compile(r"\s ")
 _CUTS = re.compile(r"(?<!\s) ")
 
 
@@ -21,7 +21,7 @@ def segments(text: str) -> list[str]:
     Byte-level pre-tokenizers never join a blank with a character before it that isn't white space, and piece vocabularies
     without a blank inside a piece cannot merge across it, so the tokens of a text are those of its segments.
     """
-    return _CUTS.split(text) if _GLUED.search(text) else text.split(" ")
+    return _CUTS.split(text) if GLUED.search(text) else text.split(" ")
 
 
 def chunks_of(items: list[str], size: int = JOINED) -> list[list[str]]:
