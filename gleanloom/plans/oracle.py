@@ -645,6 +645,13 @@ def all_oracles() -> dict[str, str]:
           SELECT source_id, run::BIGINT AS run, step::INTEGER AS step, status, pages::BIGINT AS pages, chunks::BIGINT AS chunks, error, make_timestamp_ms(tick::BIGINT) AS ts
           FROM events_of""",
         "stream_dedup_requests": f"SELECT DISTINCT source_id FROM ({_STATUS_EVENTS}) WHERE status = 'PENDING'",
+        "stream_request_runs": f"""
+          WITH requests AS (SELECT source_id, ts FROM ({_STATUS_EVENTS}) WHERE status = 'PENDING'),
+          marked AS (
+            SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY source_id ORDER BY ts) + INTERVAL 2 DAY, true) AS begins FROM requests),
+          runs AS (SELECT *, sum(begins::INT) OVER (PARTITION BY source_id ORDER BY ts) AS run FROM marked)
+          SELECT source_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_requests FROM runs GROUP BY source_id, run
+          HAVING max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM requests) - INTERVAL 1 HOUR""",
         "stream_status_latest": f"""
           SELECT source_id, status, ts FROM ({_STATUS_EVENTS})
           QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, event_id DESC) = 1""",

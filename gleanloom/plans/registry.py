@@ -753,6 +753,15 @@ def stream_dedup_requests(spark: SparkSession, folder: str) -> DataFrame:
     return _run(queued, spark, "requests", "source_id STRING, ts TIMESTAMP").select("source_id")
 
 
+@_query
+def stream_request_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Sign-ups are requests; two quiet days end a source's run, so sources return and their state expires."""
+    events = samples.status_events(_stream_in_order(spark, folder, "events", EVENTS, "event_id"))
+    requests = events.where(F.col("status") == "PENDING").select("source_id", "ts")
+    log = "source_id STRING, first_ts TIMESTAMP, last_ts TIMESTAMP, n_requests BIGINT"
+    return _run(stream_status.request_runs(requests, "1 hour", "2 days"), spark, "runs", log).drop("epoch")
+
+
 @_query
 def stream_status_latest(spark: SparkSession, folder: str) -> DataFrame:
     latest = stream_status.status_latest(samples.status_events(_stream(spark, folder, "events", EVENTS, "event_id")))

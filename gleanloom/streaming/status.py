@@ -15,6 +15,17 @@ def dedup_requests(requests: DataFrame, horizon: str) -> DataFrame:
     return requests.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["source_id"])
 
 
+def request_runs(requests: DataFrame, delay: str, quiet: str) -> DataFrame:
+    """One row per run of a source's requests, ``(source_id, first_ts, last_ts, n_requests)``, when the run has ended.
+
+    A run ends when no request has come for ``quiet`` of event time; a source that returns later begins a new run. The state holds
+    open runs only and expires by the watermark, which is ``delay`` behind the newest request. A late request is dropped when
+    the watermark has passed its own quiet time, one without a time always; a null source is one source of its own.
+    """
+    runs = requests.withWatermark("ts", delay).groupBy("source_id", F.session_window("ts", quiet))
+    return runs.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_requests")).drop("session_window")
+
+
 def status_latest(events: DataFrame) -> DataFrame:
     """Current status per source by (ts, event_id); state holds one row per source."""
     newest = F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id"))
@@ -55,8 +66,14 @@ def status_route(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     )
 
 
-def page_progress(pages: DataFrame) -> DataFrame:
-    """Running count of good pages per source of ``pages(source_id, url, content, failed)``; a URL counts by its first capture."""
-    if "url" in pages.columns:
+def page_progress(pages: DataFrame, horizon: str | None = None) -> DataFrame:
+    """Running count of good pages per source of ``pages(source_id, url, content, failed)``; a URL counts by its first capture.
+
+    With a ``horizon`` a URL is remembered until the watermark has passed its ``ts`` by that long, and counts again when it returns in
+    a later micro-batch than that; so the state is bounded. Without one every URL stays in the state, for streams that end.
+    """
+    if horizon is not None:
+        pages = pages.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["source_id", "url"])
+    elif "url" in pages.columns:
         pages = pages.dropDuplicates(["source_id", "url"])
     return quality_gate(pages).groupBy("source_id").agg(F.count(F.lit(1)).alias("page_count"))

@@ -104,3 +104,33 @@ def test_stages_of_each_run(spark, tmp_path):
         "late": [("SCRAPING", 0, 0, None, "06:40"), ("CHUNKING", 1, 0, None, "06:40"), ("EMBEDDING", 2, 5, None, "06:41")],
         None: [("SCRAPING", 0, 0, None, "00:13"), ("FAILED", 1, 0, "all pages failed: 1", "01:13")],
     }
+
+
+def test_request_runs_expire(spark, tmp_path):
+    """Repeats within a run, a source that returns, one that is still open, a late row, rows without time or source."""
+    at = lambda minutes: f"2024-01-01 {minutes // 60:02d}:{minutes % 60:02d}:00"
+    batches = [[("a", at(0)), ("a", at(5)), ("b", at(2)), (None, at(3)), ("a", None)],
+               [("a", at(15)), ("c", at(120))],
+               [("a", at(121))],
+               [("c", at(240)), ("c", at(240)), ("b", at(1))]]
+    stream = file_stream(spark, tmp_path, batches, "source_id string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    query = write_epochs(status.request_runs(stream, "1 minute", "30 minutes"), f"{tmp_path}/out", f"{tmp_path}/progress")
+    query.awaitTermination()
+    log = read_epochs(spark, f"{tmp_path}/out", "source_id string, first_ts timestamp, last_ts timestamp, n_requests long")
+    got = sorted((str(r.source_id), r.first_ts.strftime("%H:%M"), r.last_ts.strftime("%H:%M"), r.n_requests) for r in log.collect())
+    assert got == [("None", "00:03", "00:03", 1), ("a", "00:00", "00:15", 3), ("a", "02:01", "02:01", 1), ("b", "00:02", "00:02", 1), ("c", "02:00", "02:00", 1)]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # the open run of c; all others have expired
+
+
+def test_page_progress_with_horizon(spark, tmp_path):
+    """A URL counts again after the horizon, and its state is gone by then."""
+    long = "x" * 101
+    page = lambda url, hour: ("a", url, f"2024-01-01 {hour:02d}:00:00", long, False)
+    batches = [[page("u", 0), page("v", 0)], [page("u", 1)], [page("w", 10)], [page("x", 11)], [page("u", 12)]]
+    stream = file_stream(spark, tmp_path, batches, "source_id string, url string, ts string, content string, failed boolean")
+    counted = status.page_progress(stream.withColumn("ts", F.to_timestamp("ts")), "2 hours")
+    query = write_epochs(counted, f"{tmp_path}/out", f"{tmp_path}/progress", mode="update")
+    query.awaitTermination()
+    assert rows(latest_by(read_epochs(spark, f"{tmp_path}/out", "source_id string, page_count long"), "source_id")) == [("a", 5)]
+    remembered = [o["numRowsTotal"] for o in query.lastProgress["stateOperators"] if o["operatorName"].startswith("dedupe")]
+    assert remembered == [3]  # w, x and u
