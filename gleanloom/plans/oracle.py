@@ -571,9 +571,11 @@ def all_oracles() -> dict[str, str]:
         "keyword_search": f"WITH {_QUESTIONS}, {_CTES_KEYWORD} SELECT * FROM keyword",
         "keyword_search_postings": f"WITH {_QUESTIONS}, {_CTES_KEYWORD} SELECT * FROM keyword",
         "vector_search": f"WITH {_QUESTIONS}, {_CTES_VECTOR} SELECT * FROM vector",
+        "vector_search_approximate": f"WITH {_QUESTIONS}, {_CTES_VECTOR} SELECT * FROM vector",
         "vector_index_quality": f"""
           WITH {_QUESTIONS}, {_CTES_VECTOR}
-          SELECT count(*) AS n_true, true AS recall_reached, true AS fewer_products FROM vector""",
+          SELECT (SELECT count(*) FROM vector) AS n_true, (SELECT count(*) FROM vector) AS n_found,
+            (SELECT count(*) FROM scored) AS n_products, true AS fifth_or_less""",
         "tenant_filter": f"""
           SELECT id, workspace_id FROM ({_SOURCES})
           WHERE workspace_id IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_acctbal < 0)""",

@@ -542,22 +542,23 @@ def vector_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def vector_search_approximate(spark: SparkSession, folder: str) -> DataFrame:
-    return vector.approximate_vector_search(
-        samples.search_vectors(spark, folder), samples.questions(spark, folder)
-    ).drop("workspace_id")
+    """By way of the 8-bit index, written as a table; the same rows as those of the exact search."""
+    vectors, path = samples.search_vectors(spark, folder), scratch_path(spark, "codes")
+    write_by_workspace(vector.code_vectors(vectors), path)
+    codes = spark.read.schema(vector.CODES).parquet(path)
+    return vector.coded_vector_search(vectors, samples.questions(spark, folder), codes=codes).drop("workspace_id")
 
 
 @_query
 def vector_index_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """Over all questions: whether the index finds nine of ten true neighbours, and leaves out products in every workspace."""
+    """True neighbours, those that the index finds, the exact search's products, and whether the index makes a fifth of them or less."""
     vectors, asked = samples.search_vectors(spark, folder), cut_lineage(samples.questions(spark, folder))
-    centroids = vector.fit_cells(vectors)
-    exact = cut_lineage(vector.vector_search(vectors, asked))
-    found = vector.approximate_vector_search(vectors, asked, centroids=centroids).select("workspace_id", "question_id", "id", F.lit(1).alias("hit"))
-    recall = exact.join(found, ["workspace_id", "question_id", "id"], "left").agg(
-        F.count("*").alias("n_true"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
-    share = vector.candidate_share(vectors, asked, centroids).agg((F.max("share") < 1).alias("fewer_products"))
-    return recall.withColumn("one", F.lit(1)).join(share.withColumn("one", F.lit(1)), "one").drop("one")
+    keys = ["workspace_id", "question_id", "id"]
+    found = vector.coded_vector_search(vectors, asked).select(*keys, F.lit(1).alias("hit"))
+    recall = vector.vector_search(vectors, asked).join(found, keys, "left").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+    share = vector.candidate_share(vectors, asked)
+    few = F.col("candidates") <= 0.2 * F.col("products")
+    return recall.crossJoin(share.select(F.col("products").alias("n_products"), few.alias("fifth_or_less")))
 
 
 def _fused(spark: SparkSession, folder: str) -> DataFrame:
