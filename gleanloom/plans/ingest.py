@@ -24,7 +24,10 @@ class Ingested:
 
 def clean_pages(pages: DataFrame, sources: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Scoped, extracted and audited pages: every page of every source, with its ``drop_reason``."""
-    scoped = crawl.scope_pages(crawl.scan_pages(pages), sources, suffixes)
+    return audit_scoped(crawl.scope_pages(crawl.scan_pages(pages), sources, suffixes))
+
+
+def audit_scoped(scoped: DataFrame) -> DataFrame:
     extracted = cleaning.extract_content(scoped).drop("root_path")
     return cleaning.audit_pages(extracted.withColumnsRenamed({"url": "page_url", "title": "page_title"}))
 

@@ -363,16 +363,23 @@ def _reachable(levels: int, links: str = _SHOP_LINKS, roots: str = _SHOP_ROOTS,
     return f"{sql} SELECT source_id, url, depth FROM s{levels}"
 
 
-def _file_pages() -> str:
+def _file_pages(pages: str = "pages") -> str:
     """Pages of the three domain sources, ready to be cut."""
     extracted = _extracted(
         f"""SELECT 'src-' || {_domain("url")} AS source_id,
-              regexp_extract({_domain("url")}, '([^.]+)$', 1) AS workspace_id, url AS page_url, html FROM pages"""
+              regexp_extract({_domain("url")}, '([^.]+)$', 1) AS workspace_id, url AS page_url, html FROM {pages}"""
     )
     return f"""SELECT source_id, workspace_id, page_url, title AS page_title, content FROM ({extracted})
                WHERE NOT failed AND length(content) > 100"""
 
 
+_EARLIER_PAGES = """
+  SELECT page_id, CASE WHEN substr(md5(url), 1, 1) = '2' THEN url || '/before' ELSE url END AS url,
+    CASE WHEN substr(md5(url), 1, 1) IN ('0', '1')
+      THEN replace(html, '</article>', '<p>An earlier notice, since taken down by its author.</p></article>') ELSE html END AS html
+  FROM pages"""
+
+
 def all_oracles() -> dict[str, str]:
     skipped = "|".join(p.replace(".", "\\.") for p in SKIPPED_PARTS)
     hierarchy_columns = """id, parent_id, source_id, workspace_id, page_url, page_title, section_index,
@@ -522,6 +529,31 @@ def all_oracles() -> dict[str, str]:
         "reindex_source": f"""
           SELECT source_id, 64 AS width, count(*) AS n_chunks, 0 AS n_changed
           FROM ({_hierarchy(_file_pages())}) GROUP BY source_id""",
+        "reindex_changed": f"""
+          WITH fresh AS MATERIALIZED ({_hierarchy(_file_pages())}),
+          former AS MATERIALIZED ({_hierarchy(_file_pages(f"({_EARLIER_PAGES})"))}),
+          {_embedding("made", "SELECT id, child_text AS text FROM fresh", "SELECT id, child_text AS text FROM former", 64)}
+          SELECT {hierarchy_columns}, {_DIGITS} AS embedding FROM fresh JOIN made USING (id)""",
+        "reindex_work": f"""
+          WITH earlier AS MATERIALIZED ({_EARLIER_PAGES}),
+          fresh AS MATERIALIZED ({_hierarchy(_file_pages())}),
+          former AS MATERIALIZED ({_hierarchy(_file_pages("earlier"))}),
+          changed AS (SELECT url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM earlier e WHERE e.url = p.url AND e.html = p.html)),
+          stale AS (SELECT url FROM earlier e WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE e.url = p.url AND e.html = p.html)),
+          known AS (SELECT DISTINCT workspace_id, child_text FROM former WHERE page_url IN (SELECT url FROM stale)),
+          cut AS (
+            SELECT source_id, count(*) AS n_cut, count(k.child_text) AS n_reused, count(*) - count(k.child_text) AS n_embedded
+            FROM fresh f LEFT JOIN known k ON k.workspace_id = f.workspace_id AND k.child_text = f.child_text
+            WHERE page_url IN (SELECT url FROM changed) GROUP BY 1),
+          counted AS (
+            SELECT 'src-' || {_domain("url")} AS source_id, count(*) AS n_pages, count(*) FILTER (url IN (SELECT url FROM changed)) AS n_changed
+            FROM pages GROUP BY 1),
+          lost AS (
+            SELECT 'src-' || {_domain("url")} AS source_id, count(*) AS n_gone FROM earlier
+            WHERE url NOT IN (SELECT url FROM pages) GROUP BY 1)
+          SELECT source_id, regexp_extract(source_id, '([^.]+)$', 1) AS workspace_id, n_pages, n_changed, coalesce(n_gone, 0) AS n_gone,
+            coalesce(n_cut, 0) AS n_cut, coalesce(n_reused, 0) AS n_reused, coalesce(n_embedded, 0) AS n_embedded
+          FROM counted LEFT JOIN lost USING (source_id) LEFT JOIN cut USING (source_id)""",
         "extract_content": f"""
           SELECT page_id, url, title, md5(content) AS content, failed
           FROM ({_extracted("SELECT page_id, url, html FROM pages")})""",

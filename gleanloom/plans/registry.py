@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanloom.functions import ids, text, urls
 from gleanloom.functions.splitter import CHILD_LEVEL
 from gleanloom.operators import chunking, cleaning, crawl, embedding, fusion, keyword, reports, tables, vector
-from gleanloom.plans import ingest, retrieval
+from gleanloom.plans import ingest, refresh, retrieval
 from gleanloom.scale import cut_lineage, scratch_path
 from gleanloom.sources import samples, stored
 from gleanloom.sources.model import PAGES, SOURCE_STATUS
@@ -347,6 +347,34 @@ def reindex_source(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _refreshed(spark: SparkSession, folder: str) -> tuple[refresh.Index, DataFrame]:
+    """The index of the earlier captures, stored by workspace, brought up to date with those of today."""
+    sources, options = samples.page_sources(spark, folder), {"splitter": "window"}
+    before = samples.earlier_pages(spark, folder)
+    model = embedding.fit_embedder(cut_lineage(ingest.ingest(before, sources, **options).chunks), "child_text", width=64)
+    built = refresh.refresh(None, before, sources, model, **options)[0]
+    tables_of = {}
+    for name in ("pages", "parents", "chunks", "vectors"):
+        table, path = getattr(built, name), scratch_path(spark, name)
+        write_by_workspace(table, path)
+        tables_of[name] = spark.read.schema(table.schema).parquet(path).select(*table.columns)
+    return refresh.refresh(refresh.Index(**tables_of), samples.pages(spark, folder), sources, model, **options)
+
+
+@_query
+def reindex_changed(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks and vectors after an incremental run: those of a full rebuild."""
+    index, _ = _refreshed(spark, folder)
+    vectors = index.vectors.select(F.col("chunk_id").alias("id"), "workspace_id", "source_id", _digits().alias("embedding"))
+    return index.chunks.withColumn("child_text", F.md5("child_text")).join(vectors, ["id", "workspace_id", "source_id"], "full_outer")
+
+
+@_query
+def reindex_work(spark: SparkSession, folder: str) -> DataFrame:
+    """What the incremental run had to do, by source."""
+    return _refreshed(spark, folder)[1]
+
+
 # --- cleaning --------------------------------------------------------------------------------------
 
 
