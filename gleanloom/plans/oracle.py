@@ -373,6 +373,13 @@ def _file_pages(pages: str = "pages") -> str:
                WHERE NOT failed AND length(content) > 100"""
 
 
+def _kept_words(pages: str) -> str:
+    """What a faultless cut of the pages shows: nothing too long or foreign, and all of a page's words."""
+    return f"""
+      SELECT page_url, 0 AS n_too_long, 0 AS n_outside, len(words) AS n_words, md5(array_to_string(words, ' ')) AS words_md5
+      FROM (SELECT page_url, list_sort(list_distinct({_tokens("content")})) AS words FROM ({pages}))"""
+
+
 _EARLIER_PAGES = """
   SELECT page_id, CASE WHEN substr(md5(url), 1, 1) = '2' THEN url || '/before' ELSE url END AS url,
     CASE WHEN substr(md5(url), 1, 1) IN ('0', '1')
@@ -527,8 +534,9 @@ def all_oracles() -> dict[str, str]:
           FROM ({_SOURCES}) s LEFT JOIN last l USING (id)
           LEFT JOIN patches p ON p.id = s.id AND p.seq = error_seq""",
         "reindex_source": f"""
-          SELECT source_id, 64 AS width, count(*) AS n_chunks, 0 AS n_changed
-          FROM ({_hierarchy(_file_pages())}) GROUP BY source_id""",
+          WITH fresh AS MATERIALIZED ({_hierarchy(_file_pages())}),
+          {_embedding("made", "SELECT id, child_text AS text FROM fresh", "SELECT id, child_text AS text FROM fresh", 64)}
+          SELECT id, workspace_id, source_id, md5(child_text) AS child_text, {_DIGITS} AS embedding FROM fresh JOIN made USING (id)""",
         "reindex_changed": f"""
           WITH fresh AS MATERIALIZED ({_hierarchy(_file_pages())}),
           former AS MATERIALIZED ({_hierarchy(_file_pages(f"({_EARLIER_PAGES})"))}),
@@ -575,6 +583,8 @@ def all_oracles() -> dict[str, str]:
           SELECT doc_id, section_index::INTEGER AS section_index, heading, md5(text) AS text FROM ({_sections(
             '''SELECT doc_id, replace(text, chr(10), chr(10) || CASE lang WHEN 'en' THEN '## ' WHEN 'fr' THEN '# '
                  WHEN 'de' THEN '###' || chr(9) || ' ' ELSE '#### ' END) AS content FROM documents''', "doc_id")})""",
+        "recursive_split_words": _kept_words(_PAGES_AS_DOCUMENTS),
+        "chunk_hierarchy_recursive_words": _kept_words(f"SELECT * FROM ({_PAGES_AS_DOCUMENTS}) WHERE length(content) >= 50"),
         "window_split": f"""
           SELECT doc_id, chunk_index::INTEGER AS chunk_index, md5(chunk) AS chunk FROM (
             SELECT doc_id, unnest(chunks) AS chunk, unnest(range(len(chunks))) AS chunk_index
@@ -653,7 +663,9 @@ def all_oracles() -> dict[str, str]:
             count(*) AS n_scraped, true AS all_ended
           FROM ({_extracted(f"SELECT 'src-' || {_domain('url')} AS source_id, url, html FROM pages")}) GROUP BY 1""",
         "stream_vectors": f"""
-          SELECT id AS chunk_id, workspace_id, source_id, 64 AS width FROM ({_hierarchy(_file_pages())})""",
+          WITH fresh AS MATERIALIZED ({_hierarchy(_file_pages())}),
+          {_embedding("made", "SELECT id, child_text AS text FROM fresh", "SELECT id, child_text AS text FROM fresh", 64)}
+          SELECT id AS chunk_id, workspace_id, source_id, {_DIGITS} AS embedding FROM fresh JOIN made USING (id)""",
         "stream_stages": """
           WITH pages AS (
             SELECT user_id::VARCHAR AS source_id, epoch_us(ts) // 1000 AS tick, event_type IN ('error', 'signup') AS bad,

@@ -325,7 +325,7 @@ def apply_patches(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def reindex_source(spark: SparkSession, folder: str) -> DataFrame:
-    """All sources indexed, then all rebuilt over the stored tables: no row may differ afterwards."""
+    """All sources indexed, then all rebuilt over the stored tables: texts and vectors are those of the first run."""
     pages, sources = samples.pages(spark, folder), samples.page_sources(spark, folder)
     first = ingest.ingest(pages, sources, splitter="window")
     model = embedding.fit_embedder(first.chunks, "child_text", width=64)
@@ -334,17 +334,9 @@ def reindex_source(spark: SparkSession, folder: str) -> DataFrame:
     again, _, again_vectors = ingest.reindex(
         chunks, first.parents, vectors, pages, sources, model, splitter="window"
     )
-    before = chunks.select("id", F.md5("child_text").alias("before"))
-    after = again.select("id", "source_id", F.md5("child_text").alias("after"))
-    return (
-        after.join(before, "id", "full_outer")
-        .join(again_vectors.select(F.col("chunk_id").alias("id"), F.size("embedding").alias("width")), "id", "left")
-        .groupBy("source_id", "width")
-        .agg(
-            F.count(F.lit(1)).alias("n_chunks"),
-            F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("n_changed"),
-        )
-    )
+    columns = ["id", "workspace_id", "source_id"]
+    digits = again_vectors.select(F.col("chunk_id").alias("id"), "workspace_id", "source_id", _digits().alias("embedding"))
+    return again.select(*columns, F.md5("child_text").alias("child_text")).join(digits, columns, "full_outer")
 
 
 def _refreshed(spark: SparkSession, folder: str) -> tuple[refresh.Index, DataFrame]:
@@ -476,6 +468,33 @@ def recursive_split(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.recursive_split(documents, "content", CHILD_LEVEL)
 
 
+def _cut_check(pages: DataFrame, cut: DataFrame, column: str, holder: str, size: int) -> DataFrame:
+    """Per page: pieces that are too long, pieces that are not part of what they were cut from, and the page's words that pieces hold whole."""
+    words = lambda rows, name: rows.select("page_url", F.explode(text.tokens(F.col(name))).alias("word")).distinct()
+    outside = ~F.coalesce(F.contains(holder, column), F.lit(False))
+    pieces = cut.groupBy("page_url").agg(F.count_if(F.length(column) > size).alias("n_too_long"), F.count_if(outside).alias("n_outside"))
+    held = words(pages, "content").join(words(cut, column), ["page_url", "word"], "left_semi").groupBy("page_url").agg(
+        F.count("*").alias("n_words"), F.md5(F.array_join(F.array_sort(F.collect_list("word")), " ")).alias("words_md5"))
+    return pieces.join(held, "page_url")
+
+
+@_query
+def recursive_split_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The recursive split by its contract: chunks within their size, parts of their page, and no word of the page lost."""
+    pages = samples.page_text(spark, folder).select("page_url", "content")
+    chunks = chunking.recursive_split(pages.withColumn("whole", F.col("content")), "content", CHILD_LEVEL)
+    return _cut_check(pages, cut_lineage(chunks), "chunk", "whole", CHILD_LEVEL.size)
+
+
+@_query
+def chunk_hierarchy_recursive_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of the hierarchy: children within their size, parts of their parent, and no word of the page lost."""
+    pages = samples.page_text(spark, folder)
+    parents, chunks = chunking.chunk_hierarchy(pages)
+    children = chunks.select("parent_id", "page_url", "child_text").join(parents.select("parent_id", "parent_text"), "parent_id", "left")
+    return _cut_check(pages, cut_lineage(children), "child_text", "parent_text", CHILD_LEVEL.size)
+
+
 @_query
 def window_split(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents", spread=True).select("doc_id", "text")
@@ -559,7 +578,7 @@ def keyword_search_postings(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "postings")
     keyword.write_postings(keyword.build_postings(samples.search_chunks(spark, folder), "simple"), path)
     return keyword.keyword_search_postings(
-        spark.read.parquet(path), samples.questions(spark, folder), analyzer="simple"
+        keyword.read_postings(spark, path), samples.questions(spark, folder), analyzer="simple"
     ).drop("workspace_id")
 
 
@@ -759,7 +778,7 @@ def stream_vectors(spark: SparkSession, folder: str) -> DataFrame:
     model = embedding.fit_embedder(chunks, "child_text", width=64)
     stream_tables.stream_vectors(path, spark, model, vectors, scratch_path(spark, "vectors-progress")).awaitTermination()
     current = stream_tables.current_vectors(spark, vectors, chunks)
-    return current.select("chunk_id", "workspace_id", "source_id", F.size("embedding").alias("width"))
+    return current.select("chunk_id", "workspace_id", "source_id", _digits().alias("embedding"))
 
 
 @_query

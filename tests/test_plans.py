@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gleanloom.operators import crawl, vector
+from gleanloom.operators import crawl, keyword, vector
 from gleanloom.scale import broadcast_limit, fits_broadcast, top_ranked
 from gleanloom.sources.model import CHUNKS, VECTORS
 from gleanloom.sources.tables import read_by_workspace, write_by_workspace
@@ -66,3 +66,22 @@ def test_chunk_table_keeps_string_workspaces(spark, tmp_path):
     rows = spark.createDataFrame([("c", "007")], "id string, workspace_id string")
     write_by_workspace(rows, str(tmp_path / "c"))
     assert read_by_workspace(spark, str(tmp_path / "c"), CHUNKS).first().workspace_id == "007"
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_stored_postings_are_read_from_the_folders_of_the_terms(spark, tmp_path, named, monkeypatch):
+    if not named:
+        monkeypatch.setattr(keyword, "NAMED_TERMS", 0)
+    words = spark.range(2000).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("t"), "id").alias("term"), F.lit("d").alias("id"), F.array(F.col("id").cast("int")).alias("positions"))
+    keyword.write_postings(words, str(tmp_path / "p"), 4)
+    stored = keyword.read_postings(spark, str(tmp_path / "p"))
+    asked = spark.createDataFrame([("w", "t7"), ("w", "t1999"), ("w", "none"), ("v", "t8")], "workspace_id string, term string")
+    found = keyword.asked_postings(stored, asked)
+    text = plan(found)
+    assert re.search(r"PartitionFilters: \[[^]]*folder#\d+ IN", text) and text.count("FileScan") == 1
+    assert ("In(term" in text) == named
+    assert rows_of(found.select("term", "positions")) == [("t1999", [1999]), ("t7", [7])]
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
