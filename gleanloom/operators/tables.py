@@ -241,3 +241,22 @@ def apply_patches(rows: DataFrame, patches: DataFrame, fields: list[str]) -> Dat
         f: F.when(F.col(f"_set_{f}").isNotNull(), F.col(f"_set_{f}.value")).otherwise(F.col(f)) for f in fields
     }
     return rows.join(combined, "id", "left").withColumns(patched).select(*rows.columns)
+
+
+def patch_workspaces(patches: DataFrame, workspaces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(workspaces, rejected)`` after ``patches(id, user_id, seq, name, description, null_fields)`` by their owners.
+
+    Rejected, with ``errors``: patches of a workspace that the user doesn't own, or that there isn't, a name or
+    description outside its limits, and a name set to NULL. The others are applied as by ``apply_patches``, so that a rejected
+    patch hides no earlier one.
+    """
+    owners = workspaces.select("id", "user_id").distinct().withColumn("_own", F.lit(True))
+    unnamed = F.coalesce(F.array_contains("null_fields", "name"), F.lit(False))
+    errors = F.array_compact(F.array(
+        F.when(F.col("_own").isNull(), "workspace"),
+        F.when(unnamed | (F.col("name").isNotNull() & _outside(F.length("name"), NAME_LENGTH)), "name"),
+        F.when(F.col("description").isNotNull() & _outside(F.length("description"), DESCRIPTION_LENGTH), "description"),
+    ))
+    placed = patches.join(owners, ["id", "user_id"], "left").select(*patches.columns, errors.alias("errors"))
+    accepted, rejected = placed.where(F.size("errors") == 0), placed.where(F.size("errors") > 0)
+    return apply_patches(workspaces, accepted, ["name", "description"]), rejected

@@ -533,6 +533,19 @@ def all_oracles() -> dict[str, str]:
             s.chunk_count, CASE WHEN error_seq IS NULL THEN s.error ELSE p.error END AS error
           FROM ({_SOURCES}) s LEFT JOIN last l USING (id)
           LEFT JOIN patches p ON p.id = s.id AND p.seq = error_seq""",
+        "patch_workspaces": f"""
+          WITH good AS (SELECT * FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')),
+          names AS (SELECT o_custkey, 'order ' || max(o_orderkey) AS name FROM good WHERE o_orderpriority <> '2-HIGH' GROUP BY 1),
+          texts AS (
+            SELECT o_custkey, arg_max({{'text': CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END}}, o_orderkey).text AS description
+            FROM good WHERE o_orderstatus IN ('O', 'P') GROUP BY 1),
+          bad AS (
+            SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS n_workspace, count(*) FILTER (o_orderpriority = '5-LOW') AS n_name
+            FROM orders GROUP BY 1)
+          SELECT w.id, coalesce(n.name, w.name) AS name, CASE WHEN t.o_custkey IS NULL THEN w.description ELSE t.description END AS description,
+            coalesce(n_workspace, 0) AS n_workspace, coalesce(n_name, 0) AS n_name
+          FROM ({_WORKSPACES}) w LEFT JOIN names n ON n.o_custkey::VARCHAR = w.id
+          LEFT JOIN texts t ON t.o_custkey::VARCHAR = w.id LEFT JOIN bad b ON b.o_custkey::VARCHAR = w.id""",
         "reindex_source": f"""
           WITH fresh AS MATERIALIZED ({_hierarchy(_file_pages())}),
           {_embedding("made", "SELECT id, child_text AS text FROM fresh", "SELECT id, child_text AS text FROM fresh", 64)}

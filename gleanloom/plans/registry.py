@@ -323,6 +323,24 @@ def apply_patches(spark: SparkSession, folder: str) -> DataFrame:
     return tables.apply_patches(rows, patches, ["status", "page_count", "error"])
 
 
+@_query
+def patch_workspaces(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order is a patch of its customer's workspace: urgent ones come from another user, low ones carry a name that is too long."""
+    priority, name, spaces = F.col("o_orderpriority"), F.concat(F.lit("order "), "o_orderkey"), samples.workspaces(spark, folder)
+    asked = read_table(spark, folder, "orders").join(spaces.select(F.col("id").alias("o_id"), "user_id"), F.col("o_custkey").cast("string") == F.col("o_id"))
+    patches = asked.select(
+        F.col("o_id").alias("id"),
+        F.when(priority == "1-URGENT", F.concat("user_id", F.lit("x"))).otherwise(F.col("user_id")).alias("user_id"),
+        F.col("o_orderkey").alias("seq"),
+        F.when(priority == "5-LOW", F.repeat(name, F.lit(10))).when(priority != "2-HIGH", name).alias("name"),
+        F.when(F.col("o_orderstatus") == "O", priority).alias("description"),
+        F.when(F.col("o_orderstatus") == "P", F.array(F.lit("description"))).alias("null_fields"),
+    )
+    patched, rejected = tables.patch_workspaces(patches, spaces)
+    counts = rejected.groupBy("id").agg(*[F.count_if(F.array_contains("errors", e)).alias(f"n_{e}") for e in ("workspace", "name")])
+    return patched.select("id", "name", "description").join(counts, "id", "left").na.fill(0, ["n_workspace", "n_name"])
+
+
 @_query
 def reindex_source(spark: SparkSession, folder: str) -> DataFrame:
     """All sources indexed, then all rebuilt over the stored tables: texts and vectors are those of the first run."""

@@ -143,6 +143,29 @@ def test_patches(spark, sources):
     ]
 
 
+def test_workspace_patches_are_checked(spark):
+    spaces = spark.createDataFrame([("w1", "u1", "One", "d"), ("w2", "u2", "Two", None)], "id string, user_id string, name string, description string")
+    data = [
+        ("w1", "u1", 1, "Uno", None, None),
+        ("w1", "u2", 2, "Stolen", "x", None),
+        ("w1", "u1", 3, None, None, ["description"]),
+        ("w1", "u1", 4, "", None, None),
+        ("w2", "u2", 1, "x" * 51, "y" * 201, None),
+        ("w2", "u2", 2, None, None, ["name"]),
+        ("w2", "u2", 3, None, "é" * 200, None),
+        ("w9", "u1", 1, "None", None, None),
+        (None, None, 1, "n", None, None),
+    ]
+    patches = spark.createDataFrame(data, "id string, user_id string, seq int, name string, description string, null_fields array<string>")
+    patched, rejected = tables.patch_workspaces(patches, spaces)
+    assert rows(patched) == [("w1", "u1", "Uno", None), ("w2", "u2", "Two", "é" * 200)]
+    got = {(r.id, r.seq): r.errors for r in rejected.collect()}
+    assert got == {("w1", 2): ["workspace"], ("w1", 4): ["name"], ("w2", 1): ["name", "description"], ("w2", 2): ["name"],
+                   ("w9", 1): ["workspace"], (None, 1): ["workspace"]}
+    empty, none = tables.patch_workspaces(patches.limit(0), spaces)
+    assert rows(empty) == rows(spaces) and none.isEmpty()
+
+
 def test_reports(spark, spaces, sources):
     messages = spark.createDataFrame([("m1", "w1"), ("m2", "w1")], "id string, workspace_id string")
     listed = reports.workspace_list(spaces, sources, "u1").collect()
