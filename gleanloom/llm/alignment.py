@@ -107,12 +107,16 @@ class Aligned:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.texts: list[str] = []
-        self.figures = Grown(np.int32, 5)  # n_a, n_b, n_groups, n_links, 1 where bytes differ
+        self.figures = Grown(np.int64, 5)  # n_a, n_b, n_groups, n_links, 1 where bytes differ
         self.sizes, self.codes, self.times = Grown(np.int32), Grown(np.uint32), Grown(np.int64)
 
     def cut(self, text: str) -> list[str]:
-        """The segments of a blank and the text, each without the blank before it."""
-        return [text] if self.whole else segments(" " + text)[1:]
+        """The segments of a blank and the text, each without the blank before it; a lone blank at the end stays with its segment,
+        as the second library adds no blank to an empty text."""
+        if self.whole:
+            return [text]
+        cut = segments(" " + text)[1:]
+        return cut if cut[-1] else [*cut[:-2], cut[-2] + " "]
 
     def add(self, words: list[str]) -> None:
         """Align segments that are not known yet."""

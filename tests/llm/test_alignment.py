@@ -80,6 +80,20 @@ def test_many_blocks_small_trees_and_cleared_caches(spark, monkeypatch):
     assert result(alignment.align(docs, *FILES, block_chars=1500, fan=3, parts=5)) == brute_force(rows)
 
 
+def test_a_lone_blank_at_the_end(spark):
+    rows = list(enumerate(["x ", "word and end ", "a b ", "end ", "end", "tab\t ", "a\n b ", "two  ", " ", "naïve 日本 ", "▁ "]))
+    want = brute_force(rows)
+    assert {r[0] for r in want if not r[1]} == {10}
+    assert result(alignment.align(spark.createDataFrame(rows, "doc_id long, text string"), *FILES)) == want
+
+
+def test_links_of_a_group_beyond_32_bits(spark):
+    rows = [(1, "l" * 100_000), (2, "two l" + "l" * 99_999 + " ")]
+    found = {r["doc_id"]: r for r in alignment.align(spark.createDataFrame(rows, "doc_id long, text string"), *FILES).collect()}
+    assert found[1]["n_groups"] == 1 and found[1]["n_links"] == found[1]["n_a"] * found[1]["n_b"] > 2**31
+    assert found[1]["n_best"] <= found[1]["n_links"] <= found[1]["count_sum"] and found[2]["n_links"] > 0
+
+
 def test_text_ids_and_empty_table(spark):
     docs = spark.createDataFrame([("a", "one two"), (None, None)], "doc_id string, text string")
     assert result(alignment.align(docs, *FILES)) == brute_force([("a", "one two"), (None, None)])
