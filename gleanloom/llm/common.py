@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanloom.scale import shared_dir
+from gleanloom.scale import written  # noqa: F401  (taken from here by the operators of this subpackage)
 
 #: A key that holds more than one of so many parts of all rows is hot; there are at most so many of them.
 HOT = 10_000
@@ -38,25 +36,6 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3) == 1
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write to a new Parquet table below the shared folder and read it back: ends the lineage, survives lost executors.
-
-    The shuffle files of this one write go when it has ended, as the table takes their place.
-    """
-    spark: SparkSession = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def squeezed(values: np.ndarray) -> bytes:
     """A column of numbers, byte by byte and compressed."""
     if not len(values):

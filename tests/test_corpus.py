@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanloom.functions.splitter import PARENT_LEVEL, split_text
 from gleanloom.operators import chunking, cleaning, crawl, embedding
 from gleanloom.plans import ingest
+from gleanloom.scale import cut_lineage
 
 SITE = "https://www.site.example.com"
 LINKS = {
@@ -292,3 +295,41 @@ def test_embedding_equals_plain_python(spark):
         weights = [bags[int(r.id)][b] * math.log((len(texts) + 1) / (df_of[b] + 1)) for b in range(16)]
         norm = math.sqrt(sum(w * w for w in weights)) or 1
         assert r.embedding == pytest.approx([w / norm for w in weights], abs=1e-6)
+
+
+def slow_walk(roots: list, links: list, limit: int | None) -> set:
+    """Level by level in Python: the smallest unseen targets of all pages of a level, as many as still fit."""
+    targets, out = {}, set()
+    for src, dst in links:
+        targets.setdefault(src, set()).add(dst)
+    for source in {s for s, _ in roots}:
+        level, seen, depth = {u for s, u in roots if s == source}, set(), 0
+        while level:
+            out |= {(source, u, depth) for u in level}
+            seen |= level
+            room = None if limit is None else max(0, limit - len(seen))
+            level, depth = set(sorted({t for u in level for t in targets.get(u, ())} - seen)[:room]), depth + 1
+    return out
+
+
+@pytest.mark.parametrize("limit", [None, 7, 30])
+def test_walk_equals_a_slow_walk_on_uneven_pages(spark, limit):
+    draw = random.Random(5)
+    name = lambda n: f"u{n * 7919 % 997:03d}"
+    links = [(name(draw.randrange(150)), name(draw.randrange(300))) for _ in range(900)]
+    links += [(name(p), name(t)) for p in range(0, 150, 3) for t in range(12)]  # the same menu on many pages
+    links += [(name(p), name(t)) for p in (1, 2, 4) for t in range(200)] + [(name(5), name(5))]
+    roots = [(f"s{k}", name(draw.randrange(150))) for k in range(25)] + [("s0", name(1)), ("alone", "nowhere")]
+    found = crawl.reachable_pages(spark.createDataFrame(roots, "source_id string, url string"), spark.createDataFrame(links, "src string, dst string"), limit)
+    got = [tuple(r) for r in found.select("source_id", "url", "depth").collect()]
+    assert len(got) == len(set(got)) and set(got) == slow_walk(roots, links, limit)
+
+
+def test_a_level_is_pruned_before_it_is_gathered(spark, monkeypatch):
+    """40 pages of 200 targets each: what their source takes is known from a few of each, and the rest stays where it is."""
+    links = [("root", f"p{k:02d}") for k in range(40)] + [(f"p{k:02d}", f"t{k + 40 * j:05d}") for k in range(40) for j in range(200)]
+    gathered = []
+    monkeypatch.setattr(crawl, "written", lambda df, name: (gathered.append((name, cut_lineage(df))), gathered[-1][1])[1])
+    walked = crawl.reachable_pages(spark.createDataFrame([("s", "root")], "source_id string, url string"), spark.createDataFrame(links, "src string, dst string"), 100)
+    assert walked.count() == 100 and {r.url for r in walked.where("depth = 2").collect()} == {f"t{n:05d}" for n in range(59)}
+    assert [df.count() for name, df in gathered if name == "met"] == [59]
