@@ -333,3 +333,11 @@ def test_a_level_is_pruned_before_it_is_gathered(spark, monkeypatch):
     walked = crawl.reachable_pages(spark.createDataFrame([("s", "root")], "source_id string, url string"), spark.createDataFrame(links, "src string, dst string"), 100)
     assert walked.count() == 100 and {r.url for r in walked.where("depth = 2").collect()} == {f"t{n:05d}" for n in range(59)}
     assert [df.count() for name, df in gathered if name == "met"] == [59]
+
+
+def test_cut_sources_looks_behind_a_visited_largest_target(spark):
+    """The largest target of ``s`` was visited and a smaller one was not; ``t`` is full and has seen everything; ``u`` is not full."""
+    walked = [("s", "a", 0), ("s", "z", 1), ("t", "b", 0), ("t", "c", 1), ("u", "d", 0), ("v", "e", 0), ("v", "f", 1)]
+    links = [("a", "k"), ("a", "z"), ("b", "c"), ("c", "b"), ("d", "x"), ("e", "f"), ("f", "zz"), ("f", "e")]
+    found = crawl.cut_sources(spark.createDataFrame(walked, "source_id string, url string, depth int"), spark.createDataFrame(links, "src string, dst string"), 2)
+    assert rows(found) == [("s", 2, True), ("t", 2, False), ("u", 1, False), ("v", 2, True)]
