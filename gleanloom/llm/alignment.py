@@ -128,9 +128,10 @@ class Aligned:
 
     def aligned(self, chunks: list[list[str]]) -> list[list[str]]:
         """Add the segments of the chunks whose bytes agree, and return those of the others one by one; a lone one that differs is marked."""
-        joined = ["".join([" " + w for w in chunk]) for chunk in chunks]
+        plain = [" ".join(chunk) for chunk in chunks]
+        joined = [" " + p for p in plain]
         # the second library adds the first blank
-        found = list(zip(chunks, joined, self.a.encode_batch(joined, add_special_tokens=False), self.b.encode([j[1:] for j in joined], return_type="proto", num_threads=1)))
+        found = list(zip(chunks, joined, self.a.encode_batch(joined, add_special_tokens=False), self.b.encode(plain, return_type="proto", num_threads=1)))
         good, again = [], []
         for chunk, text, a, b in found:
             ids_a, raw = a.ids, text.encode()
@@ -164,7 +165,7 @@ class Aligned:
         ends_b = np.where(self.byte_pieces[ids_b], np.cumsum(self.width_b[ids_b]), ends_b)
         common = np.intersect1d(ends_a, ends_b)
         words = [w for g in good for w in g[0]]
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        ends = letters[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
         a, b = (np.searchsorted(e, common, "right") for e in (ends_a, ends_b))
         a0, b0 = np.append(0, a[:-1]), np.append(0, b[:-1])
         n_a, n_b = a - a0, b - b0
@@ -271,7 +272,8 @@ class Block:
         pairs, times = np.unique(doc[good[doc]] << 32 | which[good[doc]], return_counts=True)
         owner, segment = pairs >> 32, pairs & 0xFFFFFFFF
         at, code, _ = aligned.links(segment, aligned.begins())
-        once = np.unique((owner[at] << 32) | code.astype(np.int64)) & 0xFFFFFFFF  # a document counts once for a pair
+        held = np.sort((owner[at] << 32) | code.astype(np.int64))
+        once = held[np.append(True, held[1:] != held[:-1])[: len(held)]]  # a document counts once for a pair
         one, n = np.unique(once.astype(np.uint32), return_counts=True)
         self.codes.append(one), self.counts.append(n)
         self.sizes.append(np.bincount(owner, minlength=len(size))), self.segments.append(segment), self.times.append(times)
