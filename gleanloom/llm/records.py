@@ -98,11 +98,11 @@ class SegmentEncoder:
     def learn(self, new: list[str]) -> None:
         """Encode segments, each behind a blank, and cut the tokens where the segments' bytes end."""
         chunks = chunks_of(new)
-        joined = ["".join([" " + s for s in chunk]) for chunk in chunks]
+        joined = [" " + " ".join(chunk) for chunk in chunks]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         ids = np.fromiter(itertools.chain.from_iterable(found), f"<u{self.width}")
         words = [s for chunk in chunks for s in chunk]
-        token_ends, ends = np.cumsum(self.lengths[ids]), np.cumsum([len(s.encode()) + 1 for s in words])
+        token_ends, ends = np.cumsum(self.lengths[ids]), np.cumsum([(len(s) if s.isascii() else len(s.encode())) + 1 for s in words])
         at = np.searchsorted(token_ends, ends)
         if len(words) and not np.array_equal(token_ends[np.minimum(at, len(ids) - 1)], ends):
             self.cache.update(zip(words, self.whole([" " + s for s in words])))
