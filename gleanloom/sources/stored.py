@@ -1,6 +1,6 @@
 """Chunk and vector tables on disk, changed workspace by workspace.
 
-A table is a Parquet folder partitioned by workspace. An upsert reads the workspaces that it touches, writes their new content to a
+A table is a Parquet folder partitioned by workspace. The first upsert writes it. A later one reads the workspaces that it touches, writes their new content to a
 staged copy below the shared folder and from there over their partitions alone (dynamic partition overwrite); all other
 partitions keep their files. The table is never read and written by one job, and a run that breaks off can be repeated:
 merging the same updates again gives the same rows. Dropping a workspace removes its folder; nothing is rewritten.
@@ -48,11 +48,13 @@ def _named(updates: DataFrame) -> DataFrame:
 def _replace(spark: SparkSession, path: str, touched: DataFrame, columns: list[str],
              merge: Callable[[DataFrame], DataFrame], empty: DataFrame) -> None:
     """Put the merge of the touched workspaces' stored rows in their place."""
-    stored = read_by_workspace(spark, path, ", ".join(columns)) if table_exists(spark, path) else empty
-    staged = scratch_path(spark, "staged")
+    if not table_exists(spark, path):
+        write_by_workspace(merge(empty), path)
+        return
+    stored, staged = read_by_workspace(spark, path, ", ".join(columns)), scratch_path(spark, "staged")
     write_by_workspace(merge(in_workspaces(stored, touched)), staged)
-    rows = read_by_workspace(spark, staged, ", ".join(columns))
-    write_by_workspace(rows, path, mode="overwrite")
+    # the staged files hold a workspace's rows together already
+    write_by_workspace(read_by_workspace(spark, staged, ", ".join(columns)), path, gathered=True)
     remove_folder(spark, staged)
 
 

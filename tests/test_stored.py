@@ -86,3 +86,14 @@ def test_staged_copies_are_removed(spark, tmp_path):
     stored.store_chunks(spark, str(tmp_path / "chunks"), frame(spark, [chunk(1, "a")]).withColumn("page_title", F.lit("x")))
     folder = shared_dir(spark).removeprefix("file:")
     assert not [name for name in os.listdir(folder) if name.startswith("staged-")]
+
+
+def test_rows_are_dealt_once_per_upsert(spark, tmp_path, monkeypatch):
+    path, plans = str(tmp_path / "chunks"), []
+    dealt = stored.write_by_workspace
+    monkeypatch.setattr(stored, "write_by_workspace", lambda df, to, **how: plans.append((to, how.get("gathered", False))) or dealt(df, to, **how))
+    stored.store_chunks(spark, path, frame(spark, [chunk(0, "a"), chunk(1, "b")]))
+    assert plans == [(path, False)]
+    stored.store_chunks(spark, path, frame(spark, [chunk(0, "a", 1), chunk(2, "c", 1)]))
+    assert [(to == path, gathered) for to, gathered in plans[1:]] == [(False, False), (True, True)]
+    assert sorted(r[0] for r in read_by_workspace(spark, path, CHUNK).select("id").collect()) == ["c0", "c1", "c2"]
