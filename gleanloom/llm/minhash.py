@@ -10,8 +10,10 @@
    ``t = floor(ln w / r + beta)``, ``ln a = ln c - r (t - beta) - r`` with r and c from Gamma(2, 1) and beta uniform; the
    smallest a wins and (shingle, t) is the sample. Two texts agree in a sample with the probability of
    their weighted Jaccard similarity. Variates come from tables of 2^16 entries per sample, looked up by the shingle's hash.
-4. Texts that agree in a band meet in a bucket. A pair of a bucket is a candidate if its total weights allow the threshold
-   and at least ``AGREE`` of its samples agree; candidates are compared by the exact weighted Jaccard similarity, and linked
+4. Shingles that no other text holds bound what a text can have in common with any: texts whose other shingles weigh too little
+   for the threshold are left out before the samples are drawn.
+5. Texts that agree in a band meet in a bucket. A pair of a bucket is a candidate if its shared weights allow the threshold, in
+   all and summed over ``CELLS`` parts of the hashes (bounds of the exact similarity), and at least ``AGREE`` of its samples agree; candidates are compared by the exact weighted Jaccard similarity, and linked
    texts form components. First every bucket's members meet one leader, with a few bands, then with all of
    them; members that are in the leader's component already are not compared again. What is left are the pairs of a bucket
    that lie in different components: all of them that are candidates are compared. So a large group of near copies costs
@@ -37,7 +39,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanloom.llm.common import fresh_name, opened, packed, squeezed, unpacked, whole_text, written
-from gleanloom.scale import cut_lineage
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -52,6 +53,12 @@ RUN_CHARS = 1 << 20
 BLOCK_CHARS = 4 << 20
 PART_CHARS = 12 << 20
 GAPS = r"[^\p{L}\p{M}\p{N}_]+"
+#: Parts of the hashes for which a text's shared weight is kept.
+CELLS = 128
+#: Bounds are looser than the threshold by so much, for the rounding of sums.
+SLACK = 2e-6
+EMPTY = pa.schema([("_key", pa.binary()), ("_words", pa.string()), ("_df", pa.binary()), ("_weight", pa.float64()), ("_shared", pa.float64()),
+                   ("_cells", pa.list_(pa.float32())), ("_bands", pa.list_(pa.int64())), ("_samples", pa.list_(pa.int16()))])
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -189,7 +196,7 @@ def add_up(part: pa.Table) -> pa.Table:
     return pa.table({"_block": pa.array([o[0] for o in out], pa.int64()), "hashes": pa.array([o[1] for o in out], pa.binary()), "totals": pa.array([o[2] for o in out], pa.binary())})
 
 
-def signer(number: int):
+def signer(number: int, threshold: float):
     kept: list[Sampler] = []
 
     def sign(block: pa.Table, repeated: pa.Table) -> pa.Table:
@@ -200,40 +207,50 @@ def signer(number: int):
         order = np.argsort(known)
         known, totals = np.append(known[order], np.uint64(2**64 - 1)), np.append(totals[order], 1)
 
-        def rows(keys, parts):
-            hashes, counts, frequency = (np.concatenate(c) for c in zip(*parts))
-            weight = weights(counts, frequency, number)
-            starts = np.cumsum([0] + [len(h) for h, _, _ in parts[:-1]])
+        def rows(places, parts):
+            hashes, counts, frequency, weight = (np.concatenate(c) for c in zip(*parts))
+            starts = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
             samples = sampler(hashes, weight, starts)
-            total = pa.array(np.add.reduceat(weight, starts).astype(np.float64))
-            stored = pa.array([squeezed(f.astype(np.int64)) for _, _, f in parts], pa.binary())
-            columns = [pa.array(keys, pa.binary()), stored, total, lists(bands_of(samples)), lists((samples & 0xFFFF).astype(np.uint16).view(np.int16))]
-            out.append(pa.RecordBatch.from_arrays(columns, ["_key", "_df", "_weight", "_bands", "_samples"]))
-
-        keys, parts, size = [], [], 0
-        for key, (hashes, counts) in zip(block["_key"].to_pylist(), block_shingles(block["_words"], cache)):
+            total, shared = np.add.reduceat(weight, starts), np.add.reduceat(np.where(frequency > 1, weight, 0), starts)
+            stored = pa.array([squeezed(f.astype(np.int64)) for _, _, f, _ in parts], pa.binary())
+            own = block.select(["_key", "_words"]).take(pa.array(places, pa.int64())).combine_chunks()
+            cell = np.repeat(np.arange(len(parts)), np.diff(np.append(starts, len(hashes)))) * CELLS + (hashes % np.uint64(CELLS)).astype(np.int64)
+            cells = np.bincount(cell, np.where(frequency > 1, weight, 0), len(parts) * CELLS).reshape(-1, CELLS).astype(np.float32)
+            columns = [own["_key"].combine_chunks(), own["_words"].combine_chunks(), stored, pa.array(total, pa.float64()), pa.array(shared, pa.float64()), lists(cells),
+                       lists(bands_of(samples)), lists((samples & 0xFFFF).astype(np.uint16).view(np.int16))]
+            out.append(pa.RecordBatch.from_arrays(columns, EMPTY.names))
+
+        places, parts, size = [], [], 0
+        for place, (hashes, counts) in enumerate(block_shingles(block["_words"], cache)):
             at = np.searchsorted(known, hashes)
-            keys.append(key), parts.append((hashes, counts, np.where(known[at] == hashes, totals[at], 1)))
+            frequency = np.where(known[at] == hashes, totals[at], 1)
+            weight = weights(counts, frequency, number)
+            if weight[frequency > 1].sum() < (threshold - SLACK) * weight.sum():
+                continue
+            places.append(place), parts.append((hashes, counts, frequency, weight))
             size += len(hashes)
             if size >= CHUNK:
-                rows(keys, parts)
-                keys, parts, size = [], [], 0
-        if keys:
-            rows(keys, parts)
-        return pa.Table.from_batches(out)
+                rows(places, parts)
+                places, parts, size = [], [], 0
+        if places:
+            rows(places, parts)
+        return pa.Table.from_batches(out, None if out else EMPTY)
 
     return sign
 
 
-def signed(texts: DataFrame, number: int, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
-    """(_key, _df, _weight, _bands, _samples) of distinct texts with words, among ``number`` texts; ``_df`` in the order of the shingles' hashes."""
+def signed(texts: DataFrame, number: int, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS, threshold: float = 0.0) -> DataFrame:
+    """(_key, _words, _df, _weight, _shared, _cells, _bands, _samples) of distinct texts with words, among ``number`` texts; ``_df`` in the order
+    of the shingles' hashes. ``_shared`` is the weight of the shingles that another text holds too; texts of which it is less
+    than ``threshold`` of all their weight are near no text and are left out. ``_cells`` is this weight by parts of the hashes.
+    """
     chars = texts.agg(F.coalesce(F.sum(F.length("_words")), F.lit(0))).first()[0]
     bits = max(0, (chars // part_chars)).bit_length()
     dealt = texts.select("_key", "_words", F.pmod(F.xxhash64("_key"), F.lit(chars // block_chars + 1)).alias("_block"))
     sent = dealt.groupBy("_block").applyInArrow(sender(bits), "_part long, _block long, hashes binary, counts binary")
     repeated = sent.groupBy("_part").applyInArrow(add_up, "_block long, hashes binary, totals binary")
     return dealt.groupBy("_block").cogroup(repeated.groupBy("_block")).applyInArrow(
-        signer(number), "_key binary, _df binary, _weight double, _bands array<long>, _samples array<smallint>")
+        signer(number, threshold), "_key binary, _words string, _df binary, _weight double, _shared double, _cells array<float>, _bands array<long>, _samples array<smallint>")
 
 
 def verifier(number: int, threshold: float):
@@ -275,20 +292,20 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: the number of rounds grows with the logarithm of a chain's length,
     and a node with many links is handled by an aggregate and a join, never as one group.
     """
-    edges = cut_lineage(links.select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).distinct())
-    state = None
+    edges = written(links.select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
+        # done when each node leads to one other, which leads nowhere
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("led")).unionByName(
+            edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("led")))
+        if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("led").alias("led")).where("out > 1 OR (out > 0 AND led > 0)").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         down = edges.join(least, "u")
         edges = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        edges = cut_lineage(edges.distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            break
-        state = now
+        edges = written(edges.distinct(), "edges")
     nodes = edges.select(F.col("u").alias("_key"), F.col("v").alias("_component"))
     return nodes.unionByName(edges.select(F.col("v").alias("_key"), F.col("v").alias("_component")).distinct())
 
@@ -312,9 +329,14 @@ def earlier_band(a: Column, b: Column, band: Column) -> Column:
 
 
 def candidate(a: str, b: str, threshold: float) -> Column:
-    """Whether two texts of a bucket can be near, by their total weights and samples."""
-    low, high = F.least(f"{a}._weight", f"{b}._weight"), F.greatest(f"{a}._weight", f"{b}._weight")
-    return (low >= high * (threshold - 1e-6)) & (agreeing(F.col(f"{a}._samples"), F.col(f"{b}._samples")) >= AGREE)
+    """Whether two texts of a bucket can be near, by their weights and samples.
+
+    They have no more in common than either of them shares with other texts, as a whole and in each part of the hashes.
+    """
+    fits = lambda common: common >= (F.col(f"{a}._weight") + F.col(f"{b}._weight") - common) * (threshold - SLACK)
+    cells = F.aggregate(F.zip_with(f"{a}._cells", f"{b}._cells", lambda x, y: F.least(x, y)), F.lit(0.0), lambda n, x: n + x)
+    agree = agreeing(F.col(f"{a}._samples"), F.col(f"{b}._samples")) >= AGREE
+    return F.when(fits(F.least(f"{a}._shared", f"{b}._shared")) & agree, fits(cells)).otherwise(False)
 
 
 def with_components(members: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -340,14 +362,14 @@ def linked(texts: DataFrame, signatures: DataFrame, number: int, threshold: floa
     shared = bands.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket")
     members, main = with_components(written(bands.join(shared, "_bucket"), "members"), None)
     facts = signatures.join(members.select("_key").distinct(), "_key", "left_semi")
-    facts = written(facts.select("_key", F.struct("_weight", "_samples").alias("_facts")), "facts")
-    texts = written(texts.join(facts.select("_key"), "_key", "left_semi"), "candidates", compression="zstd")
-    links, groups = None, None
+    facts = written(facts.select("_key", F.struct("_weight", "_shared", "_cells", "_samples").alias("_facts")), "facts")
+    groups, before = None, None
 
-    def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = written(compared(written(pairs, "pairs"), texts, number, threshold).select("_a", "_b"), "links")
-        every = new if links is None else links.unionByName(new)
-        return every, cut_lineage(components(every))
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Components of the links among the pairs and of those before, which the components stand for."""
+        links = compared(written(pairs, "pairs"), texts, number, threshold).select("_a", "_b")
+        every = links if groups is None else links.unionByName(groups.select(F.col("_key").alias("_a"), F.col("_component").alias("_b")))
+        return written(components(every), "groups")
 
     for step in range(MOST_ROUNDS):
         use = members.where(F.col("_band") < FIRST_BANDS) if step == 0 else members
@@ -357,11 +379,13 @@ def linked(texts: DataFrame, signatures: DataFrame, number: int, threshold: floa
         met = use.join(leaders, "_bucket").where(F.col("_own") != F.col("_leader._own"))
         pairs = met.select(F.least("_key", "_leader._key").alias("_a"), F.greatest("_key", "_leader._key").alias("_b")).distinct()
         pairs = pairs.join(facts.toDF("_b", "_fb"), "_b").join(facts.toDF("_a", "_fa"), "_a").where(candidate("_fa", "_fb", threshold))
-        links, groups = compare(pairs.select("_a", "_b"))
+        groups = compare(pairs.select("_a", "_b"))
         members, main = with_components(members, groups)
         rest = main.agg(F.sum((F.col("_size") - F.col("_main_size")) * F.col("_size")).alias("pairs"), F.sum("_size").alias("rows")).first()
-        if step and (rest["pairs"] or 0) <= 8 * (rest["rows"] or 0):
+        left = rest["pairs"] or 0
+        if step and (left <= 8 * (rest["rows"] or 0) or left > 0.9 * before):
             break
+        before = left
     side = members.join(facts, "_key").select("_bucket", "_band", F.struct("_key", "_own", "_facts").alias("_member"))
     others = side.join(main.select("_bucket", "_main"), "_bucket").where("_member._own <> _main")
     others = others.select("_bucket", "_main", F.col("_member").alias("_other"))
@@ -370,7 +394,7 @@ def linked(texts: DataFrame, signatures: DataFrame, number: int, threshold: floa
     apart = F.col("_other._own") != F.col("_member._own")
     met = others.join(side, "_bucket").where(once & apart & candidate("_other._facts", "_member._facts", threshold) & first)
     pairs = met.select(F.least("_other._key", "_member._key").alias("_a"), F.greatest("_other._key", "_member._key").alias("_b")).distinct()
-    return compare(pairs)[1]
+    return compare(pairs)
 
 
 def named_keys(rows: DataFrame, threshold: float) -> DataFrame:
@@ -378,9 +402,8 @@ def named_keys(rows: DataFrame, threshold: float) -> DataFrame:
     rows = written(rows.select("doc_id", "_key", "_words"), "words", compression="zstd")
     texts = written(rows.select("_key", "_words").dropDuplicates(["_key"]), "texts", compression="zstd")
     number = texts.count()
-    both = written(signed(texts.where("_words <> ''"), number), "signatures", compression="zstd")
-    words = texts.join(both.select("_key", "_df"), "_key").select("_key", "_words", "_df")
-    groups = linked(words, both.select("_key", "_weight", "_bands", "_samples"), number, threshold)
+    both = written(signed(texts.where("_words <> ''"), number, threshold=threshold), "signatures", compression="zstd")
+    groups = linked(both.select("_key", "_words", "_df"), both.drop("_words", "_df"), number, threshold)
     return rows.select("doc_id", "_key").join(groups, "_key", "left").select("doc_id", "_key", F.coalesce("_component", "_key").alias("_class"))
 
 

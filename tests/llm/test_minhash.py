@@ -106,3 +106,29 @@ def test_columns_of_the_same_names_stay(spark):
     got = minhash.deduplicated(docs)
     assert got.columns == docs.columns
     assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
+
+
+def test_copies_that_are_not_near_are_hardly_compared(spark, monkeypatch):
+    """Each text changes words of its own in one long text: pairs agree in many samples, but few can reach the threshold."""
+    import random
+
+    random.seed(5)
+    words = [f"w{i}" for i in range(150)]
+    texts = {}
+    for k in range(60):
+        own = list(words)
+        for i in random.sample(range(150), 1 if k % 15 == 0 else 5):
+            own[i] = f"own{k}x{i}"
+        texts[k] = " ".join(own)
+    met, compared = [], minhash.compared
+
+    def counting(pairs, *rest):
+        met.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "compared", counting)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.duplicate_classes(docs).collect()}
+    assert got == brute_force(texts)
+    assert len(set(got.values())) < 60
+    assert sum(met) < 300
