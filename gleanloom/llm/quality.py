@@ -31,6 +31,7 @@ from gleanloom.scale import cut_lineage
 
 PER_LABEL = 700
 FEATURES = 1 << 14
+COLUMNS = 1 << 10
 LATENT = 48
 NEIGHBOURS = 15
 SHARPNESS = 4.0
@@ -102,23 +103,40 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[int], latent: int = LATENT) -> Model:
-    """Singular vectors come from the matrix of the sample's inner products, which is as small as the sample."""
+    """Singular vectors come from the matrix of the sample's inner products, which is as small as the sample.
+
+    The matrix of texts and features is never whole: its entries are kept, and ``COLUMNS`` features of it are laid out at a time.
+    """
     cache = Shapes()
-    matrix = np.zeros((len(texts), FEATURES), np.float32)
-    for row, text in enumerate(texts):
-        index, value = features(text, cache)
-        matrix[row, index] = value
-    idf = np.log((1 + len(texts)) / (1 + np.count_nonzero(matrix, axis=0))) + 1
-    matrix *= idf.astype(np.float32)
-    matrix /= np.maximum(np.sqrt(np.einsum("ij,ij->i", matrix, matrix)), 1e-12)[:, None]
-    value, left = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
-    order = np.argsort(-value)[: min(latent, len(texts))]
-    order = order[value[order] > 1e-9]
-    # in single precision throughout: a double copy of the matrix would be the largest thing on the driver
-    right = (matrix.T @ left[:, order].astype(np.float32)) / np.sqrt(value[order]).astype(np.float32)
+    found = [features(text, cache) for text in texts]
+    cache.clear()
+    column = np.concatenate([index for index, _ in found])
+    row = np.repeat(np.arange(len(texts)), [len(index) for index, _ in found])
+    idf = np.log((1 + len(texts)) / (1 + np.bincount(column, minlength=FEATURES))) + 1
+    value = np.concatenate([v.astype(np.float32) for _, v in found]) * idf.astype(np.float32)[column]
+    value /= np.maximum(np.sqrt(np.bincount(row, value.astype(np.float64) ** 2, len(texts))), 1e-12).astype(np.float32)[row]
+    order = np.argsort(column, kind="stable")
+    row, column, value = row[order], column[order], value[order]
+
+    def blocks():
+        for start in range(0, FEATURES, COLUMNS):
+            i, j = np.searchsorted(column, [start, start + COLUMNS])
+            block = np.zeros((len(texts), COLUMNS), np.float32)
+            block[row[i:j], column[i:j] - start] = value[i:j]
+            yield start, block
+
+    inner = np.zeros((len(texts), len(texts)))
+    for _, block in blocks():
+        inner += block @ block.T
+    size, left = np.linalg.eigh(inner)
+    order = np.argsort(-size)[: min(latent, len(texts))]
+    order = order[size[order] > 1e-9]
+    side, right, vectors = left[:, order].astype(np.float32), np.empty((FEATURES, len(order)), np.float32), np.zeros((len(texts), len(order)))
+    for start, block in blocks():
+        right[start : start + COLUMNS] = (block.T @ side) / np.sqrt(size[order]).astype(np.float32)
+        vectors += block @ right[start : start + COLUMNS]
     projection = (right * idf[:, None]).astype(np.float32)
-    vectors = unit(matrix @ right)
-    return Model(projection, vectors.astype(np.float32), np.array(labels, np.float32), float(np.mean(labels)))
+    return Model(projection, unit(vectors).astype(np.float32), np.array(labels, np.float32), float(np.mean(labels)))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

@@ -103,3 +103,23 @@ def test_many_hits_and_exceptions_in_one_text():
     automaton, exempt = toxicity.built(lexicon), frozenset(lexicon.exceptions)
     total, _ = toxicity.measures("pond scum x scum y " * 20_000, automaton, exempt)
     assert np.isclose(total, np.log1p(3.0 * (1 + np.log(20_000))))
+
+
+def test_the_quality_model_is_fitted_without_the_whole_matrix():
+    """As the driver's memory is small, the matrix of texts and features is laid out in parts; the vectors equal those of the whole."""
+    import tracemalloc
+
+    import numpy as np
+
+    from gleanloom.llm import quality
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"word{k}" for k in rng.integers(0, 4000, 60)) for _ in range(700)]
+    tracemalloc.start()
+    model = quality.fit(texts, [k % 2 for k in range(700)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700 * quality.FEATURES * 4
+    cache = quality.Shapes()
+    again = np.stack([quality.latent_vector(t, model, cache) for t in texts])
+    assert np.allclose(again, model.vectors, atol=1e-4)
