@@ -13,8 +13,8 @@
 4. Shingles that no other text holds bound what a text can have in common with any: texts whose other shingles weigh too little
    for the threshold are left out before the samples are drawn.
 5. Texts that agree in a band meet in a bucket. A pair of a bucket is a candidate if its shared weights allow the threshold, in
-   all and summed over ``CELLS`` parts of the hashes (bounds of the exact similarity), and at least ``AGREE`` of its samples agree; candidates are compared by the exact weighted Jaccard similarity, and linked
-   texts form components. First every bucket's members meet one leader, with a few bands, then with all of
+   all and summed over ``CELLS`` parts of the hashes (bounds of the exact similarity), and at least ``AGREE`` of its samples agree;
+   candidates are compared by the exact weighted Jaccard similarity, and linked texts form components. First every bucket's members meet one leader, with a few bands, then with all of
    them; members that are in the leader's component already are not compared again. What is left are the pairs of a bucket
    that lie in different components: all of them that are candidates are compared. So a large group of near copies costs
    a few comparisons per text, and no link is lost.
