@@ -37,14 +37,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanloom.llm.common import whole_text
-from gleanloom.llm.segments import GLUED, chunks_of, runs_of, segments
-from gleanloom.scale import broadcast_if_small, shared_dir
+from gleanloom.llm.segments import GLUED, JOINED, chunks_of, runs_of, segments
+from gleanloom.scale import BATCH_BYTES, broadcast_if_small, setting, shared_dir
 
 END = 0
 FILE_BYTES = 32 << 20
-CACHE = 450_000
+CACHE = 200_000
+#: Most bytes of an Arrow batch, in the JVM and in Python, beyond its first row.
+SENT_BYTES = 4 << 20
 SIGNS = ".,;:!?"
-RUN_BYTES = 1 << 20
+RUN_BYTES = 2 << 20
 INDEX = ("file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, tokens_before long, file_tokens long")
 
 
@@ -71,8 +73,14 @@ def read_frame(content, offset: int = 0) -> tuple[int | None, np.ndarray, int]:
     return (doc_id if present else None), np.frombuffer(payload, f"<u{width}", offset=10), end + 5
 
 
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of the pool, one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class SegmentEncoder:
-    """Encodes texts with the tokenizers library; distinct segments are encoded once, joined to longer texts, and kept as bytes."""
+    """Encodes texts with the tokenizers library; distinct segments are encoded once, joined to longer texts, and kept in one array."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -85,9 +93,14 @@ class SegmentEncoder:
         self.byte_level = "use_regex=True" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]
-        self.cache: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.end = self.packed([END])
+        self.forget()
+
+    def forget(self) -> None:
+        """Known segments, and where each one's tokens start in the pool, and how many they are."""
+        self.known = pa.array([], pa.string())
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, f"<u{self.width}")
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -95,31 +108,64 @@ class SegmentEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.packed(found.ids) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        """Encode segments, each behind a blank, and cut the tokens where the segments' bytes end."""
-        chunks = chunks_of(new)
-        joined = [" " + " ".join(chunk) for chunk in chunks]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+    def learn(self, new: pa.StringArray) -> np.ndarray:
+        """Encode segments, each behind a blank, and cut the tokens where the segments' bytes end; returns the places of the segments."""
+        plain = pc.match_substring_regex(new, "^[!-~]+$")
+        easy, odd = new.filter(plain), new.filter(pc.invert(plain)).to_pylist()
+        chunks = chunks_of(odd)
+        cuts = pa.array([*range(0, len(easy), JOINED), len(easy)], pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(cuts, easy), " ").to_pylist() + [" ".join(chunk) for chunk in chunks]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([" " + text for text in joined], add_special_tokens=False)]
         ids = np.fromiter(itertools.chain.from_iterable(found), f"<u{self.width}")
-        words = [s for chunk in chunks for s in chunk]
-        token_ends, ends = np.cumsum(self.lengths[ids]), np.cumsum([(len(s) if s.isascii() else len(s.encode())) + 1 for s in words])
-        at = np.searchsorted(token_ends, ends)
-        if len(words) and not np.array_equal(token_ends[np.minimum(at, len(ids) - 1)], ends):
-            self.cache.update(zip(words, self.whole([" " + s for s in words])))
-            return
-        raw, start = ids.tobytes(), 0
-        for word, stop in zip(words, ((at + 1) * self.width).tolist()):
-            self.cache[word] = raw[start:stop]
-            start = stop
-
-    def learn_all(self, new: list[str]) -> None:
-        """A word with a sentence's signs behind it is the word's tokens and those of the signs, which are pieces of their own."""
-        stems = {s: stem for s in new if s and s[-1] in SIGNS and (stem := s.rstrip(SIGNS)).isalpha()}
-        tails = {s[len(stem) :] for s, stem in stems.items()}.difference(self.tails)
-        self.tails.update(zip(tails, self.whole(list(tails))))
-        self.learn(list(set(new).difference(stems).union(stems.values()).difference(self.cache)))
-        cache, tails = self.cache, self.tails
-        cache.update([(s, cache[stem] + tails[s[len(stem) :]]) for s, stem in stems.items()])
+        others = [s for chunk in chunks for s in chunk]
+        words = pa.concat_arrays([easy, pa.array(others, pa.string())])
+        token_ends, ends = np.cumsum(self.lengths[ids]), np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        stops = np.searchsorted(token_ends, ends) + 1
+        if len(words) and not np.array_equal(token_ends[np.minimum(stops, len(ids)) - 1], ends):
+            alone = self.whole([" " + s for s in words.to_pylist()])
+            ids, stops = np.frombuffer(b"".join(alone), f"<u{self.width}"), np.cumsum([len(a) for a in alone]) // self.width
+        sizes, known = np.diff(stops, prepend=0), len(self.known)
+        self.starts = np.append(self.starts, len(self.pool) + stops - sizes)
+        self.sizes, self.pool = np.append(self.sizes, sizes), np.append(self.pool, ids)
+        self.known = pa.concat_arrays([self.known, words])
+        places, at = np.empty(len(new), np.int64), plain.to_numpy(zero_copy_only=False)
+        places[at] = known + np.arange(len(easy))
+        place_of = {s: known + len(easy) + k for k, s in enumerate(others)}
+        places[~at] = [place_of[s] for s in odd]
+        return places
+
+    def places(self, words: pa.StringArray) -> np.ndarray:
+        """The places of segments among those that are known, after new ones have been learnt."""
+        if len(self.known) > CACHE:
+            self.forget()
+        coded = words.dictionary_encode()
+        found = pc.index_in(coded.dictionary, self.known)
+        places = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            new = found.is_null()
+            places[new.to_numpy(zero_copy_only=False)] = self.learn(coded.dictionary.filter(new))
+        return places[coded.indices.to_numpy()]
+
+    def pieces(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, number of tokens of each) of distinct segments.
+
+        A word with a sentence's signs behind it is the word's tokens and those of the signs, which are pieces of their own.
+        """
+        stems = pc.ascii_rtrim(words, SIGNS)
+        signed = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(words)), pc.ascii_is_alpha(stems))
+        places = self.places(pc.if_else(signed, stems, words))
+        tails = pc.replace_substring_regex(words.filter(signed), "^[A-Za-z]+", "").dictionary_encode()
+        known = tails.dictionary.to_pylist()
+        new = [t for t in known if t not in self.tails]
+        self.tails.update(zip(new, self.whole(new)))
+        behind = np.array([len(self.tails[t]) // self.width for t in known], np.int64)
+        starts, sizes = np.zeros((2, len(words), 2), np.int64)
+        starts[:, 0], sizes[:, 0] = self.starts[places], self.sizes[places]
+        at = signed.to_numpy(zero_copy_only=False)
+        codes = tails.indices.to_numpy()
+        starts[at, 1], sizes[at, 1] = len(self.pool) + (np.cumsum(behind) - behind)[codes], behind[codes]
+        pool = np.append(self.pool, np.frombuffer(b"".join([self.tails[t] for t in known]), f"<u{self.width}"))
+        return gathered(pool, starts.reshape(-1), sizes.reshape(-1)), sizes.sum(axis=1)
 
     def joined(self, cut: pa.ListArray) -> list[bytes]:
         """The tokens of each text's segments but the first: distinct segments are looked up once, their tokens gathered as one array."""
@@ -127,16 +173,11 @@ class SegmentEncoder:
         behind = np.ones(offsets[-1] - offsets[0], bool)
         behind[offsets[:-1] - offsets[0]] = False
         coded = cut.flatten().filter(pa.array(behind)).dictionary_encode()
-        codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        self.learn_all([w for w in words if w not in self.cache])
-        pieces = [self.cache[w] for w in words]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
-        pool, starts = np.frombuffer(b"".join(pieces), f"<u{self.width}"), np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        pool, sizes = self.pieces(coded.dictionary)
         taken = sizes[codes]
         ends = np.append(0, np.cumsum(taken))
-        ids = pool[np.repeat(starts[codes] - ends[:-1], taken) + np.arange(ends[-1])]
+        ids = gathered(pool, (np.cumsum(sizes) - sizes)[codes], taken)
         edges = ends[offsets - offsets[0] - np.arange(len(offsets))].tolist()
         return [ids[i:j].tobytes() for i, j in zip(edges, edges[1:])]
 
@@ -201,7 +242,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, doc_id: str =
     order = ["_id", "_copy"]
     ordered = rows.withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-total // file_bytes)), *order)
     ordered = ordered.sortWithinPartitions(*order).select("_id", "_text")
-    ordered.mapInArrow(framer(tokenizer_file), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(path)
+    frames = ordered.mapInArrow(framer(tokenizer_file), "frame binary").select(F.col("frame").cast("string"))
+    with setting(docs.sparkSession, BATCH_BYTES, str(SENT_BYTES), "64m"):
+        frames.write.option("lineSep", "\n").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -210,8 +253,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
-    """Read the files back, verify them and write their index; returns it."""
-    read_files(spark, path).mapInArrow(parse_files, INDEX).write.parquet(index_path)
+    """Read the files back, verify them and write their index; returns it. A batch holds one large file."""
+    with setting(spark, BATCH_BYTES, str(SENT_BYTES), "64m"):
+        read_files(spark, path).mapInArrow(parse_files, INDEX).write.parquet(index_path)
     return spark.read.schema(INDEX).parquet(index_path)
 
 

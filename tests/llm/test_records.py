@@ -1,10 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from gleanloom import scale
 from gleanloom.llm import records
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,3 +74,20 @@ def test_identical_rows_can_be_dealt_to_several_files(spark, tmp_path):
     index = records.with_starts(records.write_index(spark, str(tmp_path / "f"), str(tmp_path / "i"))).collect()
     assert len({r["file"] for r in index}) > 1
     assert sorted(r["start"] for r in index) == [k * index[0]["n_tokens"] for k in range(400)]
+
+
+def test_texts_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """A task holds a few MB of a file's texts at a time."""
+    def sizes(_):
+        def frames(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([str(batch.nbytes).encode()], pa.binary())], ["frame"])
+        return frames
+
+    before = spark.conf.get(scale.BATCH_BYTES)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
+    monkeypatch.setattr(records, "framer", sizes)
+    records.write_records(docs, str(tmp_path / "sizes"), FILE)
+    seen = [int(r[0]) for r in spark.read.text(str(tmp_path / "sizes")).collect()]
+    assert sum(seen) > 30_000_000 and max(seen) < 8 << 20
+    assert spark.conf.get(scale.BATCH_BYTES) == before
