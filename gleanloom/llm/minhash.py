@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleanloom.llm.common import fresh_name, opened, packed, squeezed, unpacked, whole_text, written
@@ -55,6 +55,9 @@ PART_CHARS = 12 << 20
 GAPS = r"[^\p{L}\p{M}\p{N}_]+"
 #: Parts of the hashes for which a text's shared weight is kept.
 CELLS = 128
+#: Least neighbours of at most so many bytes are broadcast, a node and its neighbour taking so many.
+BROADCAST_BYTES = 8 << 20
+NODE_BYTES = 64
 #: Bounds are looser than the threshold by so much, for the rounding of sums.
 SLACK = 2e-6
 EMPTY = pa.schema([("_key", pa.binary()), ("_words", pa.string()), ("_df", pa.binary()), ("_weight", pa.float64()), ("_shared", pa.float64()),
@@ -292,20 +295,26 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: the number of rounds grows with the logarithm of a chain's length,
     and a node with many links is handled by an aggregate and a join, never as one group.
     """
-    edges = written(links.select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    def counted(rows: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        return written(rows.distinct().observe(seen, F.count(F.lit(1)).alias("n")), "edges"), seen.get["n"]
+
+    def met(rows: DataFrame, least: DataFrame, bound: int) -> DataFrame:
+        return rows.join(F.broadcast(least) if bound * NODE_BYTES <= BROADCAST_BYTES else least, "u")
+
+    edges, n = counted(links.select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).where("u <> v"))
+    while n:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        edges, n = counted(met(both, least, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        down = met(edges, least, n)
+        edges, n = counted(down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")))
         # done when each node leads to one other, which leads nowhere
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("led")).unionByName(
             edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("led")))
         if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("led").alias("led")).where("out > 1 OR (out > 0 AND led > 0)").isEmpty():
             break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        down = edges.join(least, "u")
-        edges = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        edges = written(edges.distinct(), "edges")
     nodes = edges.select(F.col("u").alias("_key"), F.col("v").alias("_component"))
     return nodes.unionByName(edges.select(F.col("v").alias("_key"), F.col("v").alias("_component")).distinct())
 

@@ -132,3 +132,28 @@ def test_copies_that_are_not_near_are_hardly_compared(spark, monkeypatch):
     assert got == brute_force(texts)
     assert len(set(got.values())) < 60
     assert sum(met) < 300
+
+
+def test_components_meet_least_neighbours_by_broadcast_or_shuffle(spark, monkeypatch):
+    """Both ways give the components of a union-find, and small steps join without a shuffle."""
+    chains = [(k, k + 1) for k in range(40) if k % 7] + [(100, k) for k in range(101, 130)] + [(5, 5), (36, 104)]
+    links = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in chains], "_a binary, _b binary")
+    parent = {k: k for pair in chains for k in pair}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in chains:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    plans, plain = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, name))
+    for limit in (minhash.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(minhash, "BROADCAST_BYTES", limit)
+        plans.clear()
+        found = {int.from_bytes(r["_key"], "big"): int.from_bytes(r["_component"], "big") for r in minhash.components(links).collect()}
+        assert found == {k: root(k) for k in parent}
+        joins = [p for p in plans if "Join" in p]
+        assert joins and all(("strategy=broadcast" in p) == (limit > 0) for p in joins)
