@@ -341,3 +341,19 @@ def test_cut_sources_looks_behind_a_visited_largest_target(spark):
     links = [("a", "k"), ("a", "z"), ("b", "c"), ("c", "b"), ("d", "x"), ("e", "f"), ("f", "zz"), ("f", "e")]
     found = crawl.cut_sources(spark.createDataFrame(walked, "source_id string, url string, depth int"), spark.createDataFrame(links, "src string, dst string"), 2)
     assert rows(found) == [("s", 2, True), ("t", 2, False), ("u", 1, False), ("v", 2, True)]
+
+
+def test_crawl_reads_the_html_of_a_page_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    texts = {SITE + path: page(links) for path, links in LINKS.items()}
+
+    @F.udf("string")
+    def html(url):
+        read.add(1)
+        return texts[url]
+
+    pages = spark.createDataFrame([(i, url) for i, url in enumerate(texts)], "page_id long, url string").withColumn("html", html("url"))
+    sources = spark.createDataFrame([("s", SITE + "/docs")], "source_id string, url string")
+    walked = crawl.crawl_site(pages, sources)
+    assert rows(walked.select("url", "depth")) == [(SITE + "/docs", 0), (SITE + "/docs/a", 1), (SITE + "/docs/b", 2), (SITE + "/docs2", 1)]
+    assert read.value == len(texts)
