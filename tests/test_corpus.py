@@ -357,3 +357,42 @@ def test_crawl_reads_the_html_of_a_page_once(spark):
     walked = crawl.crawl_site(pages, sources)
     assert rows(walked.select("url", "depth")) == [(SITE + "/docs", 0), (SITE + "/docs/a", 1), (SITE + "/docs/b", 2), (SITE + "/docs2", 1)]
     assert read.value == len(texts)
+
+
+def stored_bytes(spark):
+    from pathlib import Path
+
+    from gleanloom.scale import shared_dir
+
+    shared_dir(spark)
+    top = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    return sum(f.stat().st_size for f in top.rglob("*") if f.is_file())
+
+
+@pytest.mark.parametrize("query", ["recursive_split_words"])
+def test_checks_of_cuts_store_no_pieces(spark, query):
+    from gleanloom.plans import registry
+
+    before = stored_bytes(spark)
+    assert registry.all_queries()[query](spark, "/root/testdata/sf0.001").count() > 100
+    assert stored_bytes(spark) == before
+
+
+def test_check_of_cuts_equals_plain_python(spark):
+    import hashlib
+    import re
+
+    from gleanloom.plans import registry
+
+    pages = [("u", "One two, two three"), ("v", "alpha beta"), ("v", "gamma"), ("w", "..."), ("x", None), ("y", "no pieces"), (None, "a")]
+    cut = [("u", "One two, ", "One two, two three"), ("u", "two four", "One two, two three"), ("u", "...", None), ("v", "Beta gamma ?", "Beta gamma ? and"),
+           ("v", None, "x"), ("w", "!", "..."), ("x", "word", "word"), ("z", "a", "a"), (None, "a", "a")]
+    words = lambda rows, url: {w for u, t, *_ in rows if u == url for w in re.findall(r"[^\W_]+", (t or "").lower())}
+    wanted = []
+    for url in "uvwxyz":
+        own, both = [r[1:] for r in cut if r[0] == url], words(pages, url) & words(cut, url)
+        if both:
+            wanted.append((url, sum(len(c or "") > 8 for c, _ in own), sum(c is None or h is None or c not in h for c, h in own), len(both),
+                           hashlib.md5(" ".join(sorted(both)).encode()).hexdigest()))
+    got = registry._cut_check(spark.createDataFrame(pages, "page_url string, content string"), spark.createDataFrame(cut, "page_url string, piece string, whole string"), "piece", "whole", 8)
+    assert rows(got) == wanted and len(wanted) == 2
