@@ -369,7 +369,7 @@ def stored_bytes(spark):
     return sum(f.stat().st_size for f in top.rglob("*") if f.is_file())
 
 
-@pytest.mark.parametrize("query", ["recursive_split_words"])
+@pytest.mark.parametrize("query", ["recursive_split_words", "chunk_hierarchy_recursive_words"])
 def test_checks_of_cuts_store_no_pieces(spark, query):
     from gleanloom.plans import registry
 
