@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -396,3 +397,19 @@ def test_check_of_cuts_equals_plain_python(spark):
                            hashlib.md5(" ".join(sorted(both)).encode()).hexdigest()))
     got = registry._cut_check(spark.createDataFrame(pages, "page_url string, content string"), spark.createDataFrame(cut, "page_url string, piece string, whole string"), "piece", "whole", 8)
     assert rows(got) == wanted and len(wanted) == 2
+
+
+def test_a_level_is_dealt_by_source_once(spark, monkeypatch):
+    plans, write = [], crawl.written
+
+    def kept(df, name, **options):
+        if name == "level":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, **options)
+
+    monkeypatch.setattr(crawl, "written", kept)
+    links = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("c", "r")], "src string, dst string")
+    roots = spark.createDataFrame([("s", "r"), ("t", "a")], "source_id string, url string")
+    walked = crawl.reachable_pages(roots, links, 3)
+    assert rows(walked) == [("s", "a", 1), ("s", "b", 1), ("s", "r", 0), ("t", "a", 0), ("t", "c", 1), ("t", "r", 2)]
+    assert len(plans) > 2 and not any(re.search(r"hashpartitioning\(s#\w+, n#", p) for p in plans)
