@@ -413,3 +413,20 @@ def test_a_level_is_dealt_by_source_once(spark, monkeypatch):
     walked = crawl.reachable_pages(roots, links, 3)
     assert rows(walked) == [("s", "a", 1), ("s", "b", 1), ("s", "r", 0), ("t", "a", 0), ("t", "c", 1), ("t", "r", 2)]
     assert len(plans) > 2 and not any(re.search(r"hashpartitioning\(s#\w+, n#", p) for p in plans)
+
+
+def test_links_are_grouped_once_for_cut_sources(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(url):
+        read.add(1)
+        return url
+
+    edges = [("r", "a"), ("r", "b"), ("a", "r"), ("a", "c"), ("x", "y"), ("y", "x"), ("p", "q"), ("q", "p")]
+    links = spark.createDataFrame(edges, "src string, dst string").select("src", seen("dst").alias("dst"))
+    walked = spark.createDataFrame([("s", "r", 0), ("s", "a", 1), ("t", "x", 0), ("t", "y", 1), ("u", "p", 0)], "source_id string, url string, depth int")
+    got = rows(crawl.cut_sources(walked, links.where("src IN ('r', 'a', 'x', 'y')"), 2))
+    assert got == [("s", 2, True), ("t", 2, False), ("u", 1, False)]
+    # once for the largest target of every page, and once more for the undecided source
+    assert read.value <= 2 * len(edges)
